@@ -14,6 +14,7 @@ Every task writes under a name of its own and renames when done, so a task that
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -27,12 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import Scratch, column, slices, width
+from kinmap.llm.common import Memo, Scratch, column, small, width
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8")])
-MEMO = 200_000
 #: Records that one read task takes from a shard at most.
-READ_RECORDS = 4_096
+READ_RECORDS = 1_024
 
 
 def masked(data: bytes) -> int:
@@ -57,35 +57,60 @@ def unframe(data: memoryview, at: int) -> tuple[bytes, int]:
     return payload, at + 16 + size
 
 
-class WordIds(dict):
+def _byte_level() -> dict[int, int]:
+    """Bytes to the characters that stand for them in byte-level vocabularies: printable ones for themselves, the others counted from 256."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+class WordIds(Memo):
     """Space-free stretch of text to its ids, packed.
 
     The vocabulary's normaliser works on characters and drops white space, and no pre-token crosses a space, so a
-    text's ids are the ids of its space-separated stretches one after another.
+    text's ids are the ids of its space-separated stretches one after another. A Latin-1 text is in composed form and
+    its lower case is one character for one, so it is lowered and split on all white space at once; it must hold none
+    of the four separators that Python, but not the vocabulary, takes for white space, nor the start of a special
+    token. A stretch of Latin letters followed by ASCII punctuation is those two pre-tokens, looked up apart; Latin
+    letters alone are one pre-token, which goes straight to the vocabulary's merges. Any other stretch goes through
+    the library as it stands.
     """
 
-    def __init__(self, path: str, dtype: str) -> None:
-        from tokenizers import Tokenizer
+    most = 200_000
+    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        if len(word) < 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = ids
-        return ids
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.split = re.compile(f"([{self.LETTERS}]+)([!-/:-@\\[-`{{-~]*)").fullmatch
+        self.odd = re.compile("[^\x00-\x1b\x20-\u00ff]|<\\|").search
+        self.characters = _byte_level()
+
+    def compute(self, word: str) -> bytes:
+        if (m := self.split(word)) and len(word) < 1_000:
+            if m[2]:
+                return self[m[1]] + self[m[2]]
+            shown = m[1].lower()
+            if not shown.isascii():
+                shown = shown.encode().decode("latin-1").translate(self.characters)
+            ids = [t.id for t in self.merges(shown)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.asarray(ids, dtype=self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        parts = text.split(" ") if self.odd(text) else text.lower().split()
+        return b"".join(map(self.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
 def words(path: str) -> WordIds:
-    from tokenizers import Tokenizer
-
-    return WordIds(path, "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4")
+    """One for each worker process, kept between its tasks."""
+    return WordIds(path)
 
 
 @lru_cache(maxsize=16)
@@ -103,7 +128,7 @@ def _write(folder: str, vocabulary: str, end_id: int):
         index, at, total, out = [], 0, 0, None
         store.create_dir(root, recursive=True)
         name = f"{root}/shard-{shard:06d}"
-        for batch in batches:
+        for batch in small(batches):
             ids_of, texts = column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()
             out = out or store.open_output_stream(f"{name}.{attempt}.tmp")
             for doc, text in zip(ids_of, texts, strict=True):
@@ -159,8 +184,8 @@ def _read(folder: str):
                         out[k].append(v)
                     start += len(ids)
 
-                for a, b in slices(out["ids"], 8_000_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"][a:b], pa.int64()), pa.array(out["start"][a:b], pa.int64()), pa.array(out["n_tokens"][a:b], pa.int64()), pa.array(out["ids"][a:b], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary()}
+                yield from small([pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))], "ids", 8_000_000)
 
     return run
 

@@ -24,9 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmap.llm.common import column, slices, width
-
-MEMO = 200_000
+from kinmap.llm.common import Memo, column, small, width
 
 
 @lru_cache(maxsize=4)
@@ -36,24 +34,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-class PieceIds(dict):
-    """Pre-token to its ids as little-endian unsigned 32-bit integers; forgets all when it has MEMO entries."""
+class PieceIds(Memo):
+    """Pre-token to its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
         import regex
         import tiktoken
 
+        super().__init__()
         ranks = load_ranks(ranks_path)
         self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.scan = regex.compile(pattern)
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.core.encode_single_piece(piece.encode()), dtype="<u4").tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        self[piece] = ids
-        return ids
+    def compute(self, piece: str) -> bytes:
+        return np.asarray(self.core.encode_single_piece(piece.encode()), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.scan.findall(text)))
@@ -73,14 +68,12 @@ def _whole(ranks_path: str, pattern: str, decoded: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(ranks_path, pattern)
-        for batch in batches:
-            texts = [x or "" for x in column(batch, "text").to_pylist()]
-            for a, b in slices(texts, 2_000_000):
-                ids = [code.encode(x) for x in texts[a:b]]
-                out = [column(batch, "doc_id").slice(a, b - a), pa.array(ids, pa.binary())]
-                if decoded:
-                    out.append(pa.array([code.decode(x) for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][: len(out)])
+        for batch in small(batches):
+            ids = [code.encode(x) for x in column(batch, "text").to_pylist()]
+            out = [column(batch, "doc_id"), pa.array(ids, pa.binary())]
+            if decoded:
+                out.append(pa.array([code.decode(x) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][: len(out)])
 
     return run
 

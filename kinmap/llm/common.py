@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space that separates words in the contracts of this subpackage.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
@@ -76,24 +77,40 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def is_blank(text: Column) -> Column:
-    return F.coalesce(F.length(text), F.lit(0)) == 0
-
-
-def slices(texts: list, most: int = 500_000):
-    """(start, end) of runs of texts with about that many characters, so that no list of words outgrows memory."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def binary_array(values: list) -> pa.Array:
-    return pa.array(values, type=pa.binary())
+def small(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about so many bytes of one column, so that Python objects of few rows live at once."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False)
+        start = size = 0
+        for i, n in enumerate(sizes.tolist()):
+            size += n
+            if size >= most:
+                yield batch.slice(start, i + 1 - start)
+                start, size = i + 1, 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+class Memo(dict):
+    """A bounded memory of compute(key): when it has `most` entries it becomes the old generation of a new one."""
+
+    most = 100_000
+
+    def __init__(self) -> None:
+        self.old: dict = {}
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import column, slices
+from kinmap.llm.common import column, small
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -130,7 +130,7 @@ def fit(words: list[str], counts: np.ndarray, path: str, rounds: int = 3, smooth
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         by: dict[str, Counter] = {}
         for lang, text in zip(column(batch, "lang").to_pylist(), column(batch, "text").to_pylist(), strict=True):
             by.setdefault(lang, Counter()).update(runs(text))
@@ -191,22 +191,20 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], path: str, keep: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, path)
-        for batch in batches:
-            texts = [x or "" for x in column(batch, "text").to_pylist()]
-            for a, b in slices(texts):
-                found = [runs(x) for x in texts[a:b]]
-                flat = [w for ws in found for w in ws]
-                langs, scores = ["und"] * (b - a), [0.0] * (b - a)
-                if flat and languages:
-                    each = scorer.words(flat)
-                    at = 0
-                    for i, ws in enumerate(found):
-                        if ws:
-                            total = each[at : at + len(ws)].sum(axis=0)
-                            at += len(ws)
-                            k = int(total.argmax())
-                            langs[i], scores[i] = languages[k], 1.0 / math.fsum(np.exp(total - total[k]))
-                yield pa.RecordBatch.from_arrays([column(batch, k).slice(a, b - a) for k in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+        for batch in small(batches):
+            found = [runs(x or "") for x in column(batch, "text").to_pylist()]
+            flat = [w for ws in found for w in ws]
+            langs, scores = ["und"] * len(found), [0.0] * len(found)
+            if flat and languages:
+                each = scorer.words(flat)
+                at = 0
+                for i, ws in enumerate(found):
+                    if ws:
+                        total = each[at : at + len(ws)].sum(axis=0)
+                        at += len(ws)
+                        k = int(total.argmax())
+                        langs[i], scores[i] = languages[k], 1.0 / math.fsum(np.exp(total - total[k]))
+            yield pa.RecordBatch.from_arrays([column(batch, k) for k in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
 
