@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinmap.llm import binary_records, byte_bpe, importance_resampling, language_id, mcd_outliers, pfair_mixing, suffix_dedup, url_rules
+from kinmap.llm import binary_records, byte_bpe, cover_tree, importance_resampling, language_id, mcd_outliers, pfair_mixing, suffix_dedup, url_rules
 
 END_ID = 2
 
@@ -36,6 +37,10 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,10 +60,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.dedup(_table(spark, sf_dir, "documents")))
 
 
+OP5_SQL = """
+with rows as (
+  select row_number() over () as k, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.k, q.vec_id as query_id, d.vec_id, list_dot_product(q.v, d.v)::bigint as score
+  from rows q join rows d on q.k <> d.k where q.vec_id % 20 = 0),
+ranked as (select *, (row_number() over (partition by k order by score desc, vec_id))::int as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 20"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mcd_outliers, op2_binary_records, op3_language_id, op4_importance_resampling, op7_byte_bpe, op8_pfair_mixing, op9_url_rules, op10_suffix_dedup)
+    own = (op1_mcd_outliers, op2_binary_records, op3_language_id, op4_importance_resampling, op5_cover_tree, op7_byte_bpe, op8_pfair_mixing, op9_url_rules, op10_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_rules": url_rules.sql()}
+    return {"op5_cover_tree": OP5_SQL, "op9_url_rules": url_rules.sql()}
