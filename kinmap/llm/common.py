@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space that separates words in the contracts of this subpackage.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
@@ -113,5 +114,22 @@ class Memo(dict):
         return value
 
 
+def numbered(docs: DataFrame, nulls_first: bool = True) -> DataFrame:
+    """docs with _doc_no, a number of each document in the order of doc_id: doc_id itself where that is unique and set.
+
+    Else documents are the different pairs of doc_id and text, those of one id in the order of a hash of the text, and
+    null ids stand at one end; it is the place in that order. Wholly repeated rows share their number.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    total, there, distinct = ids.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if total == distinct == there:
+        return docs.withColumn("_doc_no", F.col("doc_id").cast("long"))
+    named = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = F.asc_nulls_first("_id") if nulls_first else F.asc_nulls_last("_id")
+    ordered = named.select("_id", "_key").distinct().orderBy(order, "_key").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
+    numbers = docs.sparkSession.createDataFrame(ordered, "_other long, _other_key long, _doc_no long")
+    return named.join(numbers, F.expr("_id <=> _other and _key = _other_key")).drop("_id", "_key", "_other", "_other_key")
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm import binary_records, byte_bpe, cover_tree, importance_resampling, language_id, mcd_outliers, pfair_mixing, suffix_dedup, url_rules
+from kinmap.llm import binary_records, byte_bpe, cover_tree, importance_resampling, language_id, mcd_outliers, ngram_join, pfair_mixing, suffix_dedup, url_rules
 
 END_ID = 2
 
@@ -41,6 +41,10 @@ def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -73,7 +77,7 @@ select query_id, rank, vec_id, score from ranked where rank <= 20"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mcd_outliers, op2_binary_records, op3_language_id, op4_importance_resampling, op5_cover_tree, op7_byte_bpe, op8_pfair_mixing, op9_url_rules, op10_suffix_dedup)
+    own = (op1_mcd_outliers, op2_binary_records, op3_language_id, op4_importance_resampling, op5_cover_tree, op6_ngram_join, op7_byte_bpe, op8_pfair_mixing, op9_url_rules, op10_suffix_dedup)
     return {f.__name__: f for f in own}
 
 
