@@ -182,12 +182,12 @@ class Scorer:
         return self.known[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
 
-def predict(docs: DataFrame, model: dict[str, np.ndarray], path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep` of docs, with lang_pred and score (posterior of the predicted language under equal priors)."""
+def predict(docs: DataFrame, model: dict[str, np.ndarray], path: str, keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns `keep` of docs, with the predicted language and its score (its posterior under equal priors)."""
     languages = sorted(model)
     table = np.column_stack([model[x] for x in languages]) if languages else np.zeros((len(load_pieces(path)) + 1, 0))
     shared = docs.sparkSession.sparkContext.broadcast(table)  # pieces x languages, whatever the input's size
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(out[0], "string").add(out[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, path)
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], path: str, keep: tupl
                         at += len(ws)
                         k = int(total.argmax())
                         langs[i], scores[i] = languages[k], 1.0 / math.fsum(np.exp(total - total[k]))
-            yield pa.RecordBatch.from_arrays([column(batch, k) for k in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([column(batch, k) for k in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *out])
 
     return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
 
@@ -214,7 +214,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn_and_predict(docs: DataFrame, path: str, per_language: int = 2_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def learn_and_predict(docs: DataFrame, path: str, per_language: int = 2_000, keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Learn from the rows that aren't held out and predict all."""
     learned = train(docs.filter(~held_out() & F.col("doc_id").isNotNull()), path, per_language)
-    return predict(docs, learned, path, keep)
+    return predict(docs, learned, path, keep, out)

@@ -353,10 +353,10 @@ def classes_of(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 def join(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: int = SHARE) -> DataFrame:
     """Columns `keep` of docs, n_shingles, class_id (smallest id with the same set) and component_id, of every row."""
-    rows = numbered(docs.select(*dict.fromkeys((*keep, "doc_id", "text"))), nulls_first=False)
+    rows, sure = numbered(docs.select(*dict.fromkeys((*keep, "doc_id", "text"))), nulls_first=False)
     classes = classes_of(rows, share).select(F.col("doc_no").alias("_doc_no"), F.col("n_members").alias("_n"), F.col("class_no").alias("_class"), F.col("component").alias("_comp"))
     out = rows.drop("text").join(classes, "_doc_no")
-    if rows.filter(~F.col("_doc_no").eqNullSafe(F.col("doc_id").cast("long"))).isEmpty():
+    if sure:
         out = out.withColumns({"_class_id": F.col("_class"), "_comp_id": F.col("_comp")})
     else:
         ids = rows.select("_doc_no", F.col("doc_id").cast("long").alias("_id")).distinct()
@@ -367,6 +367,7 @@ def join(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: int = SHAR
 
 def representatives(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """One row of each component, the one with the smallest id; all columns of docs."""
-    rows = numbered(docs, nulls_first=False)
+    rows, sure = numbered(docs, nulls_first=False)
     firsts = classes_of(rows, share).filter("doc_no = component").select(F.col("doc_no").alias("_doc_no")).distinct()
-    return rows.join(firsts, "_doc_no", "left_semi").dropDuplicates(["_doc_no"]).select(*docs.columns)
+    kept = rows.join(firsts.hint("shuffle_hash"), "_doc_no", "left_semi")
+    return (kept if sure else kept.dropDuplicates(["_doc_no"])).select(*docs.columns)

@@ -33,11 +33,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmap.llm.common import column, width
+from kinmap.llm.common import Scratch, column, free_shuffles, numbered, small, width
 
 LENGTH = 100
 SEED = 36
@@ -120,8 +121,6 @@ def _buffers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[list[pa.RecordBatch]]:
     """Slices of batches, gathered to about so many bytes of text."""
-    from kinmap.llm.common import small
-
     held, size = [], 0
     for batch in small(batches, most=2 << 20):
         held.append(batch)
@@ -476,50 +475,44 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(keep: tuple[str, ...]):
+def _cut(keep: tuple[str, ...], as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from kinmap.llm.common import small
-
         shape = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         for batch in small(batches):
             kept, spans = [], []
-            for text, found in zip(column(batch, "text").to_pylist(), column(batch, "found").to_pylist(), strict=True):
+            for text, found in zip(column(batch, "text").to_pylist(), column(batch, "_found").to_pylist(), strict=True):
                 own = union([(x["begin"], x["end"]) for x in found or ()])
                 edges = [0, *[e for span in own for e in span], len(text)]
-                kept.append(b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]) if own else text)
+                left = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]) if own else text
+                kept.append(left.decode(errors="ignore") if as_text else left)
                 spans.append([{"begin": a, "end": b} for a, b in own])
-            yield pa.RecordBatch.from_arrays([column(batch, k) for k in keep] + [pa.array([len(x) for x in column(batch, "text").to_pylist()], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, shape)], [*keep, "n_bytes", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([column(batch, k) for k in keep] + [pc.binary_length(column(batch, "text")).cast(pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(spans, shape)], [*keep, "n_bytes", "kept", "spans"])
 
     return run
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with doc_no, which orders documents as the module says; doc_id itself where that is unique and set."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    total, sure, distinct = ids.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
-    if total == distinct == sure:
-        return docs.withColumn("doc_no", F.col("doc_id").cast("long"))
-    spark = docs.sparkSession
-    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
-    named = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", text_key)
-    ordered = named.select("_id", "_key").distinct().orderBy(F.asc_nulls_first("_id"), "_key").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    numbers = spark.createDataFrame(ordered, "_other long, _other_key long, doc_no long")
-    return named.join(numbers, F.expr("_id <=> _other and _key = _other_key")).drop("_id", "_key", "_other", "_other_key")
+def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, seed: int = SEED, as_text: bool = False) -> DataFrame:
+    """Columns `keep` of docs, n_bytes, kept (the bytes that stay) and spans (what went: begin and end, in bytes).
 
-
-def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Columns `keep` of docs, n_bytes, kept (the bytes that stay) and spans (what went: begin and end, in bytes)."""
+    With as_text, kept is text without the bytes of characters that were cut through.
+    """
     spark, n = docs.sparkSession, width(docs.sparkSession)
-    rows = _numbered(docs.select(*dict.fromkeys((*keep, "doc_id", "text"))))
+    scratch = Scratch(spark, "suffixes")
+    rows, _ = numbered(docs.select(*dict.fromkeys((*keep, "doc_id", "text"))))
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
-    texts = rows.select("doc_no", "text")
+    texts = rows.select(F.col("_doc_no").alias("doc_no"), "text")
     asked = texts.filter(F.length("text") >= length).mapInArrow(_ask(n, length, seed), _BLOCK).repartitionById(n, "part")
     again = asked.mapInArrow(_answer, "doc_no long, rank int").groupBy("doc_no").agg(F.collect_set("rank").alias("ranks"))
+    again = scratch.save(again, "again", "zstd")
+    free_shuffles(spark)
     runs = texts.join(again.hint("shuffle_hash"), "doc_no").mapInArrow(_send(n, length, seed), _BLOCK).repartitionById(n, "part")
     found = runs.mapInArrow(_combine(length, seed), "doc_no long, begin long, end long")
-    by_doc = found.groupBy("doc_no").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
-    schema = rows.select(*keep).schema.add("n_bytes", "long").add("kept", "binary").add("spans", _SPANS)
-    return rows.join(by_doc.hint("shuffle_hash"), "doc_no", "left").mapInArrow(_cut(keep), schema)
+    by_doc = found.groupBy(F.col("doc_no").alias("_doc_no")).agg(F.collect_list(F.struct("begin", "end")).alias("_found"))
+    by_doc = scratch.save(by_doc, "spans", "zstd")
+    scratch.drop(again)
+    free_shuffles(spark)
+    schema = rows.select(*keep).schema.add("n_bytes", "long").add("kept", "string" if as_text else "binary").add("spans", _SPANS)
+    return rows.join(by_doc.hint("shuffle_hash"), "_doc_no", "left").mapInArrow(_cut(keep, as_text), schema)
 
 
 def digests(out: DataFrame) -> DataFrame:
