@@ -18,18 +18,19 @@ _LARGE_Q = (2.56852019228982242e00, 1.87295284992346047e00, 5.27905102951428412e
 _ROOT_PI = 0.5641895835477562869
 
 
-def _horner(x: Column, coefficients, first: Column) -> Column:
-    return reduce(lambda total, c: total * x + F.lit(c), coefficients, first)
+def _horner(x: Column, coefficients, first: float) -> Column:
+    """Polynomial in x as one fold: written out, the three of them outgrow a generated method."""
+    return F.aggregate(F.array(*[F.lit(c) for c in coefficients]), F.lit(first), lambda total, c: total * x + c)
 
 
 def erf(x: Column) -> Column:
-    """Error function to double precision, inside generated code."""
+    """Error function to double precision."""
     y, sign = F.abs(x), F.signum(x)
     s = y * y
-    small = x * _horner(s, _SMALL_P[:4], F.lit(_SMALL_P[4])) / _horner(s, _SMALL_Q, F.lit(1.0))
-    middle = F.exp(-s) * _horner(y, _MIDDLE_P[:8], F.lit(_MIDDLE_P[8])) / _horner(y, _MIDDLE_Q, F.lit(1.0))
+    small = x * _horner(s, _SMALL_P[:4], _SMALL_P[4]) / _horner(s, _SMALL_Q, 1.0)
+    middle = F.exp(-s) * _horner(y, _MIDDLE_P[:8], _MIDDLE_P[8]) / _horner(y, _MIDDLE_Q, 1.0)
     t = 1 / s
-    tail = t * _horner(t, _LARGE_P[:5], F.lit(_LARGE_P[5])) / _horner(t, _LARGE_Q, F.lit(1.0))
+    tail = t * _horner(t, _LARGE_P[:5], _LARGE_P[5]) / _horner(t, _LARGE_Q, 1.0)
     large = F.exp(-s) * (_ROOT_PI - tail) / y
     return F.when(y <= 0.46875, small).when(y <= 4, sign * (1 - middle)).when(y < 27, sign * (1 - large)).otherwise(sign)
 
@@ -38,14 +39,6 @@ def normal_cdf(z: Column) -> Column:
     return 0.5 * (1 + erf(z / F.lit(2.0**0.5)))
 
 
-def with_normal_cdf(rows: DataFrame, **z: Column) -> DataFrame:
-    """Adds the lower tail at each z. Arguments become columns first, one step each, so generated methods stay small."""
-    for name, value in z.items():
-        rows = rows.withColumn(f"_z_{name}", value / F.lit(2.0**0.5))
-        rows = rows.withColumn(name, F.round(0.5 * (1 + erf(F.col(f"_z_{name}"))), 15)).drop(f"_z_{name}")
-    return rows
-
-
 def benjamini_hochberg(pairs: DataFrame, p: str, q: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds q: min over p' >= p of p' * n / rank(p'), at most 1; null where p is null.
 

@@ -68,8 +68,9 @@ def with_p(pairs: DataFrame) -> DataFrame:
     profile = null_profiles(pairs)
     side = lambda s: profile.select(F.col("id").alias(s), F.col("mu").alias("mu" + s), F.greatest("sigma", F.lit(1e-12)).alias("sigma" + s))
     z = lambda s: (F.col("score") - F.col("mu" + s)) / F.col("sigma" + s)
-    joined = stats.with_normal_cdf(pairs.join(side("a"), "a").join(side("b"), "b"), pa=z("a"), pb=z("b"))
-    return joined.withColumn("p", F.round(F.greatest("pa", "pb"), 9)).select("a", "b", "cosine", "score", "p")
+    # the tail grows with z, so the larger tail is that of the larger z
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("z", F.greatest(z("a"), z("b")))
+    return joined.withColumn("p", F.round(stats.normal_cdf(F.col("z")), 9)).select("a", "b", "cosine", "score", "p")
 
 
 _PHI = """case when {z} = 0 then 0.5 else 0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) *
