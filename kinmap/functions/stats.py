@@ -53,15 +53,23 @@ def benjamini_hochberg(pairs: DataFrame, p: str, q: str, by: tuple[str, ...] = (
     bins = bins.withColumn("_before", F.sum("_n").over(up) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
     inside = Window.partitionBy(*keys, "_bin").orderBy("_p")
     match = [*keys, "_bin"]
-    ranked = counted.join(bins.select(*match, "_before", "_all"), match).withColumn("_rank", F.col("_before") + F.sum("_c").over(inside))
+
+    def beside(rows: DataFrame, more: DataFrame, names: list[str]) -> DataFrame:
+        """rows with columns of more that has one row for each group and bin; a null key is a key."""
+        other = more.select(*[F.col(k).alias(f"_m{n}") for n, k in enumerate(match)], *names)
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_m{n}")) for n, k in enumerate(match)])
+        return rows.join(other, same).drop(*[f"_m{n}" for n in range(len(match))])
+
+    ranked = beside(counted, bins, ["_before", "_all"]).withColumn("_rank", F.col("_before") + F.sum("_c").over(inside))
     ranked = ranked.withColumn("_raw", F.col("_p") * F.col("_all") / F.col("_rank"))
     least = ranked.groupBy(*match).agg(F.min("_raw").alias("_least"))
     down = Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     least = least.withColumn("_after", F.min("_least").over(down)).select(*match, "_after")
     inside_down = Window.partitionBy(*keys, "_bin").orderBy(F.desc("_p"))
-    done = ranked.join(least, match).withColumn(q, F.least(F.lit(1.0), F.min("_raw").over(inside_down), F.col("_after"))).select(*keys, "_p", q)
-    condition = [pairs[p] == done["_p"], *[pairs[k].eqNullSafe(done[k]) for k in keys]]
-    return pairs.join(done, reduce(lambda a, b: a & b, condition), "left").select(*pairs.columns, done[q])
+    done = beside(ranked, least, ["_after"]).withColumn(q, F.least(F.lit(1.0), F.min("_raw").over(inside_down), F.col("_after")))
+    done = done.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_p", q)
+    condition = [pairs[p] == F.col("_p"), *[pairs[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    return pairs.join(done, reduce(lambda a, b: a & b, condition), "left").select(*pairs.columns, q)
 
 
 def cumulative_share(rows: DataFrame, value: str, out: str, descending: bool = False, bins: int = 4_096) -> DataFrame:
