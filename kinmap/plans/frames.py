@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmap.functions import stats
+from kinmap.functions.lineage import cut
 from kinmap.operators import pairs as pair_ops
 
 TISSUES = ("blood", "liver", "bone marrow", "lung / airway", "brain cortex", "skin", "unknown", "heart; kidney", "cultured cells", "adipose")
@@ -82,7 +83,18 @@ zs as (select p.*, (p.score - x.mu) / x.sigma as za, (p.score - y.mu) / y.sigma
 ps as (select a, b, cosine, score, round(greatest(""" + _PHI.format(z="za") + ", " + _PHI.format(z="zb") + "), 9) as p from zs)"
 
 
+_RELEASES: dict[tuple[str, str], DataFrame] = {}
+
+
 def calibrated(spark: SparkSession, sf: str) -> DataFrame:
+    """The calibrated release of a folder: built once a session, written to the shared folder, and read by all queries."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RELEASES:
+        _RELEASES[key] = cut(calibrate(spark, sf))
+    return _RELEASES[key]
+
+
+def calibrate(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs with p, q over the complete family, percentile and the text percentile; overlap evidence on some."""
     rows = stats.benjamini_hochberg(with_p(text_pairs(spark, sf)), "p", "q")
     rows = stats.cumulative_share(rows, "score", "percentile", descending=True)

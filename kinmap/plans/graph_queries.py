@@ -47,7 +47,7 @@ def a09_null_profile_moments(spark, sf):
 
 @case(with_(CAL) + "select a, b, p, q from cal")
 def w02_bh_qvalues(spark, sf):
-    return calibrated(spark, sf).select("a", "b", "p", "q")
+    return frames.calibrate(spark, sf).select("a", "b", "p", "q")
 
 
 @case(with_(CAL) + "select a, b, rk::bigint as rank, n::bigint as family, round(raw, 9) as raw from raws")

@@ -4,11 +4,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from kinmap.plans import catalog, graph_queries, kernel_queries, table_queries
+from kinmap.plans import catalog, graph_queries, kernel_queries, more_queries, table_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 GRAPH = ["j13_all_pairs_cosine", "w02_bh_qvalues", "w04_score_percentile", "w09_independent_bh", "t02_union_topk", "f06_same_tissue", "f06_different_disease", "f01_and_or_not", "j18_snapshot_diff", "c11_facets", "r01_delta_scoring", "t03_zoom_backbone"]
-NAMES = [n for n in [*table_queries.S, *kernel_queries.S, *GRAPH]]
+LIGHT = [n for n in more_queries.S if n not in ("s32_published_loader", "s34_release_import", "f10_query_page", "j16_member_edges", "w03_bh_by_family", "a15_selection_summary", "f17_discovery_query", "g11_dataset_detail")]
+NAMES = [*table_queries.S, *kernel_queries.S, *LIGHT, *GRAPH]
 
 
 @pytest.fixture(scope="module")
