@@ -96,9 +96,10 @@ def calibrated(spark: SparkSession, sf: str) -> DataFrame:
 
 def calibrate(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs with p, q over the complete family, percentile and the text percentile; overlap evidence on some."""
-    rows = stats.benjamini_hochberg(with_p(text_pairs(spark, sf)), "p", "q")
-    rows = stats.cumulative_share(rows, "score", "percentile", descending=True)
-    rows = rows.withColumns({"q": F.round("q", 9), "percentile": F.round("percentile", 9)})
+    base = cut(with_p(text_pairs(spark, sf)))  # read several times below
+    rows = stats.cumulative_share(base, "score", "percentile", descending=True)
+    rows = stats.benjamini_hochberg(rows, "p", "q")
+    rows = rows.withColumns({"q": F.round("q", 9), "percentile": F.round("percentile", 9)}).select("a", "b", "cosine", "score", "p", "q", "percentile")
     mark = (F.col("a") * 7 + F.col("b") * 3) % 50
     shape = F.when(mark == 0, "exact").when(mark == 1, "major").when(mark.isin(2, 3), "minor").when(mark == 4, "none")
     return rows.withColumns({
