@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -134,3 +135,13 @@ def numbered(docs: DataFrame, nulls_first: bool = True) -> tuple[DataFrame, bool
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def text_buffers(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary or text column without nulls, and where each value begins and ends."""
+    texts = column(batch, name)
+    wide = pa.types.is_large_binary(texts.type) or pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]

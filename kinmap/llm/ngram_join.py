@@ -4,15 +4,18 @@ A document's set is its different runs of WORDS words. Two sets with similarity
 share at least t * max(n, m) of them, so in any one order of all members their first n - ceil(t * n) + l and
 m - ceil(t * m) + l share at least l, for every l: a longer prefix costs more entries in the index and asks for more
 members in common. Each document picks its own l, by the cost of its entries and of the candidates that they are
-expected to bring; a pair must share the smaller of the two l's. The order puts rare members first, by counts over all
+expected to bring, from a share of its size upward; a pair must share the smaller of the two l's. The order puts rare members first, by counts over all
 documents in a sketch of fixed size, so that a passage in very many documents is in nobody's prefix.
 
-The index is exchanged as packed blocks by member. Documents with equal sets are one class from there on: a block, and
-then each entry list, holds a class once. Candidates are made in two steps that lose none. First every list pairs its
-classes with the smallest class in it; those that share enough are compared, member by member, on the whole texts, and
-the links give components. Then every list pairs all classes that are in different components still, each with all
-its lists counted; what shares enough and wasn't compared yet is compared. A list of a thousand near copies is a
-thousand pairs in the first step and none in the second; a pair that has no chance to join two components isn't made.
+The index is exchanged as packed blocks by member. With the lists' true lengths known, each document gives up its
+entries in the longest of them, as many as its partners' asking leaves over. Documents with equal sets are one class from there on: a block, and
+then each entry list, holds a class once. Candidates are made in steps that lose none. First every list pairs its
+classes with one of them, a hub; a few such pairs of each class that share enough are compared, member by member, on
+the whole texts, and the links give components. Classes that such pairs connect, or pairs that share a part of that,
+similar or not, are a unit. A unit of many near copies has
+too many pairs to write down: it is cut into blocks, and each two blocks are compared in one task, by a product of
+matrices, which gives only what joins two components. Last, every list pairs all other classes that are in different
+components still, each pair with all its lists counted; what shares enough and wasn't compared yet is compared.
 
 Members are 64-bit hashes of word runs.
 
@@ -30,10 +33,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import Memo, Scratch, column, free_shuffles, numbered, small, width
+from kinmap.llm.common import Scratch, column, free_shuffles, numbered, small, text_buffers, width
 from kinmap.llm.components import components
 from kinmap.llm.suffix_dedup import _blocks, _pack, _runs_of, _unpack
 
@@ -45,32 +48,81 @@ SKETCH_BITS = 22
 #: Partners of a rare member in different texts, about; entries that a compared member is worth.
 PARTNERS = 0.05
 COMPARE = 0.5
+#: Members in common that every set asks for, as a share of 100 of its own.
+LEAST_ASKED = 8
+#: First pairs of a class; classes of a unit that is compared by blocks, and of such a block.
+FEW = 4
+NEAR = 0.25
+BIG = 64
+UNIT_BLOCK = 512
+#: Bytes of text hashed at once.
+SEGMENT = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(Memo):
-    most = 150_000
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each byte, the same for A-Z and a-z, and which bytes part words."""
+    random = np.random.default_rng(20240301).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    random[65:91] = random[97:123]
+    space = np.zeros(256, bool)
+    space[[0x20, *range(0x09, 0x0E)]] = True
+    return random, space
 
-    def compute(self, word: bytes) -> int:
-        import xxhash
 
-        return xxhash.xxh3_64_intdigest(word)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-@lru_cache(maxsize=1)
-def _memo() -> WordHashes:
-    """One for each worker process, kept between its tasks."""
-    return WordHashes()
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, up to n; kept for the next call."""
+    if len(_POWERS[0]) <= n:
+        for k, base in enumerate((0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64))):
+            up = np.full(max(n + 1, SEGMENT + 1), base, np.uint64)
+            up[0] = 1
+            _POWERS[k] = np.cumprod(up)
+    return _POWERS
 
 
-def members(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of words of some texts, repeats included, and where each text's begin."""
-    memo = _memo()
-    split = [t.lower().split() for t in texts]  # of bytes, these two know ASCII only
-    counts = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter((memo[w] for ws in split for w in ws), np.uint64, counts.sum())
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts (bytes, lower case for A-Z), and where each text's begin.
+
+    A word's hash is that of its bytes as a polynomial, from sums over the text; texts are taken in segments that end
+    at white space.
+    """
+    random, space = _tables()
+    apart = space[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    word = ~apart
+    before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+    before[1:], after[:-1] = apart[:-1], apart[1:]
+    starts = np.flatnonzero(word & (before | edge[:-1]))
+    ends = np.flatnonzero(word & (after | edge[1:])) + 1
+    first = np.searchsorted(starts, offsets)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        begin = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, begin + SEGMENT, side="right")))
+        size = int(ends[to - 1] - begin)
+        up, down = _powers(size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(random[data[begin : begin + size]] * up[:size], out=sums[1:])
+        a, b = starts[at:to] - begin, ends[at:to] - begin
+        out[at:to] = (sums[b] - sums[a]) * down[a]
+        at = to
+    out ^= out >> np.uint64(32)
+    out *= _ODD
+    out ^= out >> np.uint64(29)
+    return out, first
+
+
+def members(batch: pa.RecordBatch, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of words of a batch's texts, repeats included, and where each text's begin."""
+    data, offsets = text_buffers(batch)
+    flat, first = word_hashes(data, offsets)
+    counts = np.diff(first)
     padded = np.concatenate([flat, np.zeros(words, np.uint64)])
-    first = np.concatenate([[0], np.cumsum(counts)])
     h = np.zeros(len(flat), np.uint64)
     place = np.arange(len(flat))
     end = np.repeat(first[1:], counts)
@@ -86,8 +138,8 @@ def members(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndar
     return h[kept], np.concatenate([[0], np.cumsum(sizes)])
 
 
-def sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
-    h, first = members(texts, words)
+def sets(batch: pa.RecordBatch, words: int = WORDS) -> list[np.ndarray]:
+    h, first = members(batch, words)
     return [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
@@ -96,7 +148,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     any_rows = False
     for batch in small(batches):
         any_rows = True
-        h, _ = members([x or b"" for x in column(batch, "text").to_pylist()])
+        h, _ = members(batch)
         out += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(out)).astype(np.uint32)
     if any_rows:
         parts = np.minimum(out, 65_535).astype("<u2").reshape(64, -1)
@@ -131,6 +183,29 @@ def needed(n: int, share: int = SHARE) -> int:
     return -(-n * share // 100)
 
 
+def asked(n: int) -> int:
+    """Members in common that a set of n asks for at the least."""
+    return max(1, n * LEAST_ASKED // 100)
+
+
+def spare(n: int, share: int = SHARE) -> int:
+    """Members of a prefix that no partner's asking depends on: partners have needed(n) members or more."""
+    return asked(needed(n, share)) - 1
+
+
+def in_common(nx, ny, ask_x, ask_y, share: int = SHARE, least=np.minimum, most=np.maximum):
+    """Entries that two similar sets have in common at least, after either gave up what it can spare.
+
+    Of alpha members in common, all but needed(n) - ask lie in a prefix; the first of them in order lie in both. Works on
+    arrays, and on columns with least and most of columns.
+    """
+    alpha = -(-(nx + ny) * share // (100 + share))
+    need = lambda n: -(-n * share // 100)
+    free = lambda n: most(need(n) * LEAST_ASKED // 100, 1) - 1
+    inside = least(alpha - need(nx) + ask_x, alpha - need(ny) + ask_y)
+    return most(inside - most(free(nx), free(ny)), 1)
+
+
 def prefix(members: np.ndarray, level: np.ndarray, share: int = SHARE) -> tuple[np.ndarray, int]:
     """The prefix of a set and the number of members it asks for."""
     n = len(members)
@@ -138,8 +213,8 @@ def prefix(members: np.ndarray, level: np.ndarray, share: int = SHARE) -> tuple[
     order = np.argsort((own.astype(np.uint64) << np.uint64(58)) | (members * _ODD >> np.uint64(6)), kind="stable")
     base = n - needed(n, share)
     partners = np.cumsum(np.where(own[order] > 0, np.exp2(own[order].astype(float)), PARTNERS))
-    choices = [1]
-    while choices[-1] * 2 <= n // 4:
+    choices = [asked(n)]
+    while choices[-1] * 2 <= n // 3:
         choices.append(choices[-1] * 2)
     cost = [base + k + COMPARE * n * partners[base + k - 1] / k for k in choices]
     k = choices[int(np.argmin(cost))]
@@ -158,10 +233,10 @@ def _index(parts: int, shared, share: int):
         for held in _blocks(batches):
             docs: list[tuple[int, int, int, int]] = []
             classes: dict[int, int] = {}
-            tokens, sizes, asks = [], [], []
+            tokens, sizes, asks, members_of = [], [], [], []
             for batch in held:
                 numbers = column(batch, "doc_no").to_pylist()
-                for number, own in zip(numbers, sets(column(batch, "text").to_pylist()), strict=True):
+                for number, own in zip(numbers, sets(batch), strict=True):
                     c1, c2 = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "<i8").tolist()
                     docs.append((number, c1, c2, len(own)))
                     if len(own) and c1 not in classes:
@@ -170,10 +245,11 @@ def _index(parts: int, shared, share: int):
                         tokens.append(first)
                         sizes.append(len(first))
                         asks.append(k)
+                        members_of.append(len(own))
             out = [(docs[0][1] % parts, 2, _pack(*np.asarray(docs, "<i8").T))]
             if tokens:
                 token, who = np.concatenate(tokens), np.repeat(np.arange(len(sizes)), sizes)
-                names, asks = np.fromiter(classes, "<i8", len(classes)), np.asarray(asks, "<u2")
+                names, asks, counted = np.fromiter(classes, "<i8", len(classes)), np.asarray(asks, "<u4"), np.asarray(members_of, "<u4")
                 part = (token * _ODD >> np.uint64(40)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
@@ -181,7 +257,7 @@ def _index(parts: int, shared, share: int):
                     own = order[cuts[p] : cuts[p + 1]]
                     if len(own):
                         here, counts = _runs_of(who[own])
-                        out.append((p, 0, _pack(names[here], counts.astype("<u2"), asks[here], (token[own] & np.uint64(0xFFFFFFFF)).astype("<u4"))))
+                        out.append((p, 0, _pack(names[here], counts.astype("<u4"), asks[here], counted[here], (token[own] & np.uint64(0xFFFFFFFF)).astype("<u4"))))
             parts_, kinds, payloads = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(parts_, pa.int32()), pa.array(kinds, pa.int32()), pa.array(payloads, pa.binary())], ["part", "kind", "payload"])
 
@@ -197,48 +273,42 @@ def _rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entry lists of two classes or more as rows (0: list, class, asked), pairs with each list's smallest class
-    (1: class, class, shared, asked) and documents (2: doc_no, class, its other half, members)."""
-    names, counts, asks, tokens, part = [], [], [], [], 0
+    """Entry lists of two classes or more as rows (0: list, class, classes in the list, what the class asks and its
+    members), and documents (2: doc_no, class, its other half, members)."""
+    names, counts, asks, spares, tokens, part = [], [], [], [], [], 0
     for batch in batches:
         for p, kind, payload in zip(column(batch, "part").to_pylist(), column(batch, "kind").to_pylist(), column(batch, "payload").to_pylist(), strict=True):
             if kind == 2:
                 yield from _rows(2, *_unpack(payload, "<i8", "<i8", "<i8", "<i8"))
                 continue
             part = p
-            for held, got in zip((names, counts, asks, tokens), _unpack(payload, "<i8", "<u2", "<u2", "<u4"), strict=True):
+            for held, got in zip((names, counts, asks, spares, tokens), _unpack(payload, "<i8", "<u4", "<u4", "<u4", "<u4"), strict=True):
                 held.append(got)
     if not names:
         return
-    named, own = np.unique(np.concatenate(names), return_inverse=True)  # smaller number, smaller class
+    named, own = np.unique(np.concatenate(names), return_inverse=True)
     ask = np.zeros(len(named), np.int64)
-    ask[own] = np.concatenate(asks)
+    ask[own] = np.concatenate(asks).astype(np.int64) << 32 | np.concatenate(spares)
     entry = np.unique(np.concatenate(tokens).astype(np.uint64) << np.uint64(32) | np.repeat(own, np.concatenate(counts)).astype(np.uint64))
-    del names, counts, asks, tokens, own
+    del names, counts, asks, spares, tokens, own
     token, who = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    same = np.concatenate([[False], token[1:] == token[:-1]])
-    shared = same | np.concatenate([same[1:], [False]])
-    token, who, same = token[shared], who[shared], same[shared]
-    if not len(token):
-        return
-    begin = np.flatnonzero(~same)
-    hub = np.repeat(who[begin], np.diff(np.concatenate([begin, [len(who)]])))
-    yield from _rows(0, token.astype(np.int64) + (part << 32), named[who], ask[who])
-    pair, n = np.unique(hub[same] << 32 | who[same], return_counts=True)
-    a, b = pair >> 32, pair & 0xFFFFFFFF
-    yield from _rows(1, named[a], named[b], n, np.minimum(ask[a], ask[b]))
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.concatenate([begin, [len(token)]]))
+    size = np.repeat(size, size)
+    kept = size > 1
+    yield from _rows(0, token[kept].astype(np.int64) + (part << 32), named[who[kept]], size[kept], ask[who[kept]])
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes in different components of each list (rows sorted by list and component), with counts.
+    """Pairs of classes of each list that are apart (rows sorted by list and by what sets them apart), with counts.
 
     A list may go on from one batch to the next; pairs are made some hundred thousand at a time.
     """
-    names = ["a", "b", "n", "ask"]
+    names = ["a", "b", "n", "need"]
     held: list[np.ndarray] = []
 
     def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lists, comp, cls, ask = rows
+        lists, comp, cls, ask, n_of, held_, place = rows
         end = np.searchsorted(lists, lists, side="right")
         new = np.concatenate([[True], (lists[1:] != lists[:-1]) | (comp[1:] != comp[:-1])])
         begin = np.flatnonzero(new)
@@ -252,7 +322,19 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(left):
                 right = np.arange(len(left)) - np.repeat(np.cumsum(partners[at:to]) - partners[at:to], partners[at:to]) + block_end[left]
                 x, y = np.minimum(cls[left], cls[right]), np.maximum(cls[left], cls[right])
-                least = np.minimum(ask[left], ask[right])
+                fit = 100 * np.minimum(n_of[left], n_of[right]) >= SHARE * np.maximum(n_of[left], n_of[right])
+                left, right, x, y = left[fit], right[fit], x[fit], y[fit]
+                if not len(left):
+                    at = to
+                    continue
+                least = in_common(n_of[left], n_of[right], ask[left], ask[right])
+                # before this list two classes can share as many as the lesser place, after it as the lesser rest
+                most = np.minimum(place[left], place[right]) + 1 + np.minimum(held_[left] - place[left], held_[right] - place[right]) - 1
+                able = most >= least
+                left, right, x, y, least = left[able], right[able], x[able], y[able], least[able]
+                if not len(left):
+                    at = to
+                    continue
                 order = np.lexsort((y, x))
                 x, y, least = x[order], y[order], least[order]
                 first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
@@ -261,7 +343,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
     for batch in batches:
-        rows = np.stack([column(batch, k).to_numpy() for k in ("x", "comp", "y", "z")])
+        rows = np.stack([column(batch, k).to_numpy() for k in ("list", "apart", "class", "ask", "n_members", "held", "at")])
         held.append(rows)
         cut = int(np.searchsorted(rows[0], rows[0, -1], side="left")) if rows.shape[1] else 0
         if cut:  # all lists but the last are whole
@@ -280,7 +362,7 @@ def _compare(share: int):
         for batch in small(batches):
             out = {"a": [], "b": []}
             numbers = [column(batch, k).to_pylist() for k in ("hub", "bucket", "role", "node")]
-            for h, bucket, role, node, own in zip(*numbers, sets(column(batch, "text").to_pylist()), strict=True):
+            for h, bucket, role, node, own in zip(*numbers, sets(batch), strict=True):
                 if role == 0:
                     hub, key = own, (h, bucket)
                     continue
@@ -298,6 +380,145 @@ def _compare(share: int):
     return run
 
 
+def _column_in_common() -> Column:
+    """in_common() of an entry (n_members, ask) and its list's hub."""
+
+    class Whole:
+        """A column with Python's whole division."""
+
+        def __init__(self, c) -> None:
+            self.c = c
+
+        def __add__(self, o):
+            return Whole(self.c + (o.c if isinstance(o, Whole) else o))
+
+        def __sub__(self, o):
+            return Whole(self.c - (o.c if isinstance(o, Whole) else o))
+
+        def __mul__(self, k):
+            return Whole(self.c * k)
+
+        def __floordiv__(self, k):
+            return Whole(F.floor(self.c / F.lit(k)))
+
+        def __neg__(self):
+            return Whole(-self.c)
+
+    as_column = lambda x: x.c if isinstance(x, Whole) else F.lit(x)
+    both = lambda f: lambda x, y: Whole(f(as_column(x), as_column(y)))
+    sides = [Whole(F.col(c)) for c in ("n_members", "hub.n_members", "ask", "hub.ask")]
+    return in_common(*sides, least=both(F.least), most=both(F.greatest)).c
+
+
+def _shorten(lists: DataFrame, share: int) -> DataFrame:
+    """Without the entries that each class can spare, those in its longest lists.
+
+    Two similar sets have members in common in their prefixes. Lists have one order, by length, so what either spares of
+    those are the last in it; what both keep is counted by in_common(), and is at least one. A class that has no more
+    entries than it can spare has no partner. Adds how many a class keeps and the place of each in that order.
+    """
+    place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("size"), F.desc("list")))
+    free = F.greatest(F.floor(F.ceil(F.col("n_members") * share / 100) * LEAST_ASKED / 100), F.lit(1)) - 1
+    rows = lists.withColumn("_place", place).withColumn("_all", F.count("*").over(Window.partitionBy("class"))).filter(F.col("_place") > free)
+    return rows.select("list", "class", "ask", "n_members", (F.col("_all") - free).cast("long").alias("held"), (F.col("_all") - F.col("_place")).cast("long").alias("at"))
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's hub with the other classes in it, the FEW of each class that it shares most lists with.
+
+    Hubs are chosen alike in all lists. A pair is only counted in the lists that its hub is the hub of: it is strong where
+    that is what similar sets share, and is given from NEAR of that on.
+    """
+    hub = F.min_by(F.struct("class", "ask", "n_members", "held"), F.struct(F.xxhash64("class"), "class"))
+    hubs = lists.groupBy("list").agg(hub.alias("hub"))
+    met = lists.join(hubs, "list").filter(F.col("class") != F.col("hub.class")).withColumn("need", _column_in_common())
+    pairs = met.groupBy(F.col("hub.class").alias("a"), F.col("class").alias("b")).agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    order = Window.partitionBy("b").orderBy(F.desc("n"), F.xxhash64("a"), "a")
+    near = pairs.filter(F.col("n") >= F.col("need") * NEAR).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= FEW)
+    return near.select("a", "b", (F.col("n") >= F.col("need")).alias("strong"))
+
+
+def _unite(share: int):
+    """Rows sorted by unit, two blocks of it, and block: the links between components that the blocks' texts make.
+
+    All pairs of the two blocks are compared by a product of their membership matrices, over members that both have.
+    """
+
+    def links(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        """rows: block, component, node, set."""
+        first = rows[0][0]
+        left = [r for r in rows if r[0] == first]
+        right = [r for r in rows if r[0] != first] or left
+        sides = [np.concatenate([r[3] for r in side]) for side in (left, right)]
+        both = np.intersect1d(*sides)
+        counts = np.zeros((len(left), len(right)), np.float32)
+        for a in range(0, len(both), 4_096):
+            part = both[a : a + 4_096]
+            grids = []
+            for side in (left, right):
+                grid = np.zeros((len(side), len(part)), np.float32)
+                for k, r in enumerate(side):
+                    at = np.searchsorted(part, r[3])
+                    at[at == len(part)] = 0
+                    grid[k, at[part[at] == r[3]]] = 1
+                grids.append(grid)
+            counts += grids[0] @ grids[1].T
+        sizes = [np.asarray([len(r[3]) for r in side], np.int64) for side in (left, right)]
+        counts = counts.astype(np.int64)
+        whole = sizes[0][:, None] + sizes[1][None, :] - counts
+        group = [np.asarray([r[1] for r in side]) for side in (left, right)]
+        x, y = np.nonzero((100 * counts >= share * whole) & (group[0][:, None] != group[1][None, :]))
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        out = []
+        for i, k in zip(x.tolist(), y.tolist(), strict=True):
+            p, q = find(left[i][1]), find(right[k][1])
+            if p != q:
+                root[p] = q
+                out.append((left[i][2], right[k][2]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+
+        def give() -> Iterator[pa.RecordBatch]:
+            if held and (out := links(held)):
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in small(batches):
+            columns = [column(batch, k).to_pylist() for k in ("unit", "i", "j", "block", "component", "node")]
+            for unit, i, j, block, comp, node, own in zip(*columns, sets(batch), strict=True):
+                if key != (unit, i, j):
+                    yield from give()
+                    held, key = [], (unit, i, j)
+                held.append((block, comp, node, own))
+        yield from give()
+
+    return run
+
+
+def _within_units(texts: DataFrame, members_: DataFrame, share: int, scratch: Scratch) -> DataFrame:
+    """Links between components of a unit, for units of more than BIG classes; members_: node, unit, component."""
+    spark = texts.sparkSession
+    sized = members_.groupBy("unit").agg(F.count("*").alias("size"), F.countDistinct("component").alias("comps")).filter(F.col("comps") > 1)
+    blocks = F.ceil(F.col("size") / UNIT_BLOCK).cast("int")
+    dealt = members_.join(sized, "unit").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    wanted = dealt.select("node", "unit", "component", "block", other).select("node", "unit", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sent = texts.withColumnRenamed("doc_no", "node").join(wanted.hint("shuffle_hash"), "node")
+    sent = sent.repartition(width(spark), "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "block")
+    out = scratch.save(sent.select("unit", "i", "j", "block", "component", "node", "text").mapInArrow(_unite(share), "a long, b long"), "unit-links")
+    free_shuffles(spark)
+    return out
+
+
 def _verify(texts: DataFrame, pairs: DataFrame, share: int, scratch: Scratch, name: str, together: int = 32) -> DataFrame:
     """The pairs (a, b) of doc_no whose whole texts are similar. A hub's text goes with up to about `together` others."""
     spark = texts.sparkSession
@@ -321,31 +542,42 @@ def classes_of(docs: DataFrame, share: int = SHARE) -> DataFrame:
     indexed = texts.mapInArrow(_index(parts, shared, share), _BLOCK).repartitionById(parts, "part")
     found = scratch.save(indexed.mapInArrow(_lists, _ROWS), "lists", "zstd")
     free_shuffles(spark)
-    lists = found.filter("kind = 0").select("x", "y", "z")
-    stars = found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("z").alias("n"), F.col("w").alias("ask"))
     own = found.filter("kind = 2").select(F.col("x").alias("doc_no"), F.col("y").alias("c1"), F.col("z").alias("c2"), F.col("w").alias("n_members")).distinct()
     named = scratch.save(own.groupBy("c1", "c2").agg(F.min("doc_no").alias("class_no")), "classes", "zstd")
     names = named.select("c1", "class_no")
+    lists = found.filter("kind = 0").select(F.col("x").alias("list"), F.col("y").alias("class"), F.col("z").alias("size"), F.expr("w >> 32").alias("ask"), F.expr("w & 4294967295").alias("n_members"))
+    lists = scratch.save(_shorten(lists, share), "shorter", "zstd")
+    free_shuffles(spark)
 
-    def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs of class_no that share as many members as they must."""
-        kept = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("ask").alias("ask")).filter("n >= ask")
+    def in_numbers(pairs: DataFrame, *more: str) -> DataFrame:
+        """Pairs of classes as pairs of class_no, the smaller first."""
         left = names.select(F.col("c1").alias("a"), F.col("class_no").alias("na"))
         right = names.select(F.col("c1").alias("b"), F.col("class_no").alias("nb"))
-        return kept.join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-
-    first = scratch.save(enough(stars), "pairs")
-    links = _verify(texts, first, share, scratch, "links")
-    comps = components(links, scratch)
-    where = names.join(comps, names["class_no"] == comps["node"]).select(F.col("c1").alias("y"), "component")
-    placed = lists.join(where, "y", "left").withColumn("comp", F.coalesce("component", "y")).select("x", "comp", "y", "z")
-    apart = placed.repartition(parts, "x").sortWithinPartitions("x", "comp").mapInArrow(_cross, "a long, b long, n long, ask long")
-    again = enough(apart)
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    again = scratch.save(again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(done, ["a", "b"], "left_anti"), "pairs")
+        return pairs.join(left, "a").join(right, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), *more)
+
+    def with_links(made: DataFrame, comps: DataFrame) -> DataFrame:
+        known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return scratch.save(components(made.unionByName(known), scratch), "components")
+
+    stars = scratch.save(in_numbers(_stars(lists), "strong").groupBy("a", "b").agg(F.bool_or("strong").alias("strong")), "pairs")
+    done = stars.filter("strong").select("a", "b")
+    comps = scratch.save(components(_verify(texts, done, share, scratch, "links"), scratch), "components")
+    units = components(stars, scratch).withColumnRenamed("component", "unit")
+    large = units.groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") > BIG).select("unit")
+    units = scratch.save(units.join(large, "unit").join(comps, "node", "left").select("node", "unit", F.coalesce("component", "node").alias("component")), "units")
+    if not units.isEmpty():
+        comps = with_links(_within_units(texts, units, share, scratch), comps)
+    # pairs of one large unit are compared all; of the rest, those in different components are still open
+    apart = F.coalesce(-F.col("unit") - 1, "component", "class_no")
+    where = named.join(comps, F.col("class_no") == comps["node"], "left").drop("node").join(units.select("node", "unit"), F.col("class_no") == units["node"], "left")
+    placed = lists.join(where.select(F.col("c1").alias("class"), apart.alias("apart")), "class")
+    split = placed.groupBy("list").agg(F.min("apart").alias("least"), F.max("apart").alias("most")).filter("least < most").select("list")
+    placed = placed.join(split, "list").repartition(parts, "list").sortWithinPartitions("list", "apart")
+    open_pairs = placed.mapInArrow(_cross, "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    again = in_numbers(open_pairs.filter("n >= need").select("a", "b")).distinct()
+    again = scratch.save(again.join(done, ["a", "b"], "left_anti"), "pairs")
     if not again.isEmpty():
-        links = links.unionByName(_verify(texts, again, share, scratch, "links"))
-        comps = components(links, scratch)
+        comps = with_links(_verify(texts, again, share, scratch, "links"), comps)
     out = own.join(named, ["c1", "c2"]).join(comps, F.col("class_no") == comps["node"], "left")
     alone = F.when(F.col("n_members") == 0, F.col("doc_no")).otherwise(F.coalesce("component", "class_no"))
     return out.select("doc_no", "n_members", F.when(F.col("n_members") == 0, F.col("doc_no")).otherwise(F.col("class_no")).alias("class_no"), alone.alias("component"))

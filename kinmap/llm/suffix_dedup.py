@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmap.llm.common import Scratch, column, free_shuffles, numbered, small, width
+from kinmap.llm.common import Scratch, column, free_shuffles, numbered, small, text_buffers, width
 
 LENGTH = 100
 SEED = 36
@@ -111,12 +111,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: i
 
 def _buffers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document numbers, and the texts' bytes with their offsets."""
-    texts = column(batch, "text")
-    wide = pa.types.is_large_binary(texts.type) or pa.types.is_large_string(texts.type)
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return column(batch, "doc_no").to_numpy(), data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    return column(batch, "doc_no").to_numpy(), *text_buffers(batch)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[list[pa.RecordBatch]]:

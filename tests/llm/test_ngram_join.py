@@ -92,6 +92,22 @@ def test_hub_with_many_near_copies(spark):
     assert {c for _, _, c in out} == {5} and out == brute(rows)
 
 
+@pytest.mark.parametrize("big,block", [(4, 3), (4, 500), (64, 512)])
+def test_units_of_near_copies_around_the_threshold(spark, monkeypatch, big, block):
+    monkeypatch.setattr(ngram_join, "BIG", big)
+    monkeypatch.setattr(ngram_join, "UNIT_BLOCK", block)
+    rng = random.Random(block)
+    rows = []
+    for g in range(3):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        for i in range(40):
+            text = list(base)
+            for _ in range(rng.randint(0, 7)):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(10**9)}"
+            rows.append((g * 100 + i, " ".join(text)))
+    assert result(ngram_join.join(frame(spark, rows).repartition(3))) == brute(rows)
+
+
 def test_odd_rows(spark):
     t = "one two three four five six seven"
     rows = [(None, t), (3, t), (3, t), (3, "other words in this text here"), (None, "x"), (4, None), (4, None), (2, "one two three four five six seven".upper()), (9, "É x"), (8, "é x")]
@@ -113,7 +129,9 @@ def test_prefix_principle():
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= 75 * (len(a) + len(b) - both):
             (p, k), (q, m) = ngram_join.prefix(a, level), ngram_join.prefix(b, level)
-            assert len(np.intersect1d(p, q)) >= min(k, m)
+            assert len(np.intersect1d(p, q)) >= min(k, m) > max(ngram_join.spare(len(a)), ngram_join.spare(len(b)))
+            free = max(ngram_join.spare(len(a)), ngram_join.spare(len(b)))
+            assert len(np.intersect1d(p, q)) - free >= ngram_join.in_common(np.array([len(a)]), np.array([len(b)]), k, m)[0] >= 1
 
 
 def test_components_of_chains_and_stars(spark):
