@@ -85,6 +85,19 @@ def cumulative_share(rows: DataFrame, value: str, out: str, descending: bool = F
     return rows.join(ranked.select("_v", out), rows[value] == F.col("_v"), "left").select(*rows.columns, out)
 
 
+def ranked(rows: DataFrame, value: str, ties: list[str], out: str, bins: int = 4_096) -> DataFrame:
+    """Adds the place of each row, from 1, by value and then ties: ranked within bins of value, and bins among each other."""
+    low, high = rows.agg(F.min(value), F.max(value)).first()
+    if low is None:
+        return rows.withColumn(out, F.lit(None).cast("long"))
+    step = (high - low) / bins or 1.0
+    binned = rows.withColumn("_bin", F.floor((F.col(value) - low) / step))
+    sizes = binned.groupBy("_bin").agg(F.count("*").alias("_n"))
+    before = sizes.select("_bin", (F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_bin").orderBy(value, *ties))
+    return binned.withColumn("_place", place).join(before, "_bin").withColumn(out, F.col("_before") + F.col("_place")).select(*rows.columns, out)
+
+
 def upper_median(values: Column) -> Column:
     """Element floor(n / 2) of the ascending values; infinity where there is none."""
     kept = F.array_sort(F.array_compact(values))

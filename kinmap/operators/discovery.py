@@ -12,7 +12,7 @@ def discovery_ast(q_max: float | None = None, percentile: float | None = None, i
     if q_max is not None:
         parts.append({"edge.q_value": {"lte": q_max}})
     if percentile is not None:
-        parts.append({"edge.cskl_percentile": {"gte": percentile}})
+        parts.append({"edge.score_percentile": {"gte": percentile}})
     if independent is not None:
         parts.append({"edge.independent": {"eq": independent}})
     if relation in ("same_tissue", "same_tissue_other_disease"):
@@ -24,7 +24,7 @@ def discovery_ast(q_max: float | None = None, percentile: float | None = None, i
     if tissue.strip():
         parts.append({"node.tissue_system": {"contains": tissue.strip()}})
     if text_at_most is not None:
-        parts.append({"edge.specter2_percentile": {"lte": text_at_most}})
+        parts.append({"edge.text_percentile": {"lte": text_at_most}})
     return {"all": True} if not parts else parts[0] if len(parts) == 1 else {"and": parts}
 
 

@@ -16,9 +16,9 @@ MOST_ROWS, MOST_OFFSET = 5_000, 100_000
 NUMBERS = {
     "edge.q_value": ("q", True),
     "edge.p_value": ("p", True),
-    "edge.cskl": ("score", False),
-    "edge.cskl_percentile": ("percentile", True),
-    "edge.specter2_percentile": ("text_percentile", True),
+    "edge.score": ("score", False),
+    "edge.score_percentile": ("percentile", True),
+    "edge.text_percentile": ("text_percentile", True),
     "edge.overlap_coefficient": ("overlap_coefficient", True),
     "edge.shared_count": ("shared_count", False),
 }
@@ -76,8 +76,8 @@ def _number(name: str, expected, bounded: bool) -> float:
 
 
 class _Compiler:
-    def __init__(self) -> None:
-        self.out = Compiled(F.lit(True))
+    def __init__(self, aliases: Mapping[str, str]) -> None:
+        self.out, self.aliases = Compiled(F.lit(True)), ALIASES | dict(aliases)
 
     def expression(self, value, depth: int = 0) -> Column:
         if depth > DEEPEST:
@@ -101,7 +101,7 @@ class _Compiler:
             raise UnsupportedQuery(f"{key} has no evidence in a snapshot")
         if not isinstance(operand, Mapping) or len(operand) != 1:
             raise QueryError(f"{key} takes one operator")
-        return self.leaf(ALIASES.get(key, key), *next(iter(operand.items())))
+        return self.leaf(self.aliases.get(key, key), *next(iter(operand.items())))
 
     def leaf(self, key: str, operator: str, expected) -> Column:
         if key in NUMBERS:
@@ -161,11 +161,12 @@ class _Compiler:
         raise QueryError(f"{key} supports eq, contains, same and different")
 
 
-def compile_query(ast: Mapping, terms: AnnotationTerms | None = None) -> Compiled:
+def compile_query(ast: Mapping, terms: AnnotationTerms | None = None, aliases: Mapping[str, str] | None = None) -> Compiled:
+    """The query's condition. aliases maps other dialects' field names to this one's."""
     canonical = json.dumps(ast, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     if len(canonical.encode()) > MOST_BYTES:
         raise QueryError(f"more than {MOST_BYTES} bytes")
-    compiler = _Compiler()
+    compiler = _Compiler(aliases or {})
     compiler.out.condition = compiler.expression(ast)
     compiler.out.canonical, compiler.out.terms = canonical, terms
     if compiler.out.fields and terms is None:

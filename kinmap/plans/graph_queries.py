@@ -52,10 +52,10 @@ def w02_bh_qvalues(spark, sf):
 
 @case(with_(CAL) + "select a, b, rk::bigint as rank, n::bigint as family, round(raw, 9) as raw from raws")
 def w01_bh_ranks(spark, sf):
-    rows = frames.with_p(text_pairs(spark, sf))
-    order = Window.orderBy("p", "a", "b")
+    rows = calibrated(spark, sf).select("a", "b", "p")
     n = rows.count()
-    return rows.select("a", "b", F.row_number().over(order).cast("long").alias("rank"), F.lit(n).cast("long").alias("family"), F.round(F.col("p") * n / F.row_number().over(order), 9).alias("raw"))
+    out = stats.ranked(rows, "p", ["a", "b"], "rank")
+    return out.select("a", "b", "rank", F.lit(n).cast("long").alias("family"), F.round(F.col("p") * n / F.col("rank"), 9).alias("raw"))
 
 
 @case(with_(CAL) + "select a, b, percentile from cal")
@@ -335,7 +335,7 @@ def r01_delta_scoring(spark, sf):
 @case(with_(PAIRS) + "select (row_number() over (order by a, b) - 1) // 1000 as batch, a, b from pairs where b >= 400 and a < 20")
 def r02_bounded_batches(spark, sf):
     rows = r01_delta_scoring(spark, sf).filter("a < 20")
-    return rows.select(F.expr("(row_number() over (order by a, b) - 1) div 1000").alias("batch"), "a", "b")
+    return stats.ranked(rows, "a", ["b"], "n").select(F.expr("(n - 1) div 1000").alias("batch"), "a", "b")
 
 
 # --- snapshots ------------------------------------------------------------------------------------------------------
@@ -409,16 +409,16 @@ def _template(name: str, ast: dict, where: str):
 
 
 _INDEPENDENT = "((overlap_class is not null and not excluded) or in_independent)"
-_template("f01_and_or_not", {"and": [{"edge.q_value": {"lte": 1.0}}, {"or": [{"edge.cskl_percentile": {"gte": 0.99}}, {"not": {"edge.specter2_percentile": {"lt": 0.98}}}]}]}, "q <= 1 and (percentile >= 0.99 or not (text_percentile < 0.98))")
-_template("f02_numeric", {"and": [{"edge.cskl": {"lt": 0.8}}, {"edge.shared_count": {"gt": 0}}, {"edge.overlap_coefficient": {"gte": 0.2}}]}, "score < 0.8 and coalesce(shared_count, 0) > 0 and coalesce(overlap_coefficient, 0) >= 0.2")
-_template("f04_overlap_class", {"and": [{"edge.overlap_classification": {"eq": "none"}}, {"edge.cskl": {"lt": 0.7}}]}, "coalesce(overlap_class, 'none') = 'none' and score < 0.7")
-_template("f05_platform_same", {"and": [{"node.platform": {"same": True}}, {"topology.community": {"different": True}}, {"edge.cskl": {"lt": 0.75}}]}, "pa = pb and coalesce(ca, 'unknown') <> coalesce(cb, 'unknown') and score < 0.75")
-_template("f06_same_tissue", {"and": [{"node.tissue": {"same": True}}, {"edge.cskl": {"lt": 0.85}}]}, f"{_HAS.format('a', 'tissue')} and {_HAS.format('b', 'tissue')} and {_SHARED.format('tissue')} and score < 0.85")
-_template("f06_different_disease", {"and": [{"node.disease": {"different": True}}, {"edge.cskl": {"lt": 0.72}}]}, f"{_HAS.format('a', 'disease')} and {_HAS.format('b', 'disease')} and not {_SHARED.format('disease')} and score < 0.72")
-_template("f06_tissue_equals", {"and": [{"node.tissue": {"eq": " Liver "}}, {"edge.cskl": {"lt": 0.75}}]}, "exists (select 1 from ok where field = 'tissue' and term = 'liver' and ok.id in (a, b)) and score < 0.75")
-_template("f07_sample_count", {"and": [{"node.sample_count": {"gte": 395}}, {"edge.cskl": {"lt": 0.9}}]}, "(sa >= 395 or sb >= 395) and score < 0.9")
+_template("f01_and_or_not", {"and": [{"edge.q_value": {"lte": 1.0}}, {"or": [{"edge.score_percentile": {"gte": 0.99}}, {"not": {"edge.text_percentile": {"lt": 0.98}}}]}]}, "q <= 1 and (percentile >= 0.99 or not (text_percentile < 0.98))")
+_template("f02_numeric", {"and": [{"edge.score": {"lt": 0.8}}, {"edge.shared_count": {"gt": 0}}, {"edge.overlap_coefficient": {"gte": 0.2}}]}, "score < 0.8 and coalesce(shared_count, 0) > 0 and coalesce(overlap_coefficient, 0) >= 0.2")
+_template("f04_overlap_class", {"and": [{"edge.overlap_classification": {"eq": "none"}}, {"edge.score": {"lt": 0.7}}]}, "coalesce(overlap_class, 'none') = 'none' and score < 0.7")
+_template("f05_platform_same", {"and": [{"node.platform": {"same": True}}, {"topology.community": {"different": True}}, {"edge.score": {"lt": 0.75}}]}, "pa = pb and coalesce(ca, 'unknown') <> coalesce(cb, 'unknown') and score < 0.75")
+_template("f06_same_tissue", {"and": [{"node.tissue": {"same": True}}, {"edge.score": {"lt": 0.85}}]}, f"{_HAS.format('a', 'tissue')} and {_HAS.format('b', 'tissue')} and {_SHARED.format('tissue')} and score < 0.85")
+_template("f06_different_disease", {"and": [{"node.disease": {"different": True}}, {"edge.score": {"lt": 0.72}}]}, f"{_HAS.format('a', 'disease')} and {_HAS.format('b', 'disease')} and not {_SHARED.format('disease')} and score < 0.72")
+_template("f06_tissue_equals", {"and": [{"node.tissue": {"eq": " Liver "}}, {"edge.score": {"lt": 0.75}}]}, "exists (select 1 from ok where field = 'tissue' and term = 'liver' and ok.id in (a, b)) and score < 0.75")
+_template("f07_sample_count", {"and": [{"node.sample_count": {"gte": 395}}, {"edge.score": {"lt": 0.9}}]}, "(sa >= 395 or sb >= 395) and score < 0.9")
 _template("f11_independent_same_tissue", {"and": [{"edge.q_value": {"lte": 1.0}}, {"edge.independent": {"eq": True}}, {"node.tissue": {"same": True}}]}, f"q <= 1 and {_INDEPENDENT} and {_SHARED.format('tissue')}")
-_template("f11_text_disagrees", {"and": [{"edge.cskl_percentile": {"gte": 0.95}}, {"edge.specter2_percentile": {"lte": 0.01}}]}, "percentile >= 0.95 and text_percentile <= 0.01")
+_template("f11_text_disagrees", {"and": [{"edge.score_percentile": {"gte": 0.95}}, {"edge.text_percentile": {"lte": 0.01}}]}, "percentile >= 0.95 and text_percentile <= 0.01")
 _template("f16_discovery", {"and": [{"edge.independent": {"eq": False}}, {"edge.p_value": {"lte": 0.2}}, {"node.disease": {"same": True}}]}, f"not {_INDEPENDENT} and p <= 0.2 and {_SHARED.format('disease')}")
 
 

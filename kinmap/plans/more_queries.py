@@ -96,7 +96,7 @@ def _view(spark, sf):
 
 @case(with_(CAL) + graph_queries._TERMS + ", f as (select a, b, q, score from v where q <= 1 and percentile >= 0.9 order by q, score, a, b limit 101 offset 50) select a, b, q, score, (select count(*) from f) > 100 as has_more from f order by q, score, a, b limit 100")
 def f10_query_page(spark, sf):
-    query = compile_query({"and": [{"edge.q_value": {"lte": 1.0}}, {"edge.cskl_percentile": {"gte": 0.9}}]})
+    query = compile_query({"and": [{"edge.q_value": {"lte": 1.0}}, {"edge.score_percentile": {"gte": 0.9}}]})
     rows = execute(_view(spark, sf), query, limit=100, offset=50, probe=True).select("a", "b", "q", "score")
     total = rows.agg((F.count("*") > 100).alias("has_more"))
     return rows.orderBy("q", "score", "a", "b").limit(100).crossJoin(F.broadcast(total))
@@ -439,7 +439,7 @@ def r03_input_validation(spark, sf):
 @case("select (row_number() over (order by o_orderkey) - 1) // 1000 as page, o_orderkey from orders where o_orderkey > 2500")
 def r05_cursor_pages(spark, sf):
     rows = table(spark, sf, "orders").filter("o_orderkey > 2500").select("o_orderkey")
-    return rows.select(F.expr("(row_number() over (order by o_orderkey) - 1) div 1000").alias("page"), "o_orderkey")
+    return stats.ranked(rows, "o_orderkey", [], "n").select(F.expr("(n - 1) div 1000").alias("page"), "o_orderkey")
 
 
 @case()

@@ -167,7 +167,7 @@ def test_query_contract():
     for _ in range(13):
         nest = {"not": nest}
     bad = [
-        {}, {"a": 1, "b": 2}, {"and": []}, {"and": [{"edge.q_value": {"lte": 1}}] * 33}, nest, {"edge.q_value": {"lte": 2}}, {"edge.q_value": {"lte": True}}, {"edge.cskl": {"lte": float("nan")}},
+        {}, {"a": 1, "b": 2}, {"and": []}, {"and": [{"edge.q_value": {"lte": 1}}] * 33}, nest, {"edge.q_value": {"lte": 2}}, {"edge.q_value": {"lte": True}}, {"edge.score": {"lte": float("nan")}},
         {"edge.q_value": {"like": 1}}, {"edge.independent": {"eq": 1}}, {"edge.overlap_classification": {"eq": "some"}}, {"node.sample_count": {"gte": -1}}, {"node.platform": {"same": 1}}, {"x'; drop": {"eq": 1}},
         {"node.tissue": {"eq": " "}}, {"or": [{"and": [{"edge.q_value": {"lte": 1}}] * 32}] * 3}, {"node.platform": {"eq": "x" * 21_000}},
     ]
@@ -179,8 +179,9 @@ def test_query_contract():
             query.compile_query({key: {"eq": 1}})
     with pytest.raises(query.UnsupportedQuery):
         query.compile_query({"node.tissue": {"same": True}})
-    out = query.compile_query({"and": [{"edge.specter2_percentile": {"gt": 0.5}}, {"edge.independent": {"eq": True}}, {"all": True}]})
+    out = query.compile_query({"and": [{"edge.text_percentile": {"gt": 0.5}}, {"edge.independent": {"eq": True}}, {"all": True}]})
     assert out.leaves == 2 and out.uses_text and out.uses_independence
+    assert query.compile_query({"edge.other": {"gt": 0.5}}, aliases={"edge.other": "edge.text_percentile"}).uses_text
 
 
 def test_query_treats_input_as_values(spark):
@@ -338,3 +339,11 @@ def test_windows_agree_between_batch_and_stream(spark, tmp_path, sf):
     out = delta.replay(spark, source, make, "windows", str(tmp_path / "mark"))
     key = lambda df: sorted((str(r["start"]), r["event_type"], r["n"], round(r["total"], 6)) for r in df.collect())
     assert key(out) == key(make(events))
+
+
+def test_ranked_equals_one_window(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([0.0, 0.25, rng.random()]), i) for i in range(500)]
+    out = {r["i"]: r["n"] for r in stats.ranked(spark.createDataFrame(rows, "v double, i int"), "v", ["i"], "n", bins=7).collect()}
+    assert out == {i: n for n, (_, i) in enumerate(sorted(rows), 1)}
+    assert stats.ranked(spark.createDataFrame([], "v double"), "v", [], "n").count() == 0
