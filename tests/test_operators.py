@@ -162,7 +162,7 @@ def test_union_top_k_ignores_row_order(spark):
         assert {(r["a"], r["b"]) for r in out.collect()} == want
 
 
-def test_query_contract():
+def test_query_contract(spark):
     nest = {"edge.q_value": {"lte": 1}}
     for _ in range(13):
         nest = {"not": nest}

@@ -28,7 +28,7 @@ def test_release_life(spark, tmp_path):
         publish.migrated(pairs, "pairs", version=2)
 
 
-def test_discovery_queries_compile():
+def test_discovery_queries_compile(spark):
     assert discovery.discovery_ast() == {"all": True}
     ast = discovery.discovery_ast(q_max=0.05, independent=True, text_at_most=0.5)
     out = compile_query(ast)
