@@ -36,6 +36,7 @@ from kinmap.llm.common import column, small
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 RUN_MOST = 40
+SPAN = 64
 UNKNOWN = 1e-7
 MEMO = 200_000
 
@@ -51,8 +52,15 @@ def load_pieces(path: str) -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def _prefixes(path: str) -> frozenset[str]:
-    return frozenset(p[:k] for p in load_pieces(path) for k in range(1, len(p) + 1))
+def _trie(path: str) -> dict:
+    """Pieces by their characters; the number of the piece that ends at a node is under None."""
+    root: dict = {}
+    for piece, k in load_pieces(path).items():
+        node = root
+        for c in piece:
+            node = node.setdefault(c, {})
+        node[None] = k
+    return root
 
 
 def runs(text: str) -> list[str]:
@@ -67,30 +75,33 @@ class Lattice:
     """All pieces at all places of some runs, grouped by place and length for passes over whole arrays."""
 
     def __init__(self, words: list[str], path: str) -> None:
-        pieces, prefixes = load_pieces(path), _prefixes(path)
-        hits: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        root, unknown = _trie(path), len(load_pieces(path))
         self.n, self.size = len(words), max((len(w) for w in words), default=0) + 1
         self.ends = np.asarray([len(w) + 1 for w in words], dtype=np.int64)
-        unknown = len(pieces)
+        which: list[int] = []
+        spans: list[int] = []  # place * SPAN + end
+        found: list[int] = []
         for w, word in enumerate(words):
             word = MARK + word
-            n = len(word)
+            n, before = len(word), len(found)
             for s in range(n):
-                e = s + 1
-                single = unknown
-                while e <= n and (piece := word[s:e]) in prefixes:
-                    if (k := pieces.get(piece)) is not None:
-                        if e == s + 1:
-                            single = k
-                        else:
-                            at = hits.setdefault((s, e), ([], []))
-                            at[0].append(w)
-                            at[1].append(k)
+                node, e = root.get(word[s]), s + 1
+                single = unknown if node is None else node.get(None, unknown)
+                spans.append(s * SPAN + e)
+                found.append(single)
+                while node is not None and e < n:
+                    node = node.get(word[e])
                     e += 1
-                at = hits.setdefault((s, s + 1), ([], []))
-                at[0].append(w)
-                at[1].append(single)
-        self.steps = [(s, e, np.asarray(a), np.asarray(b)) for (s, e), (a, b) in sorted(hits.items())]
+                    if node is not None and None in node:
+                        spans.append(s * SPAN + e)
+                        found.append(node[None])
+            which += [w] * (len(found) - before)
+        spans, which, found = (np.asarray(x, dtype=np.int64) for x in (spans, which, found))
+        order = np.argsort(spans, kind="stable")
+        spans, which, found = spans[order], which[order], found[order]
+        cuts = np.flatnonzero(np.concatenate([[True], spans[1:] != spans[:-1]])) if len(spans) else np.zeros(0, np.int64)
+        ends = np.concatenate([cuts[1:], [len(spans)]]) if len(spans) else cuts
+        self.steps = [(int(spans[a]) // SPAN, int(spans[a]) % SPAN, which[a:b], found[a:b]) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
 
     def forward(self, table: np.ndarray) -> np.ndarray:
         """alpha[word, place, language]; table: probability of [piece, language], the last row for unknown characters."""
