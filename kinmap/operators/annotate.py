@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def span_of(source: Column, quote: Column) -> tuple[Column, Column]:
@@ -17,16 +19,31 @@ def span_holds(source: Column, start: Column, end: Column, quote: Column) -> Col
     return F.coalesce((start >= 0) & (end >= start) & (F.substring(source, start + 1, end - start) == quote), F.lit(False))
 
 
-def ground(source: Column, start: Column, quote: Column) -> Column:
-    """Start of the quote: as given where it fits, else the nearest exact, else the nearest case-blind occurrence; null for none."""
+@F.arrow_udf(IntegerType())
+def _nearest(source: pa.Array, quote: pa.Array, blind_source: pa.Array, blind_quote: pa.Array, start: pa.Array) -> pa.Array:
+    """Start of the occurrence nearest to start, the earlier of two as near, in source or else in blind_source: two searches a text."""
+
+    def place(text: str | None, wanted: str | None, at: int | None) -> int | None:
+        if text is None or wanted is None:
+            return None
+        after = text.find(wanted, 0 if at is None else max(0, at))
+        before = -1 if at is None or at < 0 else text.rfind(wanted, 0, at + len(wanted))
+        if before < 0 or (after >= 0 and after - at < at - before):
+            return after if after >= 0 else None
+        return before
 
-    def nearest(text: Column, wanted: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.length(wanted)) == wanted)
-        ranked = F.array_sort(F.transform(places, lambda i: F.struct(F.abs(i - 1 - start).alias("far"), (i - 1).alias("at"))))
-        return F.get(ranked, F.lit(0))["at"]
+    out = []
+    for s, q, bs, bq, at in zip(*(c.to_pylist() for c in (source, quote, blind_source, blind_quote, start)), strict=True):
+        found = place(s, q, at)
+        out.append(place(bs, bq, at) if found is None else found)
+    return pa.array(out, pa.int32())
 
+
+def ground(source: Column, start: Column, quote: Column) -> Column:
+    """Start of the quote: as given where it fits, else the nearest exact, else the nearest case-blind occurrence; null for none."""
     exact = F.when(F.substring(source, start + 1, F.length(quote)) == quote, start)
-    return F.coalesce(exact, nearest(source, quote), nearest(F.lower(source), F.lower(quote)))
+    left = lambda c: F.when(exact.isNull(), c)
+    return F.coalesce(exact, _nearest(left(source), left(quote), left(F.lower(source)), left(F.lower(quote)), start.cast("int")))
 
 
 def resolve(labels: DataFrame, terms: DataFrame, key) -> DataFrame:

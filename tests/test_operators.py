@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinmap.functions import facets, ids, stats
 from kinmap.operators import annotate, graph, layout, matrix, overlap, pairs, query, release, signature
+from kinmap.plans import more_queries
 from kinmap.sources import sinks, text
 from kinmap.streaming import delta
 
@@ -307,6 +308,23 @@ def test_grounding(spark):
     assert [r[0] for r in df.select(annotate.ground(F.col("s"), F.col("at"), F.col("q"))).collect()] == [8, 8, 3, None, None]
 
 
+def nearest_by_brute_force(text, at, wanted):
+    for t, w in ((text, wanted), (text.lower(), wanted.lower())):
+        if places := [(abs(i - at), i) for i in range(len(t)) if t.startswith(w, i)]:
+            return min(places)[1]
+    return None
+
+
+def test_grounding_matches_brute_force_and_covers_every_document(spark, sf):
+    rng = random.Random(5)
+    rows = [("".join(rng.choices("aAb", k=rng.randint(0, 12))), rng.randint(0, 14), "".join(rng.choices("aAb", k=rng.randint(1, 3)))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "s string, at int, q string")
+    assert [r[0] for r in df.select(annotate.ground(F.col("s"), F.col("at"), F.col("q"))).collect()] == [nearest_by_brute_force(*r) for r in rows]
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["start"] for r in more_queries.Q["n04_span_grounding"](spark, sf).collect()}
+    assert got == {k: nearest_by_brute_force(t, 15, t[19:27].upper()) if t[19:27] else 15 if t is not None else None for k, t in docs.items()}
+
+
 def test_state_changes(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, v string, d double")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "k int, v string")
