@@ -2,11 +2,12 @@
 
 Each document gives five statistics (words, mean word length, symbols, repeated lines, repeated words), transformed so
 that ordinary prose is near normal. For each pair of language and source the minimum-covariance-determinant estimate
-of centre and covariance is found: from two starts (medians with quartile scales, and the plain moments) concentration
-steps keep the share H of rows with the smallest Mahalanobis distances and take their moments; a step never raises
-the determinant, and the start that ends with the smaller one is kept. The covariance is made consistent for
-normal data and widened by a floor for each statistic, since clean prose has none of some of them. A document whose
-squared distance is over the chi-squared cut is rejected. Documents that fail the base rules take no part in the
+of centre and covariance is found: from medians with median absolute deviations, concentration steps keep the share H
+of rows with the smallest Mahalanobis distances and take their moments; a step never raises the determinant. One more
+step takes the moments of all rows within the 0.975 quantile. Up to H and in the start nearly half of a group may be
+outlying; the plain moments are no start, because a third of equal rows ends with the smaller determinant from there.
+The covariance is made consistent for normal data and widened by a floor for each statistic, since clean prose has
+none of some of them. A document whose squared distance is over the chi-squared cut is rejected. Documents that fail the base rules take no part in the
 estimates. Groups of fewer than `least` usable rows are estimated together as one pool.
 
 Quantiles are merged sketches and moments are partial sums, so a group with a third of all rows costs no more in one
@@ -30,13 +31,16 @@ from pyspark.sql import functions as F
 from kinmap.llm.common import WORD_SPACE, Scratch
 
 D = 5
-H = 0.75
+#: (n + D + 1) / 2 of n rows, where n is the fewest that are estimated alone.
+H = 0.515
 #: Added to the standard deviation of each transformed statistic, in quadrature.
 FLOOR = (0.35, 0.04, 0.10, 0.25, 0.10)
-#: Chi-squared with 5 degrees of freedom passes the cut once in 10^11, so that clean documents stay in any corpus;
-#: the other is the mean of the smallest 75 % of its draws over 5.
-CUT = 60.41
-CONSISTENCY = 0.7082
+#: The 0.999 quantile of chi-squared with 5 degrees of freedom, the mean of the smallest share H of its draws over 5,
+#: its 0.975 quantile, and the mean of the draws below that over 5.
+CUT = 20.515
+CONSISTENCY = 0.53339
+NEAR = 12.8325
+NEAR_CONSISTENCY = 0.94739
 X = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
@@ -92,12 +96,12 @@ def _moments(weight: Column, tag: str, centre: str) -> list[Column]:
     return out + [F.sum(F.when(weight, dev[i] * dev[j])).alias(f"{tag}q{i}{j}") for i, j in PAIRS]
 
 
-def _invert(groups: DataFrame, tag: str) -> DataFrame:
+def _invert(groups: DataFrame, tag: str, consistency: float = CONSISTENCY) -> DataFrame:
     """Adds the precision matrix and log determinant to moments: tag + m0.., p00.., det."""
     n = F.greatest(F.coalesce(f"{tag}n", F.lit(0)), F.lit(1)).cast("double")
     mean = {i: F.coalesce(F.col(f"{tag}s{i}"), F.lit(0.0)) / n for i in range(D)}
     out = groups.withColumns({f"{tag}m{i}": F.col(f"c{i}") + mean[i] for i in range(D)})
-    cov = {f"{tag}v{i}{j}": (F.coalesce(F.col(f"{tag}q{i}{j}"), F.lit(0.0)) / n - mean[i] * mean[j]) / CONSISTENCY + (FLOOR[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
+    cov = {f"{tag}v{i}{j}": (F.coalesce(F.col(f"{tag}q{i}{j}"), F.lit(0.0)) / n - mean[i] * mean[j]) / consistency + (FLOOR[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
     out = out.withColumns(cov)
     for i in range(D):  # Cholesky factor, row by row
         for j in range(i + 1):
@@ -119,27 +123,29 @@ def _distance(tag: str) -> Column:
 
 
 def _model(tag: str) -> list[str]:
-    return [f"{tag}m{i}" for i in range(D)] + [f"{tag}p{i}{j}" for i, j in PAIRS] + [f"{tag}det"]
+    return [f"{tag}m{i}" for i in range(D)] + [f"{tag}p{i}{j}" for i, j in PAIRS]
 
 
 def estimates(usable: DataFrame, scratch: Scratch, steps: int = 3) -> DataFrame:
     """Centre m0.. and precision p00.. of each group g, from rows with g and the vector."""
     centres = [f"c{i}" for i in range(D)]
-    quartiles = [F.percentile_approx(x, [0.25, 0.5, 0.75], 1_000).alias(f"t{i}") for i, x in enumerate(X)]
-    start = usable.groupBy("g").agg(*quartiles)
-    scale = [F.greatest((F.col(f"t{i}")[2] - F.col(f"t{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in range(D)]
-    start = scratch.save(start.select("g", *[F.col(f"t{i}")[1].alias(c) for i, c in enumerate(centres)], *[(1 / (s * s)).alias(f"r{i}") for i, s in enumerate(scale)]), "start")
-    plain = usable.join(start, "g").groupBy("g").agg(*[F.first(c).alias(c) for c in centres], *_moments(F.lit(True), "b", "c"))
-    robust = start.select("g", *[F.col(c).alias(f"am{i}") for i, c in enumerate(centres)], *[(F.col(f"r{i}") if i == j else F.lit(0.0)).alias(f"ap{i}{j}") for i, j in PAIRS], F.lit(0.0).alias("adet"))
-    now = scratch.save(robust.join(_invert(plain, "b").select("g", *centres, *_model("b")), "g"), "step")
+    middle = usable.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1_000).alias(c) for x, c in zip(X, centres, strict=True)])
+    middle = scratch.save(middle, "middle")
+    off = usable.join(middle, "g").groupBy("g").agg(*[F.first(c).alias(c) for c in centres], *[F.percentile_approx(F.abs(F.col(x) - F.col(c)), 0.5, 1_000).alias(f"t{i}") for i, (x, c) in enumerate(zip(X, centres, strict=True))])
+    scale = [F.greatest(1.4826 * F.col(f"t{i}"), F.lit(FLOOR[i])) for i in range(D)]
+    start = [F.col(c).alias(f"am{i}") for i, c in enumerate(centres)] + [(1 / (scale[i] * scale[i]) if i == j else F.lit(0.0)).alias(f"ap{i}{j}") for i, j in PAIRS]
+    now = scratch.save(off.select("g", *centres, *start), "step")
     for _ in range(steps):
-        far = usable.join(now, "g").withColumns({"da": _distance("a"), "db": _distance("b")})
-        cuts = scratch.save(far.groupBy("g").agg(F.percentile_approx("da", H, 1_000).alias("ka"), F.percentile_approx("db", H, 1_000).alias("kb")), "cuts")
-        near = far.join(cuts, "g")
-        sums = near.groupBy("g").agg(*[F.first(c).alias(c) for c in centres], *_moments(F.col("da") <= F.col("ka"), "a", "c"), *_moments(F.col("db") <= F.col("kb"), "b", "c"))
-        now = scratch.save(_invert(_invert(sums, "a"), "b").select("g", *centres, *_model("a"), *_model("b")), "step")
-    better = F.col("adet") <= F.col("bdet")
-    return now.select("g", *[F.when(better, F.col("a" + c)).otherwise(F.col("b" + c)).alias(c) for c in (x[1:] for x in _model("a"))])
+        far = usable.join(now, "g").withColumn("da", _distance("a"))
+        cuts = scratch.save(far.groupBy("g").agg(F.percentile_approx("da", H, 1_000).alias("ka")), "cuts")
+        now = scratch.save(_invert(_sums(far.join(cuts, "g"), F.col("da") <= F.col("ka"), centres), "a").select("g", *centres, *_model("a")), "step")
+    far = usable.join(now, "g").withColumn("da", _distance("a"))
+    out = _invert(_sums(far, F.col("da") <= NEAR, centres), "a", NEAR_CONSISTENCY)
+    return scratch.save(out.select("g", *[F.col("a" + c).alias(c) for c in (x[1:] for x in _model("a"))]), "model")
+
+
+def _sums(rows: DataFrame, weight: Column, centres: list[str]) -> DataFrame:
+    return rows.groupBy("g").agg(*[F.first(c).alias(c) for c in centres], *_moments(weight, "a", "c"))
 
 
 def judge(docs: DataFrame, least: int = 200, cut: float = CUT) -> DataFrame:

@@ -47,6 +47,25 @@ def test_outliers_reject_junk_and_keep_clean(spark):
     assert np.mean([k for q, k, b in out if q == 0]) < 0.1
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_outliers_reject_a_third_of_junk(spark, copies):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 8))) for _ in range(2_000)]
+
+    def prose(n, symbols=0, repeats=0):
+        w = list(rng.choice(words, n))
+        for i in rng.choice(n, symbols, replace=False):
+            w[i] += "#"
+        return " ".join(w) + "\none and the same line again" * repeats
+
+    junk = [prose(300, 60, 8) for _ in range(200)]
+    rows = [(i, prose(int(rng.lognormal(5.5, 0.4)) + 60)) for i in range(400)] + [(1_000 + i, junk[0] if copies else t) for i, t in enumerate(junk)]
+    out = mcd_outliers.judge(spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r["base_failed"] for r in out)
+    assert np.mean([r["kept"] for r in out if r["doc_id"] >= 1_000]) < 0.01
+    assert np.mean([r["kept"] for r in out if r["doc_id"] < 1_000]) > 0.95
+
+
 def test_precision_inverts_the_covariance(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5))
