@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "dataset long, loadings array<array<double>>, weights array<double>, features int, samples int, share double"
@@ -113,6 +113,12 @@ def size_grid(low: int, high: int) -> list[int]:
     return sorted({first, *(a for a in anchors if first <= a <= last)})
 
 
+def covering(grid: Column, size: Column) -> Column:
+    """The ascending grid itself; an error where size lies outside it, since no profile holds there."""
+    inside = size.between(F.get(grid, F.lit(0)), F.element_at(grid, -1))
+    return F.when(inside, grid).otherwise(F.raise_error(F.concat(F.lit("sample count outside the size grid: "), size.cast("string"))))
+
+
 def null_profiles(sig: DataFrame, pool: DataFrame, vector: str, grid: list[int], draws: int = 20, seed: int = 7, most_pool: int = 5_000) -> DataFrame:
     """(dataset, size, mu, sigma): mean and deviation of each signature's distances to null signatures of each size.
 

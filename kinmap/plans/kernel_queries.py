@@ -11,6 +11,8 @@ from kinmap.streaming import delta
 
 Q = {}
 S = {}
+#: Null signatures of each size, the reference's default.
+DRAWS = 100
 
 
 def case(sql: str | None = None):
@@ -58,10 +60,15 @@ def m04_score_by_sql(spark, sf):
     return total.select("a", "b", F.round(F.greatest(F.lit(0.0), score), 6).alias("score"))
 
 
+def _null_profiles(spark, sf, sig):
+    """Null profiles on a grid that brackets the signatures' own sample counts."""
+    low, high = sig.agg(F.min("samples"), F.max("samples")).first()
+    return signature.null_profiles(sig, table(spark, sf, "embeddings"), "embedding", signature.size_grid(low, high), draws=DRAWS)
+
+
 @case()
 def m11_null_profiles(spark, sf):
-    sig = _signatures(spark, sf)
-    out = signature.null_profiles(sig, table(spark, sf, "embeddings"), "embedding", signature.size_grid(20, 60), draws=10)
+    out = _null_profiles(spark, sf, _signatures(spark, sf))
     return out.select("dataset", "size", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
@@ -71,15 +78,14 @@ def m12_bootstrap_pvalues(spark, sf):
     from kinmap.functions import stats
 
     sig = _signatures(spark, sf)
-    grid = signature.size_grid(20, 60)
-    profiles = signature.null_profiles(sig, table(spark, sf, "embeddings"), "embedding", grid, draws=10)
+    profiles = _null_profiles(spark, sf, sig)
     arrays = profiles.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("size", "mu", "sigma"))).alias("g"))
     side = lambda s: arrays.select(F.col("dataset").alias(s), F.col("g").alias("g" + s)).join(sig.select(F.col("dataset").alias(s), F.col("samples").alias("n" + s)), s)
     rows = signature.scores(sig, sig).join(side("a"), "a").join(side("b"), "b")
 
     def at(s: str, n: str, what: str):
         grid_ = F.transform(f"g{s}", lambda x: x["size"].cast("double"))
-        return stats.interpolate(F.col(n).cast("double"), grid_, F.transform(f"g{s}", lambda x: x[what]))
+        return stats.interpolate(F.col(n).cast("double"), signature.covering(grid_, F.col(n)), F.transform(f"g{s}", lambda x: x[what]))
 
     z = [(F.col("score") - at(s, n, "mu")) / F.greatest(at(s, n, "sigma"), F.lit(1e-12)) for s, n in (("a", "nb"), ("b", "na"))]
     rows = rows.withColumn("z", F.greatest(*z))

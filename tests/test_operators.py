@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinmap.functions import facets, ids, stats
 from kinmap.operators import annotate, graph, layout, matrix, overlap, pairs, query, release, signature
-from kinmap.plans import more_queries
+from kinmap.plans import kernel_queries, more_queries
 from kinmap.sources import sinks, text
 from kinmap.streaming import delta
 
@@ -325,6 +325,18 @@ def test_grounding_matches_brute_force_and_covers_every_document(spark, sf):
     assert got == {k: nearest_by_brute_force(t, 15, t[19:27].upper()) if t[19:27] else 15 if t is not None else None for k, t in docs.items()}
 
 
+def test_null_profiles_bracket_the_sample_counts(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2, [float(x) for x in rng.normal(size=4)]) for i in range(180)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sizes = {r["size"] for r in kernel_queries.m11_null_profiles(spark, str(tmp_path)).collect()}
+    assert min(sizes) <= 90 <= max(sizes)
+    df = spark.createDataFrame([([20.0, 60.0], 90), ([75.0, 100.0], 90)], "g array<double>, n int")
+    assert df.filter("g[0] = 75").select(signature.covering(F.col("g"), F.col("n"))).first()[0] == [75.0, 100.0]
+    with pytest.raises(Exception, match="outside the size grid"):
+        df.select(signature.covering(F.col("g"), F.col("n"))).collect()
+
+
 def test_state_changes(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, v string, d double")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "k int, v string")
