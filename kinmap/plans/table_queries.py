@@ -267,7 +267,7 @@ def u04_array_intersection(spark, sf):
 
 @case()
 def j10_sample_matching(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_suppkey <= 20").select(F.col("l_suppkey").alias("dataset"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey")).alias("accession"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_partkey")).alias("hash"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("dataset"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey")).alias("accession"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_partkey")).alias("hash"))
     return overlap.matched_samples(rows, rows)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinmap.functions import facets, ids, stats
 from kinmap.operators import annotate, graph, layout, matrix, overlap, pairs, query, release, signature
-from kinmap.plans import kernel_queries, more_queries
+from kinmap.plans import kernel_queries, more_queries, table_queries
 from kinmap.sources import sinks, text
 from kinmap.streaming import delta
 
@@ -337,6 +337,14 @@ def test_null_profiles_bracket_the_sample_counts(spark, tmp_path):
         df.select(signature.covering(F.col("g"), F.col("n"))).collect()
 
 
+def test_metric_and_matching_take_every_row(spark, sf, tmp_path):
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert more_queries.x01_pluggable_metric(spark, sf).count() == n * (n - 1) // 2
+    rows = [(1, 5, 30, 1), (1, 5, 40, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in table_queries.j10_sample_matching(spark, str(tmp_path)).select("a", "b", "shared").collect()] == [(30, 40, 1)]
+
+
 def test_state_changes(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, v string, d double")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "k int, v string")
