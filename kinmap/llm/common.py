@@ -18,10 +18,16 @@ WORD_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that setting is unset."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    Where that is unset, a temporary folder if driver and executors are one process, and else one in the warehouse.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="kinmap-")
+        if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+            path = "file://" + tempfile.mkdtemp(prefix="kinmap-")
+        else:
+            path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/kinmap-scratch"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -94,9 +100,13 @@ def small(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 1_0
 
 
 class Memo(dict):
-    """A bounded memory of compute(key): when it has `most` entries it becomes the old generation of a new one."""
+    """A bounded memory of compute(key): when it has `most` entries it becomes the old generation of a new one.
+
+    Keys of more than `longest` characters are computed each time, so that texts without spaces fill no memory.
+    """
 
     most = 100_000
+    longest = 64
 
     def __init__(self) -> None:
         self.old: dict = {}
@@ -105,6 +115,8 @@ class Memo(dict):
         raise NotImplementedError
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
@@ -115,6 +127,18 @@ class Memo(dict):
         return value
 
 
+ROW = "_kinmap_row"
+
+
+def packed(docs: DataFrame, *more: str) -> DataFrame:
+    """All columns of docs in the one struct ROW, with columns `more` beside it, so that no other name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW), *more)
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(ROW).getField(c).alias(c) for c in columns])
+
+
 def numbered(docs: DataFrame, nulls_first: bool = True) -> tuple[DataFrame, bool]:
     """docs with _doc_no, a number of each document in the order of doc_id: doc_id itself where that is unique and set.
 

@@ -87,7 +87,7 @@ def score(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
         for batch in small(batches):
             text, bucket = features([x or "" for x in column(batch, "text").to_pylist()], memo, len(table))
             total = np.bincount(text, weights=table[bucket], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "u"), pa.array(total)], ["doc_id", "u", "log_ratio"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "u"), pa.array(total, pa.float64())], ["doc_id", "u", "log_ratio"])
 
     uniform = (F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", uniform.alias("u")).mapInArrow(run, "doc_id long, u double, log_ratio double")

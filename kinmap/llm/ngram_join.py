@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import Scratch, column, free_shuffles, numbered, small, text_buffers, width
+from kinmap.llm.common import Scratch, column, free_shuffles, numbered, packed, small, text_buffers, unpacked, width
 from kinmap.llm.components import components
 from kinmap.llm.suffix_dedup import _blocks, _pack, _runs_of, _unpack
 
@@ -599,7 +599,7 @@ def join(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: int = SHAR
 
 def representatives(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """One row of each component, the one with the smallest id; all columns of docs."""
-    rows, sure = numbered(docs, nulls_first=False)
+    rows, sure = numbered(packed(docs, "doc_id", "text"), nulls_first=False)
     firsts = classes_of(rows, share).filter("doc_no = component").select(F.col("doc_no").alias("_doc_no")).distinct()
     kept = rows.join(firsts.hint("shuffle_hash"), "_doc_no", "left_semi")
-    return (kept if sure else kept.dropDuplicates(["_doc_no"])).select(*docs.columns)
+    return unpacked(kept if sure else kept.dropDuplicates(["_doc_no"]), docs.columns)
