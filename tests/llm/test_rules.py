@@ -99,19 +99,61 @@ def test_pfair_deviation_is_less_than_one_block(blocks, weights):
         assert all(abs(a - f) < 1 for a, f in zip(done, fluid))
 
 
+def fluid_lags(out, blocks, weights):
+    """Largest distance of each source's served blocks from the ideal stream."""
+    done, fluid, worst = [0] * len(blocks), [Fraction(0)] * len(blocks), Fraction(0)
+    for s in out:
+        left = Fraction(1)
+        while left:
+            open_ = [k for k in range(len(blocks)) if fluid[k] < blocks[k]]
+            total = sum(weights[k] for k in open_)
+            step = min([left] + [(blocks[k] - fluid[k]) * total / weights[k] for k in open_])
+            for k in open_:
+                fluid[k] += step * weights[k] / total
+            left -= step
+        done[s] += 1
+        worst = max([worst] + [abs(a - f) for a, f in zip(done, fluid)])
+    return worst
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_mixing_over_many_rounds_stays_within_a_block(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pfair_mixing, "RESOLUTION", 12)
+    if not broadcast:
+        monkeypatch.setattr(pfair_mixing, "MOST_BROADCAST", 0)
+    sizes = {"a": 150, "b": 61, "c": 7, "d": 40}
+    docs = spark.createDataFrame([(i, k) for k, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    weights = {"a": 6.0, "b": 3.0, "c": 2.0, "d": 1.0}
+    out = pfair_mixing.mix(docs, weights, block_rows=1).collect()
+    assert sorted(r["mix_slot"] for r in out) == list(range(sum(sizes.values())))
+    order = ["abcd".index(r["source"]) for r in sorted(out, key=lambda r: r["mix_slot"])]
+    assert fluid_lags(order, list(sizes.values()), [6, 3, 2, 1]) < 1
+    for k in sizes:
+        own = sorted((r["mix_slot"], r["mix_block"]) for r in out if r["source"] == k)
+        assert [b for _, b in own] == list(range(sizes[k]))
+
+
+def test_mixing_has_one_block_size_and_many_sources(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 700 as string) as source")
+    out = pfair_mixing.mix(docs, block_rows=8)
+    assert out.groupBy("source", "mix_block").count().agg({"count": "max"}).first()[0] == 8
+    assert out.select("mix_position").distinct().count() == 20_000
+
+
 def test_mixing_keeps_every_row(spark, sf):
     rows = [(i, "big") for i in range(500)] + [(i, "small") for i in range(40)] + [(7, None)] * 3 + [(None, "big"), (3, "big")]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, source string, k int, n int")
     out = pfair_mixing.mix(docs, {"big": 3.0, "small": 1.0}, block_rows=8).collect()
     assert Counter((r["doc_id"], r["source"]) for r in out) == Counter(rows)
-    assert sorted(r["mix_position"] for r in out) == list(range(len(rows)))
+    assert len({r["mix_position"] for r in out}) == len(rows)
     size = defaultdict(Counter)
     for r in sorted(out, key=lambda r: r["mix_position"]):
         size[r["mix_slot"]][(r["source"], r["mix_block"])] += 1
     assert all(len(x) == 1 and max(x.values()) <= 8 for x in size.values()) and list(size) == sorted(size)
     assert pfair_mixing.mix(docs.filter("false")).count() == 0
-    with pytest.raises(ValueError):
-        pfair_mixing.mix(docs.withColumnRenamed("k", "mix_slot"))
+    clash = pfair_mixing.mix(docs.withColumnRenamed("k", "mix_slot").withColumnRenamed("n", "_stretch"), {"big": 3.0, "small": 1.0}, block_rows=8)
+    assert clash.columns == ["doc_id", "source", "_stretch", *pfair_mixing.ADDED]
+    assert Counter((r["doc_id"], r["mix_position"]) for r in clash.collect()) == Counter((r["doc_id"], r["mix_position"]) for r in out)
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert queries.op8_pfair_mixing(spark, sf).select("mix_position").distinct().count() == n
     stored = pfair_mixing.in_mixed_order(docs, 3)
