@@ -4,8 +4,8 @@ A shard file is a run of records: length of the payload (u64), masked checksum o
 masked checksum of the payload (u32), all little-endian. The payload is doc_id (i64), a flag that is 1 where doc_id
 is null (u8), the width of an id in bytes (u8), and the ids. A checksum c of zlib's CRC-32 is masked as
 rotate_right(c, 15) + 0xa282ead8 modulo 2^32, so that a checksum stored in data isn't taken for one of data.
-Beside each shard lies an index with doc_id (i64), offset of the record (u64) and number of ids (u64), for reads in
-any order. Shards hold ascending ranges of doc_id and are sorted within, so their names in order give all ids in order.
+Beside each shard lies an index with doc_id (i64), offset of the record (u64), number of ids (u64) and of all ids before
+it in the shard (u64), for reads in any order. Shards hold ascending ranges of doc_id and are sorted within, so their names in order give all ids in order.
 
 Cases: a null text is written as the empty text, so only the end id. A null doc_id comes first. Rows with one doc_id
 keep the order of their texts. An empty table writes no shard and reads back empty. Other columns aren't read.
@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kinmap.llm.common import Memo, Scratch, column, small, width
 
-INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8")])
+INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8"), ("before", "<u8")])
 #: Records that one read task takes from a shard at most.
 READ_RECORDS = 1_024
 
@@ -135,7 +136,7 @@ def _write(folder: str, vocabulary: str, end_id: int):
                 ids = code.encode(text or "") + end
                 record = frame(struct.pack("<qBB", doc or 0, doc is None, size) + ids)
                 out.write(record)
-                index.append((doc or 0, at, len(ids) // size))
+                index.append((doc or 0, at, len(ids) // size, total))
                 at, total = at + len(record), total + len(ids) // size
         if out is None:
             return
@@ -167,12 +168,12 @@ def _read(folder: str):
             for part in batch.to_pylist():
                 name = f"{root}/shard-{part['shard']:06d}"
                 with store.open_input_file(f"{name}.idx") as f:
-                    index = np.frombuffer(f.read(), dtype=INDEX)
-                first, last = part["first"], min(part["first"] + READ_RECORDS, len(index))
-                start = part["base"] + int(index["n_ids"][:first].sum())
+                    f.seek(part["first"] * INDEX.itemsize)  # only its own entries, and the one after them
+                    index = np.frombuffer(f.read((READ_RECORDS + 1) * INDEX.itemsize), dtype=INDEX)
+                start = part["base"] + int(index["before"][0])
                 with store.open_input_file(f"{name}.rec") as f:
-                    begin = int(index["offset"][first])
-                    stop = int(index["offset"][last]) if last < len(index) else f.size()
+                    begin = int(index["offset"][0])
+                    stop = int(index["offset"][READ_RECORDS]) if len(index) > READ_RECORDS else f.size()
                     f.seek(begin)
                     data = memoryview(f.read(stop - begin))
                 at, out = 0, {"doc_id": [], "start": [], "n_tokens": [], "ids": []}
@@ -195,12 +196,11 @@ def read_records(spark: SparkSession, folder: str, shards: list[dict]) -> DataFr
 
     Reads go by the index, in runs of READ_RECORDS records, each with its checksums verified.
     """
-    parts, base = [], 0
-    for s in shards:
-        parts += [(s["shard"], first, base) for first in range(0, s["n_docs"], READ_RECORDS)]
-        base += s["n_ids"]
-    todo = spark.createDataFrame(parts, "shard long, first long, base long")
-    todo = todo.repartition(max(1, min(len(parts), 4 * width(spark))))
+    base = [0, *accumulate(s["n_ids"] for s in shards)]
+    files = spark.createDataFrame([(s["shard"], s["n_docs"], b) for s, b in zip(shards, base, strict=False)], "shard long, n_docs long, base long")
+    todo = files.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(READ_RECORDS).cast("long"))).alias("first"), "base")
+    reads = sum(-(-s["n_docs"] // READ_RECORDS) for s in shards)
+    todo = todo.repartition(max(1, min(reads, 4 * width(spark))), "shard", "first")
     return todo.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids binary")
 
 

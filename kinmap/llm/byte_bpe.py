@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmap.llm.common import Memo, column, small, width
+from kinmap.llm.common import Memo, Scratch, column, small, width
 
 
 @lru_cache(maxsize=4)
@@ -63,17 +63,17 @@ def coder(ranks_path: str, pattern: str) -> PieceIds:
     return PieceIds(ranks_path, pattern)
 
 
-def _whole(ranks_path: str, pattern: str, decoded: bool):
-    """Encode rows (row columns..., text) that are one chunk."""
+def _whole(ranks_path: str, pattern: str, decoded: bool, keep: tuple[str, ...]):
+    """Encode rows (columns keep, and text) that are one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(ranks_path, pattern)
         for batch in small(batches):
             ids = [code.encode(x) for x in column(batch, "text").to_pylist()]
-            out = [column(batch, "doc_id"), pa.array(ids, pa.binary())]
+            out = [*[column(batch, k) for k in keep], pa.array(ids, pa.binary())]
             if decoded:
                 out.append(pa.array([code.decode(x) for x in ids], pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][: len(out)])
+            yield pa.RecordBatch.from_arrays(out, [*keep, "ids", "decoded"][: len(out)])
 
     return run
 
@@ -96,10 +96,10 @@ def _chunks(ranks_path: str, pattern: str):
 
 
 _CHUNK_ARROW = pa.schema(
-    [("row_key", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("start", pa.int64()), ("text", pa.string())]
+    [("row_key", pa.int64()), ("chunk", pa.int32()), ("start", pa.int64()), ("text", pa.string())]
     + [("ends", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())]
 )
-_CHUNK = "row_key long, doc_id long, chunk int, start long, text string, ends binary, counts binary, ids binary"
+_CHUNK = "row_key long, chunk int, start long, text string, ends binary, counts binary, ids binary"
 
 
 def stitch(parts: list[dict], code: PieceIds) -> bytes:
@@ -136,34 +136,38 @@ def _join_up(ranks_path: str, pattern: str, decoded: bool):
         code = coder(ranks_path, pattern)
         rows = rows.sort_values("chunk")
         ids = stitch(rows.to_dict("records"), code)
-        doc = rows["doc_id"].iloc[0]
-        out = {"doc_id": pd.array([None if pd.isna(doc) else int(doc)], dtype="Int64"), "ids": [ids]}
+        out = {"row_key": [rows["row_key"].iloc[0]], "ids": [ids]}
         return pd.DataFrame(out | ({"decoded": [code.decode(ids)]} if decoded else {}))
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 65_536, overlap_chars: int = 1_024, with_decoded: bool = False) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers, packed) of each row's whole text.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 65_536, overlap_chars: int = 1_024, with_decoded: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep` of docs and ids (little-endian unsigned 32-bit integers, packed) of each row's whole text.
 
     with_decoded adds the bytes that the ids decode to. Each match of the pattern is encoded separately.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id long, ids binary" + ", decoded binary" * with_decoded
-    short = rows.filter(F.length("text") <= chunk_chars).mapInArrow(_whole(ranks_path, pattern, with_decoded), schema)
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
+    if "doc_id" in keep:
+        rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    more = "ids binary" + ", decoded binary" * with_decoded
+    schema = T.StructType([*rows.select(*keep).schema, *T._parse_datatype_string(more)])
+    short = rows.filter(F.length("text") <= chunk_chars).mapInArrow(_whole(ranks_path, pattern, with_decoded, keep), schema)
     chunk = F.explode(F.sequence(F.lit(0), F.ceil((F.length("text") - overlap_chars) / F.lit(float(chunk_chars))).cast("int") - 1)).alias("chunk")
-    long = (
-        rows.filter(F.length("text") > chunk_chars)
-        .withColumn("row_key", F.monotonically_increasing_id())  # before the explode, one for each row
-        .select("row_key", "doc_id", "text", chunk)
-        .select("row_key", "doc_id", "chunk", (F.col("chunk").cast("long") * chunk_chars).alias("start"), F.expr(f"substring(text, chunk * {chunk_chars} + 1, {chunk_chars + overlap_chars})").alias("text"))
+    place = F.struct(*[F.col(k) for k in keep]).alias("_place")
+    # written once, so that the number of a row is the same for its chunks and for its other columns
+    long = Scratch(spark, "long-texts").save(rows.filter(F.length("text") > chunk_chars).select(F.monotonically_increasing_id().alias("row_key"), place, "text"), "rows", "zstd")
+    made = (
+        long.select("row_key", "text", chunk)
+        .select("row_key", "chunk", (F.col("chunk").cast("long") * chunk_chars).alias("start"), F.expr(f"substring(text, chunk * {chunk_chars} + 1, {chunk_chars + overlap_chars})").alias("text"))
         .repartition(width(spark), "row_key", "chunk")
         .mapInArrow(_chunks(ranks_path, pattern), _CHUNK)
         .groupBy("row_key")
-        .applyInPandas(_join_up(ranks_path, pattern, with_decoded), schema)
+        .applyInPandas(_join_up(ranks_path, pattern, with_decoded), "row_key long, " + more)
     )
-    return short.unionByName(long)
+    whole = made.join(long.select("row_key", "_place"), "row_key")
+    return short.unionByName(whole.select(*[F.col("_place").getField(k).alias(k) for k in keep], "ids", *["decoded"] * with_decoded))
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

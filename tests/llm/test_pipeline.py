@@ -7,7 +7,8 @@ from test_ngram_join import brute as brute_components
 from test_suffix_dedup import brute as brute_spans
 
 import corpus_pipeline
-from kinmap.llm import byte_bpe
+from kinmap.llm import byte_bpe, pfair_mixing
+from kinmap.llm.common import ROW, packed
 
 
 def cut(rows):
@@ -36,7 +37,13 @@ def test_pipeline_matches_plain_stages(spark, sf):
     assert {d for d, *_ in brute_spans([(d, t.encode()) for d, t in rows], 100)} == keep
     texts = cut(rows)
     code = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
-    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
+    out = corpus_pipeline.run(spark, sf).collect()
+    got = {r["doc_id"]: r for r in out}
+    # the fourth stage's order reaches the result: positions sort the rows as the schedule does
+    kept = docs.join(spark.createDataFrame([(d,) for d in keep], "doc_id long"), "doc_id").select(*docs.columns)
+    cut_rows = corpus_pipeline.drop_repeated_passages(spark, kept, sf)
+    mixed = {r[ROW]["doc_id"]: r["mix_position"] for r in pfair_mixing.mix(packed(cut_rows, "source")).collect()}
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["mix_position"])] == sorted(keep, key=mixed.get)
     assert set(got) == keep
     for doc, text in texts.items():
         ids = np.asarray(code.encode_ordinary(text), "<u4").tobytes()
@@ -47,7 +54,8 @@ def test_pipeline_matches_plain_stages(spark, sf):
 def test_stages_keep_the_columns_and_odd_rows(spark):
     long = "the cat sat on the mat and looked at all the birds in the tree while the sun went down " * 3
     rows = [(1, long, "en", "a"), (2, long, "en", None), (3, None, None, "a"), (None, "a word", "en", "b"), (4, "", "de", "b"), (5, "katze und hund im haus", "de", "b"), (5, "katze und hund im haus", "de", "b"), (6, "12 34", "de", "b")]
-    docs = spark.createDataFrame([(*r, len(r[1] or ""), 1, 2, "k", 0.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, spans int, score long, kept string, mix_order double")
+    clash = "spans _score _doc_no mix_slot mix_block mix_position _key _id ids lang_pred score _kinmap_row _row _n kept n_bytes row_key decoded".split()
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *[1] * len(clash)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in clash))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "")
         assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema], name
