@@ -7,11 +7,12 @@ docstring says; an empty table gives an empty result.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmap.llm import byte_bpe, language_id, ngram_join, pfair_mixing, suffix_dedup
-from kinmap.llm.common import Scratch, width
+from kinmap.llm.common import ROW, Scratch, packed, unpacked, width
 
 #: A document whose language is not at least this sure is rejected; so is one without a letter.
 LEAST_SCORE = 0.5
@@ -20,8 +21,8 @@ LEAST_SCORE = 0.5
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows that aren't held out; what has no language, or no sure one, goes."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    out = language_id.learn_and_predict(docs, path, keep=tuple(docs.columns), out=("_lang_pred", "_score"))
-    return out.filter((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    out = language_id.learn_and_predict(packed(docs, "doc_id", "lang", "text"), path, keep=(ROW,), out=("lang_pred", "score"))
+    return unpacked(out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,24 +32,37 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose what an earlier text, or an earlier part of them, has already; no document goes."""
-    others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*others).alias("_row"), "doc_id", "text")
-    out = suffix_dedup.dedup(rows, keep=("_row",), as_text=True)
-    columns = {c: F.col("_row")[c] for c in others} | {"text": F.col("kept")}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(ROW), "doc_id", "text")
+    out = suffix_dedup.dedup(rows, keep=(ROW,), as_text=True)
+    columns = {c: F.col(ROW).getField(c) for c in docs.columns if c != "text"} | {"text": F.col("kept")}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
     return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, stored in the order of the schedule."""
+    """All rows, stored in the order of the schedule: files in the order of their names, rows in each as they stand."""
     return pfair_mixing.in_mixed_order(docs, width(spark))
 
 
+def stored_place(docs: DataFrame) -> Column:
+    """Where a row stands in the files docs was read from (their number, then the row's); null where docs is no such table."""
+    try:
+        docs.select("_metadata.row_index", "_metadata.file_name").schema  # noqa: B018
+    except AnalysisException:
+        return F.lit(None).cast("long")
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
+    return F.shiftleft(F.when(part != "", part).otherwise("0").cast("long"), 40) + F.col("_metadata.row_index")
+
+
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the ids of its text (packed little-endian u32), their number, and hashes of them and of their bytes."""
-    out = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_decoded=True)
-    return out.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """mix_position, doc_id, the ids of its text (packed little-endian u32), their number, and hashes of them and of
+    their bytes, stored by mix_position: the order in which the rows of docs stand, which the stage before decides."""
+    rows = docs.select(F.struct("doc_id", stored_place(docs).alias("place")).alias(ROW), "text")
+    out = byte_bpe.encode(rows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_decoded=True, keep=(ROW,))
+    hashes = (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    out = out.select(F.col(ROW)["place"].alias("mix_position"), F.col(ROW)["doc_id"].alias("doc_id"), "ids", *hashes)
+    return out.repartitionByRange(width(spark), "mix_position").sortWithinPartitions("mix_position")
 
 
 STAGES = [
