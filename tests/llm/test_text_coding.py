@@ -104,7 +104,65 @@ def test_language_forward_is_the_sum_over_segmentations():
         return total
 
     words = ["the", "über", "niña", "a", "語語b"]
-    assert np.allclose(language_id.Lattice(words, PIECES).likelihood(table), [brute("▁" + w) for w in words])
+    assert np.allclose(language_id.Lattice(words, PIECES).log_likelihood(table), np.log([brute("▁" + w) for w in words]))
+
+
+def plain_log_sum(word, table):
+    """Log of the sum over all segmentations, one place after another, in logarithms."""
+    pieces, word = language_id.load_pieces(PIECES), "▁" + word
+    at = [np.zeros(table.shape[1])]
+    for e in range(1, len(word) + 1):
+        ends = [(s, pieces.get(word[s:e], len(pieces) if s == e - 1 else None)) for s in range(e)]
+        at.append(np.logaddexp.reduce([at[s] + np.log(table[k]) for s, k in ends if k is not None], axis=0))
+    return at[-1]
+
+
+@pytest.mark.parametrize("long", [512, 30])
+def test_language_runs_of_any_length_are_summed_whole(monkeypatch, long):
+    monkeypatch.setattr(language_id, "LONG", long)
+    table = np.random.default_rng(2).random((len(language_id.load_pieces(PIECES)) + 1, 3)) / 100
+    table[-1] = language_id.UNKNOWN
+    words = ["thequickbrownfox" * 13, "語" * 200, "z" * 600, "x" * 23, "y" * 24, "w" * 25, "katzeundhund" * 4]
+    assert np.allclose(language_id.log_likelihoods(words, table, PIECES), [plain_log_sum(w, table) for w in words], rtol=1e-12)
+
+
+def test_language_expected_uses_are_the_slope_of_the_likelihood():
+    table = np.random.default_rng(3).random((len(language_id.load_pieces(PIECES)) + 1, 1)) / 100
+    lattice = language_id.Lattice(["thequickbrownfox" * 5, "über"], PIECES)
+    uses = lattice.expected(table, np.asarray([1.0, 2.0]))
+    for k in np.argsort(-uses)[:5]:
+        near = table.copy()
+        near[k] *= 1 + 1e-6
+        slope = (lattice.log_likelihood(near) - lattice.log_likelihood(table))[:, 0] @ [1.0, 2.0] / np.log1p(1e-6)
+        assert np.isclose(uses[k], slope, rtol=1e-4)
+
+
+def test_language_predictions_match_a_plain_version(spark):
+    texts = [("the cat and the dog ran to the old house", "en"), ("der hund und die katze laufen zum alten haus", "de"), ("el gato y el perro corren a la casa vieja", "es")]
+    docs = spark.createDataFrame([(i, *texts[i % 3]) for i in range(30)], "doc_id long, text string, lang string")
+    model = language_id.train(docs, PIECES)
+    names = sorted(model)
+    table = np.column_stack([model[k] for k in names])
+    asked = ["the house", "das haus", "la casa ½", "½ ² Ⅷ 12", "thecatandthedog" * 20, "", None, "x²y"]
+    rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(rows, model, PIECES).collect()}
+    for i, text in enumerate(asked):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        if not words:
+            assert got[i] == ("und", 0.0)
+            continue
+        total = sum(plain_log_sum(w, table) for w in words)
+        post = np.exp(total - np.logaddexp.reduce(total))
+        assert got[i][0] == names[post.argmax()] and np.isclose(got[i][1], post.max())
+
+
+def test_language_sample_counts_repeated_texts_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda words, counts, path, rounds=3: (seen.append(None), np.asarray([counts.sum()]))[1])
+    rows = [(i, "one same text", "en", "clash", 1) for i in range(500)] + [(500 + i, f"text {'abcdefghij'[i % 10] * (i + 1)}", "en", "x", 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, draw string, below long")
+    model = language_id.train(docs, PIECES, per_language=10)
+    assert 10 <= float(model["en"][0]) <= 30 + 1
 
 
 def test_language_held_out_accuracy_and_odd_rows(spark, sf):
