@@ -3,15 +3,16 @@
 Each document gives five statistics (words, mean word length, symbols, repeated lines, repeated words), transformed so
 that ordinary prose is near normal. For each pair of language and source the minimum-covariance-determinant estimate
 of centre and covariance is found: from medians with median absolute deviations, concentration steps keep the share H
-of rows with the smallest Mahalanobis distances and take their moments; a step never raises the determinant. One more
+of rows with the smallest Mahalanobis distances and take their moments, until no group's determinant falls. One more
 step takes the moments of all rows within the 0.975 quantile. Up to H and in the start nearly half of a group may be
 outlying; the plain moments are no start, because a third of equal rows ends with the smaller determinant from there.
 The covariance is made consistent for normal data and widened by a floor for each statistic, since clean prose has
-none of some of them. A document whose squared distance is over the chi-squared cut is rejected. Documents that fail the base rules take no part in the
-estimates. Groups of fewer than `least` usable rows are estimated together as one pool.
+none of some of them. A document whose squared distance is over the chi-squared cut is rejected. Documents that fail
+the base rules take no part in the estimates. Groups of fewer than `least` usable rows are estimated together as one
+pool.
 
 Quantiles are merged sketches and moments are partial sums, so a group with a third of all rows costs no more in one
-task than any other; a group's estimate is one row, joined back by key.
+task than any other; a group's estimate is one row, broadcast where groups are few and else joined by salted keys.
 
 A 3-word window is compared by a 64-bit hash inside its own document only.
 
@@ -41,6 +42,9 @@ CUT = 20.515
 CONSISTENCY = 0.53339
 NEAR = 12.8325
 NEAR_CONSISTENCY = 0.94739
+#: Groups whose estimates are broadcast; beyond, they are joined by key, each in SALTS parts.
+MOST_BROADCAST = 10_000
+SALTS = 32
 X = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
@@ -126,22 +130,47 @@ def _model(tag: str) -> list[str]:
     return [f"{tag}m{i}" for i in range(D)] + [f"{tag}p{i}{j}" for i, j in PAIRS]
 
 
-def estimates(usable: DataFrame, scratch: Scratch, steps: int = 3) -> DataFrame:
-    """Centre m0.. and precision p00.. of each group g, from rows with g and the vector."""
+def _meet(rows: DataFrame, table: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of table, one row a group g of n: broadcast where these are few.
+
+    Beyond that each group's row stands SALTS times and the group's rows are dealt over these, so that no task has all.
+    """
+    if n <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), "g", how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # any salt finds the same row, so a task that is run again may draw others
+    return rows.withColumn("_salt", (F.rand() * SALTS).cast("int")).join(salted, ["g", "_salt"], how).drop("_salt")
+
+
+def estimates(usable: DataFrame, scratch: Scratch, n_groups: int, most_steps: int = 30) -> DataFrame:
+    """Centre m0.. and precision p00.. of each group g, from rows with g and the vector.
+
+    Steps go on while the logarithm of any group's determinant falls by more than 1e-4; most_steps only guards against
+    quantiles that swing.
+    """
     centres = [f"c{i}" for i in range(D)]
+    meet = lambda table: _meet(usable, table, n_groups)
+    save = lambda table, name: scratch.save(table.coalesce(1) if n_groups <= MOST_BROADCAST else table, name)
     middle = usable.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1_000).alias(c) for x, c in zip(X, centres, strict=True)])
-    middle = scratch.save(middle, "middle")
-    off = usable.join(middle, "g").groupBy("g").agg(*[F.first(c).alias(c) for c in centres], *[F.percentile_approx(F.abs(F.col(x) - F.col(c)), 0.5, 1_000).alias(f"t{i}") for i, (x, c) in enumerate(zip(X, centres, strict=True))])
+    middle = save(middle, "middle")
+    off = meet(middle).groupBy("g").agg(*[F.first(c).alias(c) for c in centres], *[F.percentile_approx(F.abs(F.col(x) - F.col(c)), 0.5, 1_000).alias(f"t{i}") for i, (x, c) in enumerate(zip(X, centres, strict=True))])
     scale = [F.greatest(1.4826 * F.col(f"t{i}"), F.lit(FLOOR[i])) for i in range(D)]
     start = [F.col(c).alias(f"am{i}") for i, c in enumerate(centres)] + [(1 / (scale[i] * scale[i]) if i == j else F.lit(0.0)).alias(f"ap{i}{j}") for i, j in PAIRS]
-    now = scratch.save(off.select("g", *centres, *start), "step")
-    for _ in range(steps):
-        far = usable.join(now, "g").withColumn("da", _distance("a"))
-        cuts = scratch.save(far.groupBy("g").agg(F.percentile_approx("da", H, 1_000).alias("ka")), "cuts")
-        now = scratch.save(_invert(_sums(far.join(cuts, "g"), F.col("da") <= F.col("ka"), centres), "a").select("g", *centres, *_model("a")), "step")
-    far = usable.join(now, "g").withColumn("da", _distance("a"))
+    now = save(off.select("g", *centres, *start, F.lit(float("inf")).alias("adet")), "step")
+    for _ in range(most_steps):
+        far = meet(now).withColumn("da", _distance("a"))
+        cuts = save(far.groupBy("g").agg(F.percentile_approx("da", H, 1_000).alias("ka")), "cuts")
+        sums = _sums(_meet(far, cuts, n_groups), F.col("da") <= F.col("ka"), [*centres, "adet"])
+        made = _invert(sums.withColumnRenamed("adet", "before"), "a")
+        falls = F.col("adet") < F.col("before") - 1e-4
+        following = save(made.select("g", *centres, *_model("a"), "adet", falls.alias("falls")), "step")
+        fell = following.agg(F.bool_or("falls")).first()[0]
+        now = following.drop("falls")
+        if not fell:
+            break
+    far = meet(now).withColumn("da", _distance("a"))
     out = _invert(_sums(far, F.col("da") <= NEAR, centres), "a", NEAR_CONSISTENCY)
-    return scratch.save(out.select("g", *[F.col("a" + c).alias(c) for c in (x[1:] for x in _model("a"))]), "model")
+    return save(out.select("g", *[F.col("a" + c).alias(c) for c in (x[1:] for x in _model("a"))]), "model")
 
 
 def _sums(rows: DataFrame, weight: Column, centres: list[str]) -> DataFrame:
@@ -154,10 +183,11 @@ def judge(docs: DataFrame, least: int = 200, cut: float = CUT) -> DataFrame:
     base = scratch.save(_vectors(base_statistics(docs)), "statistics", "zstd")
     sized = base.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
     names = F.to_json(F.struct("lang", "source"))
-    large = scratch.save(sized.filter(F.col("n") >= least).select(names.alias("k"), F.lit(True).alias("own")), "groups")
-    rows = base.withColumn("k", names).join(large, "k", "left").withColumn("g", F.when(F.col("own"), F.col("k")).otherwise(""))
-    model = estimates(rows.filter(~F.col("base_failed")).select("g", *X), scratch)
-    judged = rows.join(model, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance("")))
+    large = scratch.save(sized.filter(F.col("n") >= least).select(names.alias("g")).coalesce(1), "groups")
+    n_groups = large.count() + 1
+    rows = _meet(base.withColumn("g", names), large.withColumn("own", F.lit(True)), n_groups, "left").withColumn("g", F.when(F.col("own"), F.col("g")).otherwise("")).drop("own")
+    model = estimates(rows.filter(~F.col("base_failed")).select("g", *X), scratch, n_groups)
+    judged = _meet(rows, model, n_groups, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance("")))
     return judged.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"), "distance",

@@ -66,6 +66,51 @@ def test_outliers_reject_a_third_of_junk(spark, copies):
     assert np.mean([r["kept"] for r in out if r["doc_id"] < 1_000]) > 0.95
 
 
+def plain_distances(x):
+    """Squared distances by the same estimate in numpy."""
+    m = mcd_outliers
+    floor = np.square(m.FLOOR)
+    lower = lambda v, p: np.sort(v, axis=0)[int(np.ceil(p * len(v))) - 1]
+    centre = lower(x, 0.5)
+    spread = np.maximum(1.4826 * lower(np.abs(x - centre), 0.5), m.FLOOR)
+    inverse, before = np.diag(1 / spread**2), np.inf
+    far = lambda c, p: np.einsum("ij,jk,ik->i", x - c, p, x - c)
+
+    def moments(own, consistency):
+        cov = np.cov(own.T, ddof=0) / consistency + np.diag(floor)
+        return own.mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1] / 2
+
+    while True:
+        d = far(centre, inverse)
+        centre, inverse, det = moments(x[d <= lower(d, m.H)], m.CONSISTENCY)
+        if not det < before - 1e-4:
+            break
+        before = det
+    centre, inverse, _ = moments(x[far(centre, inverse) <= m.NEAR], m.NEAR_CONSISTENCY)
+    return far(centre, inverse)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_outlier_verdicts_match_a_plain_version(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(mcd_outliers, "MOST_BROADCAST", 0)
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = docs.unionByName(docs.limit(1).withColumn("lang", docs["lang"]).selectExpr("-1L as doc_id", "text", "cast(null as string) as lang", "source", "n_chars"))
+    out = mcd_outliers.judge(docs, least=12).collect()
+    by, usable = defaultdict(list), Counter((r["lang"], r["source"]) for r in out if not r["base_failed"])
+    for r in out:
+        if not r["base_failed"]:
+            own = (r["lang"], r["source"])
+            by[own if usable[own] >= 12 else None].append(r)
+    assert len(by) > 2
+    for rows in by.values():
+        x = np.asarray([[np.log(r["n_words"]), np.log(max(r["word_chars"], 1) / r["n_words"]), np.log1p(4 * r["n_symbols"] / r["n_words"]), np.log1p(r["n_dup_lines"]), np.arcsin(np.sqrt(r["n_repeat_words"] / r["n_words"]))] for r in rows])
+        want = plain_distances(x)
+        assert np.allclose([r["distance"] for r in rows], want, rtol=1e-6)
+        assert [r["kept"] for r in rows] == (want <= mcd_outliers.CUT).tolist()
+
+
 def test_precision_inverts_the_covariance(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5))
@@ -200,6 +245,57 @@ def test_resampling_is_exact_top_k_and_prefers_the_target(spark):
     assert np.mean([r["kept"] for r in out if labels.get(r["doc_id"]) == (1, 0)]) > 0.95
 
 
+def test_resampling_keys_match_a_plain_version(spark):
+    import struct
+
+    import xxhash
+
+    rows = [(1, "good words here Here", 1), (2, "bad things there", 1), (None, "good words", 1), (4, None, 1), (5, " ", 1), (6, "good good bad", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, target int")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
+    buckets, prime, mask = 64, 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def buckets_of(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in (text or "").lower().split()]
+        ones = [(x * prime & mask) >> 32 for x in h]
+        return [x % buckets for x in ones + [(((a * prime & mask) + b & mask) * prime & mask) >> 32 for a, b in zip(h, h[1:])]]
+
+    raw = np.bincount([b for _, t, _ in rows for b in buckets_of(t)], minlength=buckets)
+    good = np.bincount(buckets_of(rows[0][1]), minlength=buckets)
+    raw_p = (raw + 1) / (raw.sum() + buckets)
+    ratio = np.log((good + 4 * buckets * raw_p) / (good.sum() + 4 * buckets)) - np.log(raw_p)
+    got = {(r["doc_id"], r["log_ratio"]): r["gumbel_key"] for r in importance_resampling.resample(docs, labels, buckets=buckets).collect()}
+    want = {}
+    for doc, text, _ in rows:
+        h = 42
+        for part in ([struct.pack("<q", doc)] if doc is not None else []) + ([text.encode()] if text is not None else []) + [struct.pack("<i", 1)]:
+            h = xxhash.xxh64_intdigest(part, seed=h)
+        u = (h % (1 << 52) + 0.5) / (1 << 52)
+        total = round(sum(ratio[b] for b in buckets_of(text)), 9)
+        want[doc, total] = total - np.log(-np.log(u))
+    assert sorted(map(repr, sorted(got, key=repr))) == sorted(map(repr, sorted(want, key=repr))) or np.allclose(sorted(x for _, x in got), sorted(x for _, x in want), atol=1e-8)
+    assert np.allclose(sorted(got.values()), sorted(want.values()))
+
+
+@pytest.mark.parametrize("text", [None, "", " \n\t "])
+def test_slices_of_blank_texts(spark, text):
+    """Partitions of nothing but null, empty or blank texts, through every operator on texts."""
+    docs = spark.createDataFrame([(i, text, "en", "s") for i in range(16)], "doc_id long, text string, lang string, source string").repartition(4)
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    import public_tokenizers as P
+
+    from kinmap.llm import binary_records, byte_bpe, language_id, ngram_join, suffix_dedup
+
+    assert importance_resampling.resample(docs, labels).count() == 16
+    assert mcd_outliers.judge(docs).filter("kept").count() == 0
+    assert binary_records.write_and_read(docs, P.path("word_bpe_49k.json"), 2).count() == 16
+    assert {r["lang_pred"] for r in language_id.learn_and_predict(docs, P.path("piece_bpe_32k.model")).collect()} <= {"und"}
+    assert {r["n_shingles"] for r in ngram_join.join(docs).collect()} == {0}
+    assert byte_bpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 16
+    assert pfair_mixing.mix(docs).count() == 16
+    assert {r["n_removed"] for r in suffix_dedup.digests(suffix_dedup.dedup(docs)).collect()} == {0}
+
+
 def test_resampling_threshold_and_odd_rows(spark):
     rng = np.random.default_rng(0)
     values = [*rng.normal(size=300).tolist(), *[0.25] * 50, 1e6, -1e6]
