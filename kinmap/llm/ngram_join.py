@@ -4,18 +4,20 @@ A document's set is its different runs of WORDS words. Two sets with similarity
 share at least t * max(n, m) of them, so in any one order of all members their first n - ceil(t * n) + l and
 m - ceil(t * m) + l share at least l, for every l: a longer prefix costs more entries in the index and asks for more
 members in common. Each document picks its own l, by the cost of its entries and of the candidates that they are
-expected to bring, from a share of its size upward; a pair must share the smaller of the two l's. The order puts rare members first, by counts over all
-documents in a sketch of fixed size, so that a passage in very many documents is in nobody's prefix.
+expected to bring, from a share of its size upward; a pair must share the smaller of the two l's. The order puts rare
+members first, by counts over all documents in a sketch of fixed size, so that a passage in very many documents is in
+nobody's prefix.
 
 The index is exchanged as packed blocks by member. With the lists' true lengths known, each document gives up its
-entries in the longest of them, as many as its partners' asking leaves over. Documents with equal sets are one class from there on: a block, and
-then each entry list, holds a class once. Candidates are made in steps that lose none. First every list pairs its
-classes with one of them, a hub; a few such pairs of each class that share enough are compared, member by member, on
-the whole texts, and the links give components. Classes that such pairs connect, or pairs that share a part of that,
-similar or not, are a unit. A unit of many near copies has
-too many pairs to write down: it is cut into blocks, and each two blocks are compared in one task, by a product of
-matrices, which gives only what joins two components. Last, every list pairs all other classes that are in different
-components still, each pair with all its lists counted; what shares enough and wasn't compared yet is compared.
+entries in the longest of them, as many as its partners' asking leaves over. Documents with equal sets are one class
+from there on: a block, and then each entry list, holds a class once; a class is known by a 128-bit hash of its set.
+Candidates are made in steps that lose none. First every list pairs its classes with one of them, a hub; a few such
+pairs of each class that share enough are compared, member by member, on the whole texts, and the links give
+components. Classes that such pairs connect, or pairs that share a part of that, similar or not, are a unit. A unit of
+many near copies has too many pairs to write down: it is cut into blocks, and each two blocks that can join two
+components are compared in one task, by a product of matrices, which gives only what joins. Last, every list, a long
+one by pairs of its parts, pairs all other classes that are in different components still, each pair with all its lists
+counted; what shares enough and wasn't compared yet is compared.
 
 Members are 64-bit hashes of word runs.
 
@@ -55,6 +57,8 @@ FEW = 4
 NEAR = 0.25
 BIG = 64
 UNIT_BLOCK = 512
+#: Classes of a part of a long list.
+LIST_PART = 4_096
 #: Bytes of text hashed at once.
 SEGMENT = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -222,7 +226,7 @@ def prefix(members: np.ndarray, level: np.ndarray, share: int = SHARE) -> tuple[
 
 
 _BLOCK = "part int, kind int, payload binary"
-_ROWS = "kind int, x long, y long, z long, w long"
+_ROWS = "kind int, x long, y long, z long, w long, v long"
 
 
 def _index(parts: int, shared, share: int):
@@ -232,15 +236,15 @@ def _index(parts: int, shared, share: int):
         level = shared.value
         for held in _blocks(batches):
             docs: list[tuple[int, int, int, int]] = []
-            classes: dict[int, int] = {}
+            classes: dict[tuple[int, int], int] = {}
             tokens, sizes, asks, members_of = [], [], [], []
             for batch in held:
                 numbers = column(batch, "doc_no").to_pylist()
                 for number, own in zip(numbers, sets(batch), strict=True):
                     c1, c2 = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "<i8").tolist()
                     docs.append((number, c1, c2, len(own)))
-                    if len(own) and c1 not in classes:
-                        classes[c1] = len(classes)
+                    if len(own) and (c1, c2) not in classes:
+                        classes[c1, c2] = len(classes)
                         first, k = prefix(own, level, share)
                         tokens.append(first)
                         sizes.append(len(first))
@@ -249,7 +253,7 @@ def _index(parts: int, shared, share: int):
             out = [(docs[0][1] % parts, 2, _pack(*np.asarray(docs, "<i8").T))]
             if tokens:
                 token, who = np.concatenate(tokens), np.repeat(np.arange(len(sizes)), sizes)
-                names, asks, counted = np.fromiter(classes, "<i8", len(classes)), np.asarray(asks, "<u4"), np.asarray(members_of, "<u4")
+                names, asks, counted = np.asarray(list(classes), "<i8"), np.asarray(asks, "<u4"), np.asarray(members_of, "<u4")
                 part = (token * _ODD >> np.uint64(40)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
@@ -257,7 +261,7 @@ def _index(parts: int, shared, share: int):
                     own = order[cuts[p] : cuts[p + 1]]
                     if len(own):
                         here, counts = _runs_of(who[own])
-                        out.append((p, 0, _pack(names[here], counts.astype("<u4"), asks[here], counted[here], (token[own] & np.uint64(0xFFFFFFFF)).astype("<u4"))))
+                        out.append((p, 0, _pack(names[here, 0], names[here, 1], counts.astype("<u4"), asks[here], counted[here], token[own])))
             parts_, kinds, payloads = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(parts_, pa.int32()), pa.array(kinds, pa.int32()), pa.array(payloads, pa.binary())], ["part", "kind", "payload"])
 
@@ -266,49 +270,60 @@ def _index(parts: int, shared, share: int):
 
 def _rows(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     arrays = [np.asarray(c, "<i8") for c in columns]
-    arrays += [np.zeros(len(arrays[0]), "<i8")] * (4 - len(arrays))
+    arrays += [np.zeros(len(arrays[0]), "<i8")] * (5 - len(arrays))
     for a in range(0, len(arrays[0]), 500_000):
         own = [c[a : a + 500_000] for c in arrays]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), kind, np.int32)), *map(pa.array, own)], ["kind", "x", "y", "z", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), kind, np.int32)), *map(pa.array, own)], ["kind", "x", "y", "z", "w", "v"])
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entry lists of two classes or more as rows (0: list, class, classes in the list, what the class asks and its
-    members), and documents (2: doc_no, class, its other half, members)."""
-    names, counts, asks, spares, tokens, part = [], [], [], [], [], 0
+    """Entry lists of two classes or more as rows (0: list, both halves of a class, classes in the list, what the class
+    asks and its members), and documents (2: doc_no, both halves of its class, members). A list is named by its member."""
+    names, others, counts, asks, sizes, tokens = [], [], [], [], [], []
     for batch in batches:
-        for p, kind, payload in zip(column(batch, "part").to_pylist(), column(batch, "kind").to_pylist(), column(batch, "payload").to_pylist(), strict=True):
+        for kind, payload in zip(column(batch, "kind").to_pylist(), column(batch, "payload").to_pylist(), strict=True):
             if kind == 2:
                 yield from _rows(2, *_unpack(payload, "<i8", "<i8", "<i8", "<i8"))
                 continue
-            part = p
-            for held, got in zip((names, counts, asks, spares, tokens), _unpack(payload, "<i8", "<u4", "<u4", "<u4", "<u4"), strict=True):
+            for held, got in zip((names, others, counts, asks, sizes, tokens), _unpack(payload, "<i8", "<i8", "<u4", "<u4", "<u4", "<u8"), strict=True):
                 held.append(got)
     if not names:
         return
-    named, own = np.unique(np.concatenate(names), return_inverse=True)
-    ask = np.zeros(len(named), np.int64)
-    ask[own] = np.concatenate(asks).astype(np.int64) << 32 | np.concatenate(spares)
-    entry = np.unique(np.concatenate(tokens).astype(np.uint64) << np.uint64(32) | np.repeat(own, np.concatenate(counts)).astype(np.uint64))
-    del names, counts, asks, spares, tokens, own
-    token, who = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    names, others = np.concatenate(names), np.concatenate(others)
+    order = np.lexsort((others, names))
+    new = np.concatenate([[True], (names[order][1:] != names[order][:-1]) | (others[order][1:] != others[order][:-1])])
+    own = np.empty(len(names), np.int64)
+    own[order] = np.cumsum(new) - 1
+    first = order[new]
+    names, others = names[first], others[first]
+    ask = (np.concatenate(asks).astype(np.int64) << 32 | np.concatenate(sizes))[first]
+    token, who = np.concatenate(tokens), np.repeat(own.astype(np.int32), np.concatenate(counts))
+    del counts, asks, sizes, tokens, own
+    order = np.lexsort((who, token))
+    token, who = token[order], who[order]
+    once = np.concatenate([[True], (token[1:] != token[:-1]) | (who[1:] != who[:-1])])
+    token, who = token[once], who[once]
     begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     size = np.diff(np.concatenate([begin, [len(token)]]))
     size = np.repeat(size, size)
     kept = size > 1
-    yield from _rows(0, token[kept].astype(np.int64) + (part << 32), named[who[kept]], size[kept], ask[who[kept]])
+    who = who[kept]
+    yield from _rows(0, token[kept].view("<i8"), names[who], others[who], size[kept], ask[who])
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of classes of each list that are apart (rows sorted by list and by what sets them apart), with counts.
 
-    A list may go on from one batch to the next; pairs are made some hundred thousand at a time.
+    A long list comes as pairs of its parts i and j: where these differ, pairs within one part are left to others. A
+    list may go on from one batch to the next; pairs are made some hundred thousand at a time.
     """
     names = ["a", "b", "n", "need"]
     held: list[np.ndarray] = []
 
     def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lists, comp, cls, ask, n_of, held_, place = rows
+        comp, cls, ask, n_of, held_, place, part = rows[3:]
+        lists = np.cumsum(np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)]))
+        halves = rows[1] != rows[2]
         end = np.searchsorted(lists, lists, side="right")
         new = np.concatenate([[True], (lists[1:] != lists[:-1]) | (comp[1:] != comp[:-1])])
         begin = np.flatnonzero(new)
@@ -322,7 +337,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(left):
                 right = np.arange(len(left)) - np.repeat(np.cumsum(partners[at:to]) - partners[at:to], partners[at:to]) + block_end[left]
                 x, y = np.minimum(cls[left], cls[right]), np.maximum(cls[left], cls[right])
-                fit = 100 * np.minimum(n_of[left], n_of[right]) >= SHARE * np.maximum(n_of[left], n_of[right])
+                fit = (100 * np.minimum(n_of[left], n_of[right]) >= SHARE * np.maximum(n_of[left], n_of[right])) & ~(halves[left] & (part[left] == part[right]))
                 left, right, x, y = left[fit], right[fit], x[fit], y[fit]
                 if not len(left):
                     at = to
@@ -343,9 +358,10 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
     for batch in batches:
-        rows = np.stack([column(batch, k).to_numpy() for k in ("list", "apart", "class", "ask", "n_members", "held", "at")])
+        rows = np.stack([column(batch, k).to_numpy() for k in ("list", "i", "j", "apart", "class", "ask", "n_members", "held", "at", "part")])
         held.append(rows)
-        cut = int(np.searchsorted(rows[0], rows[0, -1], side="left")) if rows.shape[1] else 0
+        before = (rows[:3] != rows[:3, -1:]).any(axis=0) if rows.shape[1] else np.zeros(0, bool)
+        cut = int(np.flatnonzero(before)[-1]) + 1 if before.any() else 0
         if cut:  # all lists but the last are whole
             whole = np.concatenate([*held[:-1], rows[:, :cut]], axis=1)
             held = [rows[:, cut:]]
@@ -417,9 +433,10 @@ def _shorten(lists: DataFrame, share: int) -> DataFrame:
     those are the last in it; what both keep is counted by in_common(), and is at least one. A class that has no more
     entries than it can spare has no partner. Adds how many a class keeps and the place of each in that order.
     """
-    place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("size"), F.desc("list")))
+    by = Window.partitionBy("c1", "c2")  # as the rows are dealt already
+    place = F.row_number().over(by.orderBy(F.desc("size"), F.desc("list")))
     free = F.greatest(F.floor(F.ceil(F.col("n_members") * share / 100) * LEAST_ASKED / 100), F.lit(1)) - 1
-    rows = lists.withColumn("_place", place).withColumn("_all", F.count("*").over(Window.partitionBy("class"))).filter(F.col("_place") > free)
+    rows = lists.withColumn("_place", place).withColumn("_all", F.count("*").over(by)).filter(F.col("_place") > free)
     return rows.select("list", "class", "ask", "n_members", (F.col("_all") - free).cast("long").alias("held"), (F.col("_all") - F.col("_place")).cast("long").alias("at"))
 
 
@@ -504,14 +521,33 @@ def _unite(share: int):
     return run
 
 
+def _block_pairs(members_: DataFrame) -> DataFrame:
+    """node, unit, component, block, i, j: each node in all pairs (i, j) of its unit's blocks that its own is part of.
+
+    A component of UNIT_BLOCK / 2 classes or more has blocks of its own, all others of the unit share blocks. Two blocks
+    of one component have nothing to join and are no pair, so a unit that is one large component and a few classes more
+    costs what it holds, not its square.
+    """
+    sized = members_.groupBy("unit", "component").agg(F.count("*").alias("n"))
+    big = F.col("n") >= UNIT_BLOCK // 2
+    sized = sized.withColumn("big", big).withColumn("group", F.when(big, F.col("component")).otherwise(F.lit(0).cast("long")))
+    several = sized.groupBy("unit").agg(F.count("*").alias("comps")).filter("comps > 1").select("unit")
+    groups = sized.join(several, "unit").groupBy("unit", "big", "group").agg(F.ceil(F.sum("n") / UNIT_BLOCK).alias("blocks"))
+    numbers = groups.select("unit", "big", "group", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("index"))
+    numbers = numbers.withColumn("block", F.row_number().over(Window.partitionBy("unit").orderBy("big", "group", "index")))
+    left = numbers.select("unit", F.col("block").alias("i"), F.col("big").alias("big_i"), F.col("group").alias("group_i"))
+    right = numbers.select("unit", F.col("block").alias("j"), F.col("big").alias("big_j"), F.col("group").alias("group_j"))
+    pairs = left.join(right, "unit").filter("i <= j and not (big_i and big_j and group_i = group_j)").select("unit", "i", "j")
+    of_block = pairs.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    named = members_.join(sized.select("unit", "component", "big", "group"), ["unit", "component"]).join(groups, ["unit", "big", "group"])
+    named = named.withColumn("index", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(numbers.drop("blocks"), ["unit", "big", "group", "index"])
+    return named.select("node", "unit", "component", "block").join(of_block, ["unit", "block"])
+
+
 def _within_units(texts: DataFrame, members_: DataFrame, share: int, scratch: Scratch) -> DataFrame:
     """Links between components of a unit, for units of more than BIG classes; members_: node, unit, component."""
     spark = texts.sparkSession
-    sized = members_.groupBy("unit").agg(F.count("*").alias("size"), F.countDistinct("component").alias("comps")).filter(F.col("comps") > 1)
-    blocks = F.ceil(F.col("size") / UNIT_BLOCK).cast("int")
-    dealt = members_.join(sized, "unit").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    wanted = dealt.select("node", "unit", "component", "block", other).select("node", "unit", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    wanted = _block_pairs(members_)
     sent = texts.withColumnRenamed("doc_no", "node").join(wanted.hint("shuffle_hash"), "node")
     sent = sent.repartition(width(spark), "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "block")
     out = scratch.save(sent.select("unit", "i", "j", "block", "component", "node", "text").mapInArrow(_unite(share), "a long, b long"), "unit-links")
@@ -544,22 +580,19 @@ def classes_of(docs: DataFrame, share: int = SHARE) -> DataFrame:
     free_shuffles(spark)
     own = found.filter("kind = 2").select(F.col("x").alias("doc_no"), F.col("y").alias("c1"), F.col("z").alias("c2"), F.col("w").alias("n_members")).distinct()
     named = scratch.save(own.groupBy("c1", "c2").agg(F.min("doc_no").alias("class_no")), "classes", "zstd")
-    names = named.select("c1", "class_no")
-    lists = found.filter("kind = 0").select(F.col("x").alias("list"), F.col("y").alias("class"), F.col("z").alias("size"), F.expr("w >> 32").alias("ask"), F.expr("w & 4294967295").alias("n_members"))
-    lists = scratch.save(_shorten(lists, share), "shorter", "zstd")
+    entry = found.filter("kind = 0").select(F.col("x").alias("list"), F.col("y").alias("c1"), F.col("z").alias("c2"), F.col("w").alias("size"), F.expr("v >> 32").alias("ask"), F.expr("v & 4294967295").alias("n_members"))
+    lists = scratch.save(_shorten(entry.join(named.withColumnRenamed("class_no", "class"), ["c1", "c2"]), share), "shorter", "zstd")
     free_shuffles(spark)
 
-    def in_numbers(pairs: DataFrame, *more: str) -> DataFrame:
-        """Pairs of classes as pairs of class_no, the smaller first."""
-        left = names.select(F.col("c1").alias("a"), F.col("class_no").alias("na"))
-        right = names.select(F.col("c1").alias("b"), F.col("class_no").alias("nb"))
-        return pairs.join(left, "a").join(right, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), *more)
+    def in_order(pairs: DataFrame, *more: str) -> DataFrame:
+        """Pairs of classes, the smaller first."""
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *more)
 
     def with_links(made: DataFrame, comps: DataFrame) -> DataFrame:
         known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
         return scratch.save(components(made.unionByName(known), scratch), "components")
 
-    stars = scratch.save(in_numbers(_stars(lists), "strong").groupBy("a", "b").agg(F.bool_or("strong").alias("strong")), "pairs")
+    stars = scratch.save(in_order(_stars(lists), "strong").groupBy("a", "b").agg(F.bool_or("strong").alias("strong")), "pairs")
     done = stars.filter("strong").select("a", "b")
     comps = scratch.save(components(_verify(texts, done, share, scratch, "links"), scratch), "components")
     units = components(stars, scratch).withColumnRenamed("component", "unit")
@@ -570,11 +603,13 @@ def classes_of(docs: DataFrame, share: int = SHARE) -> DataFrame:
     # pairs of one large unit are compared all; of the rest, those in different components are still open
     apart = F.coalesce(-F.col("unit") - 1, "component", "class_no")
     where = named.join(comps, F.col("class_no") == comps["node"], "left").drop("node").join(units.select("node", "unit"), F.col("class_no") == units["node"], "left")
-    placed = lists.join(where.select(F.col("c1").alias("class"), apart.alias("apart")), "class")
-    split = placed.groupBy("list").agg(F.min("apart").alias("least"), F.max("apart").alias("most")).filter("least < most").select("list")
-    placed = placed.join(split, "list").repartition(parts, "list").sortWithinPartitions("list", "apart")
+    placed = lists.join(where.select(F.col("class_no").alias("class"), apart.alias("apart")), "class")
+    split = placed.groupBy("list").agg(F.min("apart").alias("least"), F.max("apart").alias("most"), F.ceil(F.count("*") / LIST_PART).cast("int").alias("parts"))
+    placed = placed.join(split.filter("least < most").select("list", "parts"), "list").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    placed = placed.repartition(parts, "list", "i", "j").sortWithinPartitions("list", "i", "j", "apart")
     open_pairs = placed.mapInArrow(_cross, "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
-    again = in_numbers(open_pairs.filter("n >= need").select("a", "b")).distinct()
+    again = open_pairs.filter("n >= need").select("a", "b")
     again = scratch.save(again.join(done, ["a", "b"], "left_anti"), "pairs")
     if not again.isEmpty():
         comps = with_links(_verify(texts, again, share, scratch, "links"), comps)

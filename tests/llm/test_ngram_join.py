@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinmap.llm import ngram_join, queries
@@ -84,6 +85,29 @@ def test_long_prefixes_and_shares_lose_nothing(spark, monkeypatch):
         assert result(ngram_join.join(frame(spark, rows))) == brute(rows)
 
 
+def test_long_lists_in_parts_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIST_PART", 3)
+    rows = corpus(4)
+    assert result(ngram_join.join(frame(spark, rows))) == brute(rows)
+
+
+def test_pairs_of_a_list_in_parts_are_those_of_the_whole_list():
+    rng = np.random.default_rng(5)
+    n = 40
+    apart, part = np.sort(rng.integers(0, 9, n)), rng.integers(0, 4, n)
+    ones = np.ones(n, np.int64)
+
+    def pairs(i, j):
+        own = (part == i) | (part == j)
+        arrays = [7 * ones, i * ones, j * ones, apart, np.arange(n), ones, ones, ones, 0 * ones, part]
+        batch = pa.RecordBatch.from_arrays([pa.array(a[own]) for a in arrays], "list i j apart class ask n_members held at part".split())
+        out = [b.to_pydict() for b in ngram_join._cross(iter([batch.slice(0, 3), batch.slice(3)]))]
+        return [(a, b) for o in out for a, b in zip(o["a"], o["b"])]
+
+    got = [p for i in range(4) for j in range(i, 4) for p in pairs(i, j)]
+    assert sorted(got) == [(a, b) for a in range(n) for b in range(a + 1, n) if apart[a] != apart[b]]
+
+
 def test_hub_with_many_near_copies(spark):
     rng = random.Random(9)
     base = [str(rng.random()) for _ in range(60)]
