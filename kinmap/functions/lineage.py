@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder if all runs in one process, else the warehouse's."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        alone = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        path = "file://" + tempfile.mkdtemp(prefix="kinmap-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/kinmap-scratch"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a path of any store that Hadoop knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """df written to the shared folder and read again: filters and columns are pushed into that scan, and a lost executor
+    takes nothing with it. The table goes when the driver ends."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="kinmap-"))
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/kinmap-cut-{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+
+    def clear() -> None:
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
+
+    atexit.register(clear)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,33 +1,26 @@
-"""Typed discovery queries: a bounded JSON expression becomes one Column, never text."""
+"""Typed discovery queries: a bounded JSON expression becomes one Column, never text.
+
+What may be asked is data: SCHEMA names each field, its kind, and the columns it stands for; a kind is a table of
+operators, each with the rule that its operand must meet and the Column it makes. An expression is first flattened
+into a list of steps, where all budgets are checked, and the steps are then folded into a Column.
+"""
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Mapping, Sequence
+import operator as op
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Budgets of an expression (levels, parts of a junction, conditions, bytes) and of a page of results.
 DEEPEST, WIDEST, MOST_LEAVES, MOST_BYTES = 12, 32, 64, 20_000
 MOST_ROWS, MOST_OFFSET = 5_000, 100_000
-NUMBERS = {
-    "edge.q_value": ("q", True),
-    "edge.p_value": ("p", True),
-    "edge.score": ("score", False),
-    "edge.score_percentile": ("percentile", True),
-    "edge.text_percentile": ("text_percentile", True),
-    "edge.overlap_coefficient": ("overlap_coefficient", True),
-    "edge.shared_count": ("shared_count", False),
-}
-OPTIONAL = ("overlap_coefficient", "shared_count")
-ANNOTATIONS = {"node.tissue": "tissue", "node.disease": "disease", "node.organism": "organism"}
-ALIASES = {"node.tissue_system": "node.tissue"}
-UNAVAILABLE = ("explanation.feature_or_pathway", "snapshot.diff")
-CLASSES = ("none", "minor", "major", "exact")
-COMPARE = {"eq": Column.__eq__, "gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
 
 
 class QueryError(ValueError):
@@ -56,109 +49,247 @@ class AnnotationTerms:
         return by_id.withColumn("_kept", kept).select("_id", F.array_distinct(F.transform("_kept", term)).alias("terms"), F.array_distinct(F.flatten(F.transform("_kept", words))).alias("words"))
 
 
+# --- operands -------------------------------------------------------------------------------------------------------
+
+
+def number(value: Any, low: float = -math.inf, high: float = math.inf) -> float:
+    if type(value) not in (int, float) or not math.isfinite(value) or not low <= value <= high:
+        raise QueryError(f"a finite number from {low} to {high} is wanted")
+    return float(value)
+
+
+def count(value: Any) -> int:
+    if type(value) is not int or value < 0:
+        raise QueryError("a whole number from 0 is wanted")
+    return value
+
+
+def flag(value: Any) -> bool:
+    if type(value) is not bool:
+        raise QueryError("true or false is wanted")
+    return value
+
+
+def yes(value: Any) -> bool:
+    if value is not True:
+        raise QueryError("only true is wanted")
+    return value
+
+
+def word(value: Any) -> str:
+    if not isinstance(value, str) or not value.strip():
+        raise QueryError("a text that isn't blank is wanted")
+    return value.strip()
+
+
+def member(value: Any, of: tuple[str, ...]) -> str:
+    if not isinstance(value, str) or value not in of:
+        raise QueryError(f"one of {', '.join(of)} is wanted")
+    return value
+
+
+# --- kinds of field -------------------------------------------------------------------------------------------------
+
+#: Operator to (rule of its operand, Column of a name and the operand).
+Operators = dict[str, tuple[Callable[[Any], Any], Callable[[str, Any], Column]]]
+# Names of the comparisons.
+COMPARISONS = {"eq": op.eq, "gt": op.gt, "gte": op.ge, "lt": op.lt, "lte": op.le}
+
+
+def _missing_as(name: str, default: Any) -> Column:
+    return F.coalesce(F.col(name), F.lit(default))
+
+
+def _measure(rule: Callable[[Any], Any], column: Callable[[str], Column]) -> Operators:
+    """A number of the edge."""
+    return {k: (rule, lambda name, x, f=f: f(column(name), F.lit(x))) for k, f in COMPARISONS.items()}
+
+
+def _either_end() -> Operators:
+    """A number that one end of the edge must have."""
+    return {k: (count, lambda name, x, f=f: f(F.col(name + "_a"), F.lit(x)) | f(F.col(name + "_b"), F.lit(x))) for k, f in COMPARISONS.items()}
+
+
+def _two_ends(column: Callable[[str], Column]) -> Operators:
+    """A text of either end: equal to a given one at one end, or alike or unlike at both."""
+    ends = lambda name: (column(name + "_a"), column(name + "_b"))
+    return {
+        "eq": (word, lambda name, x: reduce(op.or_, [c == x for c in ends(name)])),
+        "same": (yes, lambda name, _: op.eq(*ends(name))),
+        "different": (yes, lambda name, _: op.ne(*ends(name))),
+    }
+
+
+def _lists(kind: str, name: str) -> list[Column]:
+    return [F.coalesce(F.col(f"_{kind}_{name}_{s}"), F.array().cast("array<string>")) for s in "ab"]
+
+
+def _both_known(name: str) -> Column:
+    return reduce(op.and_, [F.size(x) > 0 for x in _lists("terms", name)])
+
+
+def _annotated() -> Operators:
+    """Reviewed terms of either end: a term or part of one at one end, or a shared or no shared term at both."""
+    words = lambda name: F.concat(*_lists("words", name))
+    return {
+        "eq": (word, lambda name, x: F.array_contains(words(name), x.lower())),
+        "contains": (word, lambda name, x: F.exists(words(name), lambda w: F.contains(w, F.lit(x.lower())))),
+        "same": (yes, lambda name, _: _both_known(name) & F.arrays_overlap(*_lists("terms", name))),
+        "different": (yes, lambda name, _: _both_known(name) & ~F.arrays_overlap(*_lists("terms", name))),
+    }
+
+
+def _independence(name: str, wanted: bool) -> Column:
+    """Overlap evidence that the policy doesn't exclude, or the independent family's own mark."""
+    holds = (F.col(name).isNotNull() & ~_missing_as("excluded", False)) | _missing_as("in_independent", False)
+    return holds if wanted else ~holds
+
+
+CLASSES = ("none", "minor", "major", "exact")
+SHARE = _measure(partial(number, low=0, high=1), F.col)
+FREE = _measure(number, F.col)
+
+
+@dataclass(frozen=True)
+class Field:
+    """column: what its operators are given; mark: what using it is noted as."""
+
+    column: str
+    operators: Operators
+    mark: str = ""
+
+
+# Names of the fields.
+SCHEMA = {
+    "edge.q_value": Field("q", SHARE),
+    "edge.p_value": Field("p", SHARE),
+    "edge.score": Field("score", FREE),
+    "edge.score_percentile": Field("percentile", SHARE),
+    "edge.text_percentile": Field("text_percentile", SHARE, "text"),
+    "edge.overlap_coefficient": Field("overlap_coefficient", _measure(partial(number, low=0, high=1), partial(_missing_as, default=0))),
+    "edge.shared_count": Field("shared_count", _measure(number, partial(_missing_as, default=0))),
+    "edge.independent": Field("overlap_class", {"eq": (flag, _independence)}, "independence"),
+    "edge.overlap_classification": Field("overlap_class", {"eq": (partial(member, of=CLASSES), lambda name, x: _missing_as(name, "none") == x)}),
+    "node.sample_count": Field("sample_count", _either_end()),
+    "node.platform": Field("platform", _two_ends(F.col)),
+    "topology.community": Field("community", _two_ends(partial(_missing_as, default="unknown"))),
+    "node.tissue": Field("tissue", _annotated(), "annotation"),
+    "node.disease": Field("disease", _annotated(), "annotation"),
+    "node.organism": Field("organism", _annotated(), "annotation"),
+}
+ALIASES = {"node.tissue_system": "node.tissue"}
+UNAVAILABLE = ("explanation.feature_or_pathway", "snapshot.diff")
+
+
+# --- expressions ----------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Step:
+    """A junction of the last `parts` results, or, with no parts, a condition."""
+
+    name: str
+    parts: int = 0
+    operator: str = ""
+    operand: Any = None
+
+
+def _entry(value: Any) -> tuple[str, Any]:
+    if not isinstance(value, Mapping) or len(value) != 1:
+        raise QueryError(f"an object of one key is wanted, not {value!r:.80}")
+    return next(iter(value.items()))
+
+
+def _parts(name: str, body: Any) -> list:
+    """The expressions below a junction."""
+    if name == "not":
+        return [body]
+    if not isinstance(body, list | tuple) or not 0 < len(body) <= WIDEST:
+        raise QueryError(f"{name} takes a list of 1 to {WIDEST} expressions")
+    return list(body)
+
+
+def flatten(ast: Any, aliases: Mapping[str, str]) -> list[Step]:
+    """The expression's steps, each junction after its parts, with every budget checked."""
+    out: list[Step] = []
+    todo: list[tuple[Any, int]] = [(ast, 0)]
+    while todo:
+        value, depth = todo.pop()
+        if depth > DEEPEST:
+            raise QueryError(f"more than {DEEPEST} levels")
+        name, body = _entry(value)
+        if name in JUNCTIONS:
+            below = _parts(name, body)
+            out.append(Step(name, len(below)))
+            todo += [(x, depth + 1) for x in below]
+        elif name == "all" and body is True:
+            out.append(Step("all"))
+        elif name in UNAVAILABLE:
+            raise UnsupportedQuery(f"{name} has no evidence in a snapshot")
+        else:
+            out.append(Step(aliases.get(name, name), 0, *_entry(body)))
+    if sum(x.operator != "" for x in out) > MOST_LEAVES:
+        raise QueryError(f"more than {MOST_LEAVES} conditions")
+    return out[::-1]
+
+
+JUNCTIONS: dict[str, Callable[[list[Column]], Column]] = {
+    "and": partial(reduce, op.and_),
+    "or": partial(reduce, op.or_),
+    "not": lambda parts: ~parts[0],
+}
+
+
+def _condition(step: Step) -> Column:
+    if step.name not in SCHEMA:
+        raise QueryError(f"no field {step.name}")
+    named = SCHEMA[step.name]
+    if step.operator not in named.operators:
+        raise QueryError(f"{step.name} takes {', '.join(named.operators)}, not {step.operator}")
+    rule, make = named.operators[step.operator]
+    try:
+        return make(named.column, rule(step.operand))
+    except QueryError as e:
+        raise QueryError(f"{step.name}: {e}") from None
+
+
+def fold(steps: list[Step]) -> Column:
+    held: list[Column] = []
+    for step in steps:
+        if step.parts:
+            held, below = held[: -step.parts], held[-step.parts :]
+            held.append(JUNCTIONS[step.name](below))
+        else:
+            held.append(F.lit(True) if step.name == "all" else _condition(step))
+    return held[0]
+
+
 @dataclass
 class Compiled:
     condition: Column
-    fields: set[str] = field(default_factory=set)
+    steps: list[Step] = field(default_factory=list)
     terms: AnnotationTerms | None = None
-    leaves: int = 0
     canonical: str = ""
-    uses_text: bool = False
-    uses_independence: bool = False
 
+    def _marked(self, mark: str) -> Iterator[Field]:
+        return (f for x in self.steps if (f := SCHEMA.get(x.name)) and f.mark == mark)
 
-def _number(name: str, expected, bounded: bool) -> float:
-    if isinstance(expected, bool) or not isinstance(expected, int | float) or not math.isfinite(expected):
-        raise QueryError(f"{name} takes a finite number")
-    if bounded and not 0 <= expected <= 1:
-        raise QueryError(f"{name} takes a number from 0 to 1")
-    return float(expected)
+    @property
+    def fields(self) -> set[str]:
+        """Annotation fields that it asks for."""
+        return {f.column for f in self._marked("annotation")}
 
+    @property
+    def leaves(self) -> int:
+        return sum(x.operator != "" for x in self.steps)
 
-class _Compiler:
-    def __init__(self, aliases: Mapping[str, str]) -> None:
-        self.out, self.aliases = Compiled(F.lit(True)), ALIASES | dict(aliases)
+    @property
+    def uses_text(self) -> bool:
+        return any(self._marked("text"))
 
-    def expression(self, value, depth: int = 0) -> Column:
-        if depth > DEEPEST:
-            raise QueryError(f"more than {DEEPEST} levels")
-        if not isinstance(value, Mapping) or len(value) != 1:
-            raise QueryError("an expression is an object of one key")
-        key, operand = next(iter(value.items()))
-        if key == "all" and operand is True:
-            return F.lit(True)
-        if key in ("and", "or"):
-            if not isinstance(operand, Sequence) or isinstance(operand, str | bytes) or not 1 <= len(operand) <= WIDEST:
-                raise QueryError(f"{key} takes 1 to {WIDEST} expressions")
-            parts = [self.expression(x, depth + 1) for x in operand]
-            return reduce((lambda a, b: a & b) if key == "and" else (lambda a, b: a | b), parts)
-        if key == "not":
-            return ~self.expression(operand, depth + 1)
-        self.out.leaves += 1
-        if self.out.leaves > MOST_LEAVES:
-            raise QueryError(f"more than {MOST_LEAVES} conditions")
-        if key in UNAVAILABLE:
-            raise UnsupportedQuery(f"{key} has no evidence in a snapshot")
-        if not isinstance(operand, Mapping) or len(operand) != 1:
-            raise QueryError(f"{key} takes one operator")
-        return self.leaf(self.aliases.get(key, key), *next(iter(operand.items())))
-
-    def leaf(self, key: str, operator: str, expected) -> Column:
-        if key in NUMBERS:
-            name, bounded = NUMBERS[key]
-            if operator not in COMPARE:
-                raise QueryError(f"{key} doesn't support {operator}")
-            self.out.uses_text |= name == "text_percentile"
-            column = F.coalesce(F.col(name), F.lit(0)) if name in OPTIONAL else F.col(name)
-            return COMPARE[operator](column, F.lit(_number(key, expected, bounded)))
-        if key == "edge.independent":
-            if operator != "eq" or not isinstance(expected, bool):
-                raise QueryError(f"{key} takes eq and true or false")
-            self.out.uses_independence = True
-            own = (F.col("overlap_class").isNotNull() & ~F.coalesce("excluded", F.lit(False))) | F.coalesce("in_independent", F.lit(False))
-            return own if expected else ~own
-        if key == "edge.overlap_classification":
-            if operator != "eq" or expected not in CLASSES:
-                raise QueryError(f"{key} takes eq and one of {CLASSES}")
-            return F.coalesce("overlap_class", F.lit("none")) == expected
-        if key == "node.sample_count":
-            if operator not in COMPARE or isinstance(expected, bool) or not isinstance(expected, int) or expected < 0:
-                raise QueryError(f"{key} takes a whole number from 0")
-            return COMPARE[operator](F.col("sample_count_a"), F.lit(expected)) | COMPARE[operator](F.col("sample_count_b"), F.lit(expected))
-        if key == "node.platform":
-            return self.pair(key, operator, expected, F.col("platform_a"), F.col("platform_b"))
-        if key == "topology.community":
-            sides = [F.coalesce(f"community_{s}", F.lit("unknown")) for s in "ab"]
-            return self.pair(key, operator, expected, *sides)
-        if key in ANNOTATIONS:
-            return self.annotation(key, ANNOTATIONS[key], operator, expected)
-        raise QueryError(f"no field {key}")
-
-    def pair(self, key: str, operator: str, expected, left: Column, right: Column) -> Column:
-        if operator in ("same", "different"):
-            if expected is not True:
-                raise QueryError(f"{key}.{operator} takes true")
-            return left == right if operator == "same" else left != right
-        if operator == "eq" and isinstance(expected, str) and expected.strip():
-            return (left == expected.strip()) | (right == expected.strip())
-        raise QueryError(f"{key} supports eq, same and different")
-
-    def annotation(self, key: str, name: str, operator: str, expected) -> Column:
-        self.out.fields.add(name)
-        left, right = F.col(f"_terms_{name}_a"), F.col(f"_terms_{name}_b")
-        empty = F.array().cast("array<string>")
-        left, right = F.coalesce(left, empty), F.coalesce(right, empty)
-        if operator in ("same", "different"):
-            if expected is not True:
-                raise QueryError(f"{key}.{operator} takes true")
-            known = (F.size(left) > 0) & (F.size(right) > 0)
-            shared = F.arrays_overlap(left, right)
-            return known & (shared if operator == "same" else ~shared)
-        if operator in ("eq", "contains") and isinstance(expected, str) and expected.strip():
-            words = F.concat(F.coalesce(f"_words_{name}_a", empty), F.coalesce(f"_words_{name}_b", empty))
-            wanted = expected.strip().lower()
-            return F.array_contains(words, wanted) if operator == "eq" else F.exists(words, lambda w: w.contains(wanted))
-        raise QueryError(f"{key} supports eq, contains, same and different")
+    @property
+    def uses_independence(self) -> bool:
+        return any(self._marked("independence"))
 
 
 def compile_query(ast: Mapping, terms: AnnotationTerms | None = None, aliases: Mapping[str, str] | None = None) -> Compiled:
@@ -166,12 +297,11 @@ def compile_query(ast: Mapping, terms: AnnotationTerms | None = None, aliases: M
     canonical = json.dumps(ast, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     if len(canonical.encode()) > MOST_BYTES:
         raise QueryError(f"more than {MOST_BYTES} bytes")
-    compiler = _Compiler(aliases or {})
-    compiler.out.condition = compiler.expression(ast)
-    compiler.out.canonical, compiler.out.terms = canonical, terms
-    if compiler.out.fields and terms is None:
+    steps = flatten(ast, ALIASES | dict(aliases or {}))
+    out = Compiled(fold(steps), steps, terms, canonical)
+    if out.fields and terms is None:
         raise UnsupportedQuery("the snapshot has no annotations")
-    return compiler.out
+    return out
 
 
 def execute(edges: DataFrame, query: Compiled, limit: int = 500, offset: int = 0, probe: bool = False) -> DataFrame:

@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmap.functions import stats
+from kinmap.functions.lineage import cut
+
 SCHEMA = "dataset long, loadings array<array<double>>, weights array<double>, features int, samples int, share double"
 
 
@@ -68,23 +71,63 @@ def signatures(rows: DataFrame, dataset: str, vector: str, share: float = 0.5) -
     return rows.select(F.col(dataset).cast("long").alias("d"), F.col(vector).cast("array<double>").alias("v")).groupBy("d").applyInPandas(one, SCHEMA)
 
 
+def packed(sig: DataFrame, per_block: int = 32) -> DataFrame:
+    """Signatures, `per_block` or so to a row: (block, blocks, data) with axes, weights and names as packed numbers."""
+    blocks = max(1, -(-sig.count() // per_block))
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        if group["features"].nunique() > 1 or group["share"].max() - group["share"].min() > 1e-12:
+            raise ValueError("signatures of different features or shares")
+        group = group.sort_values("dataset")
+        axes = np.concatenate([np.asarray([list(c) for c in x]) for x in group["loadings"]])
+        numbers = {"ids": group["dataset"].to_numpy("<i8"), "counts": np.asarray([len(x) for x in group["weights"]], "<i8"), "weights": np.concatenate([np.asarray(x) for x in group["weights"]])}
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "features": [axes.shape[1]], "share": [group["share"].iloc[0]], "axes": [axes.astype("<f8").tobytes()]} | {k: [v.tobytes()] for k, v in numbers.items()})
+
+    dealt = sig.withColumn("block", F.pmod(F.xxhash64("dataset"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("block").applyInPandas(one, "block int, features int, share double, axes binary, ids binary, counts binary, weights binary")
+
+
+def _block_scores(x: dict, y: dict, triangle: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, score) of all signatures of one block with all of another: one product of matrices."""
+    if x["features"] != y["features"] or abs(x["share"] - y["share"]) > 1e-12:
+        raise ValueError("signatures of different features or shares")
+    read = lambda r: (np.frombuffer(r["axes"], "<f8").reshape(-1, r["features"]), np.frombuffer(r["weights"], "<f8"), np.frombuffer(r["ids"], "<i8"), np.cumsum(np.concatenate([[0], np.frombuffer(r["counts"], "<i8")]))[:-1])
+    (p, lp, a, at), (q, lq, b, bt) = read(x), read(y)
+    s = (p @ q.T) ** 2
+    terms = np.add.reduceat(np.add.reduceat(s * np.add.outer(lp, lq), at, axis=0), bt, axis=1)
+    n, share = x["features"], x["share"]
+    score = np.maximum(0.0, (2 * share * n - terms) / (2 * (1 - share)))
+    left, right = np.repeat(a, len(b)), np.tile(b, len(a))
+    keep = (left < right) if triangle and x["block"] == y["block"] else np.ones(len(left), bool)
+    left, right, score = left[keep], right[keep], score.ravel()[keep]
+    return (np.minimum(left, right), np.maximum(left, right), score) if triangle else (left, right, score)
+
+
 def scores(left: DataFrame, right: DataFrame, triangle: bool = True) -> DataFrame:
-    """(a, b, score) of signatures; with triangle a < b of one table, else every pair of two tables."""
-    side = lambda df, s: df.select(*[F.col(c).alias(c + s) for c in ("dataset", "loadings", "weights", "features", "share")])
-    pairs = side(left, "x").join(side(right, "y"), F.expr("datasetx < datasety") if triangle else F.lit(True))
+    """(a, b, score) of signatures; with triangle a < b of one table, else every pair of two tables.
+
+    Signatures are packed into blocks. A pair of blocks is a row of numbers, which the blocks are joined to, so each
+    block is sent once for every block it meets and a task makes one product of matrices at a time.
+    """
+    spark = left.sparkSession
+    x = cut(packed(left))
+    y = x if triangle else cut(packed(right))
+    sides = [df.select("block") for df in (x, y)]
+    if triangle:
+        wanted = sides[0].select(F.col("block").alias("i")).join(sides[1].select(F.col("block").alias("j")), F.expr("i <= j"))
+    else:
+        most = sides[1].agg(F.max("block")).first()[0]
+        wanted = sides[0].select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(0 if most is None else most))).alias("j"))
+    side = lambda df, s, on: df.select(F.col("block").alias(on), F.struct(*df.columns).alias(s))
+    pairs = wanted.join(side(x, "x", "i"), "i").join(side(y, "y", "j"), "j").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["featuresx"] != r["featuresy"] or abs(r["sharex"] - r["sharey"]) > 1e-12:
-                    raise ValueError("signatures of different features or shares")
-                p, q = np.asarray(r["loadingsx"]).T, np.asarray(r["loadingsy"]).T
-                out.append((r["datasetx"], r["datasety"], distance(p, np.asarray(r["weightsx"]), q, np.asarray(r["weightsy"]), r["sharex"])))
-            a, b, s = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "score"])
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in _block_scores(r["x"], r["y"], triangle)], ["a", "b", "score"])
 
-    return pairs.mapInArrow(run, "a long, b long, score double")
+    return pairs.select("x", "y").mapInArrow(run, "a long, b long, score double")
 
 
 def invariants(sig: DataFrame) -> DataFrame:
@@ -96,12 +139,6 @@ def invariants(sig: DataFrame) -> DataFrame:
     return sig.select("dataset", "features", "samples", F.size("weights").alias("axes"), (F.abs(total - F.col("share") * F.col("features")) < 1e-8).alias("weights_sum"), (worst < 1e-5).alias("orthonormal"))
 
 
-def null_bank(pool: np.ndarray, size: int, draws: int, share: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Signatures of `draws` samples of the pool, with replacement; the same for one seed and size wherever it runs."""
-    rng = np.random.default_rng([seed, size])
-    return [fit(pool[rng.integers(0, len(pool), size)], share, seed) for _ in range(draws)]
-
-
 def size_grid(low: int, high: int) -> list[int]:
     """Sizes that bracket [low, high]: fixed anchors, then steps of 1.4 beyond 400."""
     # Anchors of the calibration grid.
@@ -119,73 +156,271 @@ def covering(grid: Column, size: Column) -> Column:
     return F.when(inside, grid).otherwise(F.raise_error(F.concat(F.lit("sample count outside the size grid: "), size.cast("string"))))
 
 
-def null_profiles(sig: DataFrame, pool: DataFrame, vector: str, grid: list[int], draws: int = 20, seed: int = 7, most_pool: int = 5_000) -> DataFrame:
-    """(dataset, size, mu, sigma): mean and deviation of each signature's distances to null signatures of each size.
+def null_bank(pool: DataFrame, vector: str, sizes: list[int], draws: int = 100, share: float = 0.5, seed: int = 7) -> DataFrame:
+    """(size, draw, loadings, weights, features): signatures of `draws` samples, with replacement, of each size from the pool.
 
-    The pool is a documented bounded sample; a task makes one size's bank and scores all signatures it is sent.
+    pool: any number of rows, a vector each; rows are numbered in the order of a hash of the vector, and place i of a
+    draw takes the row whose number a hash of (seed, size, draw, i) gives, so a bank is the same wherever it is made. A
+    task holds one draw.
     """
-    rows = pool.select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64(vector), vector).limit(most_pool).collect()
-    shared = sig.sparkSession.sparkContext.broadcast(np.asarray([r["v"] for r in rows]))
+    spark = pool.sparkSession
+    keyed = pool.select(F.col(vector).cast("array<double>").alias("v")).withColumn("h", F.xxhash64("v"))
+    numbered = cut(stats.ranked(keyed.withColumn("h", F.col("h").cast("double")), "h", ["v"], "number"))
+    n = numbered.count()
+    if not n:
+        raise ValueError("the pool is empty")
+    wanted = spark.createDataFrame([(int(x),) for x in sorted(set(sizes))], "size int")
+    wanted = wanted.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    wanted = wanted.withColumn("number", F.pmod(F.xxhash64("size", "draw", "place", F.lit(seed)), F.lit(n)) + 1)
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("place")
+        x = np.stack(group["v"].to_numpy())
+        p, lam = fit(x, share, seed)
+        return pd.DataFrame({"size": [group["size"].iloc[0]], "draw": [group["draw"].iloc[0]], "loadings": [[c.tolist() for c in p.T]], "weights": [lam.tolist()], "features": [x.shape[1]]})
+
+    return wanted.join(numbered.select("number", "v"), "number").groupBy("size", "draw").applyInPandas(one, "size int, draw int, loadings array<array<double>>, weights array<double>, features int")
+
+
+def packed_bank(bank: DataFrame, per_block: int = 16) -> DataFrame:
+    """(size, block, features, data, weights, starts): `per_block` null signatures with their axes side by side."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        size, share = int(group["size"].iloc[0]), float(group["share"].iloc[0])
-        bank = null_bank(shared.value, size, draws, share, seed)
+        group = group.sort_values("draw")
+        axes = np.concatenate([np.asarray([list(c) for c in x]) for x in group["loadings"]])
+        starts = np.cumsum([0, *[len(x) for x in group["weights"]]])[:-1]
+        return pd.DataFrame({
+            "size": [group["size"].iloc[0]], "block": [group["block"].iloc[0]], "features": [axes.shape[1]], "data": [axes.astype("<f8").tobytes()],
+            "weights": [np.concatenate([np.asarray(x) for x in group["weights"]]).astype("<f8").tobytes()], "starts": [starts.astype("<i8").tobytes()], "draws": [group["draw"].to_numpy().astype("<i4").tobytes()],
+        })
+
+    dealt = bank.withColumn("block", F.floor(F.col("draw") / per_block).cast("int"))
+    return dealt.groupBy("size", "block").applyInPandas(one, "size int, block int, features int, data binary, weights binary, starts binary, draws binary")
+
+
+def batched_distances(p: np.ndarray, lp: np.ndarray, axes: np.ndarray, weights: np.ndarray, starts: np.ndarray, share: float) -> np.ndarray:
+    """distance() of one signature to each of a block, by one product of matrices and sums over stretches."""
+    s = (p.T @ axes.T) ** 2
+    terms = lp @ s + s.sum(axis=0) * weights
+    return np.maximum(0.0, (2 * share * len(p) - np.add.reduceat(terms, starts)) / (2 * (1 - share)))
+
+
+def null_distances(sig: DataFrame, packed: DataFrame, per_chunk: int = 64) -> DataFrame:
+    """(dataset, size, draw, distance) of every signature to every one of a packed bank.
+
+    A task has one block of the bank and a chunk of about `per_chunk` signatures, whatever the number of either.
+    """
+    chunks = max(1, -(-sig.count() // per_chunk))
+    left = sig.withColumn("chunk", F.pmod(F.xxhash64("dataset"), F.lit(chunks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    right = packed.withColumn("chunk", every)
+    keys = packed.select(F.col("size").alias("its_size"), F.col("block").alias("its_block"), every.alias("its_chunk"))
+    left = left.join(keys, F.col("chunk") == F.col("its_chunk")).drop("chunk")
+
+    def one(signatures_: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for r in group.itertuples():
-            p = np.asarray([list(c) for c in r.loadings]).T
-            d = [distance(p, np.asarray(r.weights), q, lq, share) for q, lq in bank]
-            out.append((r.dataset, size, float(np.mean(d)), float(np.std(d))))
-        return pd.DataFrame(out, columns=["dataset", "size", "mu", "sigma"])
+        for b in block.itertuples():
+            axes, weights, starts, draws = np.frombuffer(b.data, "<f8").reshape(-1, b.features), np.frombuffer(b.weights, "<f8"), np.frombuffer(b.starts, "<i8"), np.frombuffer(b.draws, "<i4")
+            for r in signatures_.itertuples():
+                if r.features != b.features:
+                    raise ValueError("signature and bank of different features")
+                d = batched_distances(np.asarray([list(c) for c in r.loadings]).T, np.asarray(r.weights), axes, weights, starts, r.share)
+                out.append(pd.DataFrame({"dataset": r.dataset, "size": b.size, "draw": draws, "distance": d}))
+        return pd.concat(out) if out else pd.DataFrame({"dataset": [], "size": [], "draw": [], "distance": []})
 
-    sizes = F.explode(F.array(*[F.lit(g) for g in grid])).alias("size")
-    return sig.select("*", sizes).groupBy("size").applyInPandas(one, "dataset long, size int, mu double, sigma double")
+    return left.groupBy("its_size", "its_block", "its_chunk").cogroup(right.groupBy("size", "block", "chunk")).applyInPandas(one, "dataset long, size int, draw int, distance double")
 
 
-def best_features(p: np.ndarray, lp: np.ndarray, q: np.ndarray, lq: np.ndarray, k: int, largest: bool = True, starts: int = 3, rounds: int = 50, seed: int = 1729) -> tuple[list[int], float]:
-    """k features whose shared structure is strongest (or weakest): alternating top-k of a bilinear form from several starts."""
-    a, b = p * np.sqrt(lp), q * np.sqrt(lq)
-    n = len(a)
-    if k >= n:
-        return list(range(n)), objective(a, b, list(range(n)))
-    sign = 1.0 if largest else -1.0
+def null_profiles(sig: DataFrame, pool: DataFrame, vector: str, grid: list[int], draws: int = 100, seed: int = 7, share: float = 0.5) -> DataFrame:
+    """(dataset, size, mu, sigma): mean and deviation of each signature's distances to null signatures of each size."""
+    packed = cut(packed_bank(null_bank(pool, vector, grid, draws, share, seed)))
+    far = null_distances(sig, packed)
+    return far.groupBy("dataset", "size").agg(F.avg("distance").alias("mu"), F.stddev_pop("distance").alias("sigma"))
+
+
+def calibrate_pairs(pairs: DataFrame, profiles: DataFrame, sizes: DataFrame, exact: bool) -> DataFrame:
+    """pairs (a, b, score) with p: the larger lower tail of the score in the two ends' profiles, each at the other's size.
+
+    profiles: dataset, size, mu, sigma, as any loader gives them; sizes: dataset, samples. exact wants a profile at the
+    very size; else values between sizes are interpolated, and a size beyond the profiles' is an error.
+    """
+    tail = lambda mu, sigma: (F.col("score") - mu) / F.greatest(sigma, F.lit(1e-12))
+    n = lambda s: sizes.select(F.col("dataset").alias(s), F.col("samples").alias("n" + s))
+    rows = pairs.join(n("a"), "a").join(n("b"), "b")
+    for s, other in (("a", "nb"), ("b", "na")):
+        if exact:
+            own = profiles.select(F.col("dataset").alias(s), F.col("size").alias(other), F.col("mu").alias("mu" + s), F.col("sigma").alias("sigma" + s))
+            rows = rows.join(own, [s, other], "left")
+            rows = rows.withColumn("z" + s, F.coalesce(tail(F.col("mu" + s), F.col("sigma" + s)), F.raise_error(F.concat(F.lit("no profile at size "), F.col(other).cast("string"))).cast("double")))
+        else:
+            own = profiles.groupBy(F.col("dataset").alias(s)).agg(F.array_sort(F.collect_list(F.struct("size", "mu", "sigma"))).alias("g" + s))
+            rows = rows.join(own, s)
+            grid = F.transform("g" + s, lambda x: x["size"].cast("double"))
+            at = lambda what, s=s, grid=grid, other=other: stats.interpolate(F.col(other).cast("double"), covering(grid, F.col(other)), F.transform("g" + s, lambda x: x[what]))
+            rows = rows.withColumn("z" + s, tail(at("mu"), at("sigma")))
+    return rows.select(*pairs.columns, stats.normal_cdf(F.greatest("za", "zb")).alias("p"))
+
+
+class Structure:
+    """What two signatures share on a set of features S: sum over axes i, j of (lp_i + lq_j) * (P_S' Q_S)_ij ^ 2.
+
+    Over all features it is what distance() subtracts. With the loadings A = P sqrt(lp) and B = Q sqrt(lq) it is
+    |A_S' Q_S|^2 + |P_S' B_S|^2. Several pairs of signatures add up, so one set can be sought for all of them.
+    """
+
+    def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.pairs = [(p, q, np.add.outer(lp, lq)) for p, lp, q, lq in pairs]
+        self.features = len(pairs[0][0])
+        #: Of each feature alone.
+        self.alone = sum(np.einsum("ri,ij,rj->r", p * p, c, q * q) for p, q, c in self.pairs)
+
+    def _cross(self, chosen: np.ndarray) -> list[np.ndarray]:
+        return [p[chosen].T @ q[chosen] for p, q, _ in self.pairs]
+
+    def value(self, chosen) -> float:
+        chosen = np.asarray(chosen, dtype=np.int64)
+        return float(sum((c * m * m).sum() for (_, _, c), m in zip(self.pairs, self._cross(chosen), strict=True)))
+
+    def _lines(self, cross: list[np.ndarray]) -> np.ndarray:
+        return sum(np.einsum("ri,ij,rj->r", p, c * m, q, optimize=True) for (p, q, c), m in zip(self.pairs, cross, strict=True))
+
+    def lines(self, chosen) -> np.ndarray:
+        """What each feature adds to the bilinear form whose other set is `chosen`."""
+        return self._lines(self._cross(np.asarray(chosen, dtype=np.int64)))
+
+    def swap(self, chosen: np.ndarray, sign: float) -> np.ndarray | None:
+        """chosen after the best exchange of one feature, or None where no exchange gains."""
+        cross, now, best = self._cross(chosen), self.value(chosen), None
+        for place, r in enumerate(chosen.tolist()):
+            left = [m - np.outer(p[r], q[r]) for (p, q, _), m in zip(self.pairs, cross, strict=True)]
+            base = sum((c * m * m).sum() for (_, _, c), m in zip(self.pairs, left, strict=True))
+            values = sign * (base + 2 * self._lines(left) + self.alone)
+            values[chosen] = -np.inf
+            s = int(values.argmax())
+            if values[s] > (sign * now if best is None else best[0]) + 1e-12 * max(1.0, abs(now)):
+                best = (float(values[s]), place, s)
+        return None if best is None else np.sort(np.concatenate([np.delete(chosen, best[1]), [best[2]]]))
+
+
+def best_set(shared: Structure, k: int, largest: bool = True, starts: int = 3, rounds: int = 50, seed: int = 1729) -> tuple[list[int], float]:
+    """k features that share most (or least), those that say most first, and their value.
+
+    Two sets take turns: each is the top k by the bilinear form with the other held, which for the best set never
+    falls; from the features that are strongest alone and from random sets. The best set seen from each start is then
+    improved by exchanges of one feature while any gains, so that it is at least a local optimum.
+    """
+    k, sign = min(k, shared.features), 1.0 if largest else -1.0
+    top = lambda x: np.sort(np.argsort(-sign * x, kind="stable")[:k])
     rng = np.random.default_rng(seed)
-    own = (a * a).sum(axis=1) * (b * b).sum(axis=1)
-    best: tuple[float, list[int]] | None = None
-    for start in [np.argsort(-sign * own, kind="stable")[:k], *[rng.choice(n, k, replace=False) for _ in range(starts)]]:
-        chosen = np.sort(start)
+    worth = lambda chosen: sign * shared.value(chosen)
+    ends = []
+    for start in [top(shared.alone), *[np.sort(rng.choice(shared.features, k, replace=False)) for _ in range(starts)]]:
+        one = other = seen = start
+        for _ in range(rounds):
+            before = one, other
+            other = top(shared.lines(one))
+            one = top(shared.lines(other))
+            seen = max(seen, one, key=worth)
+            if (one == before[0]).all() and (other == before[1]).all():
+                break
         for _ in range(rounds):
-            value = objective(a, b, chosen.tolist())
-            if best is None or sign * value > sign * best[0]:
-                best = (value, chosen.tolist())
-            m = a[chosen].T @ b[chosen]
-            gain = np.einsum("ic,cd,id->i", a, m, b)
-            following = np.sort(np.argsort(-sign * gain, kind="stable")[:k])
-            if (following == chosen).all():
+            if k == shared.features or (better := shared.swap(seen, sign)) is None:
                 break
-            chosen = following
-    return best[1], best[0]
+            seen = better
+        ends.append(seen)
+    chosen = max(ends, key=worth)
+    order = np.argsort(-sign * shared.lines(chosen)[chosen], kind="stable")
+    return chosen[order].tolist(), shared.value(chosen)
 
 
-def objective(a: np.ndarray, b: np.ndarray, chosen: list[int]) -> float:
-    return float(((a[chosen].T @ b[chosen]) ** 2).sum())
+def best_features(p: np.ndarray, lp: np.ndarray, q: np.ndarray, lq: np.ndarray, k: int, largest: bool = True, starts: int = 3, rounds: int = 50, seed: int = 1729) -> tuple[list[int], float]:
+    """best_set() of one pair of signatures."""
+    return best_set(Structure([(p, lp, q, lq)]), k, largest, starts, rounds, seed)
+
+
+# Sizes at which a trajectory is taken (besides k itself), and random sets of each size.
+SIZES = (1, 5, 10, 20, 50)
+RANDOM_SETS = 20
+
+_TRAJECTORY = "array<struct<k:int,best_objective:double,worst_objective:double,random_objective:double>>"
+
+
+def _parts(sig: DataFrame, s: str) -> DataFrame:
+    return sig.select(F.col("dataset").alias(s), F.col("loadings").alias("p" + s), F.col("weights").alias("l" + s))
+
+
+def _structure(rows: list) -> Structure:
+    matrix = lambda x: np.asarray([list(c) for c in x]).T
+    return Structure([(matrix(r.pa), np.asarray(r.la), matrix(r.pb), np.asarray(r.lb)) for r in rows])
 
 
-def explain(pairs: DataFrame, sig: DataFrame, k: int = 10, sizes: tuple[int, ...] = (1, 5, 10, 20), seed: int = 1729) -> DataFrame:
-    """Of each pair (a, b): the best and worst k features, the objective at several sizes, and of random sets of k."""
-    side = lambda s: sig.select(F.col("dataset").alias(s), F.col("loadings").alias("p" + s), F.col("weights").alias("l" + s))
-    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+def explain(pairs: DataFrame, sig: DataFrame, k: int = 20, seed: int = 1729) -> DataFrame:
+    """Of each pair (a, b): the best and worst k features, their values, and a trajectory over SIZES and k.
+
+    A trajectory's entry has the best, the worst and the mean of RANDOM_SETS random sets of that size. One pair at a time
+    is in a task's hands.
+    """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.select("a", "b").join(_parts(sig, "a"), "a").join(_parts(sig, "b"), "b").repartition(tasks, "a", "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for r in frame.itertuples():
-                p, q = (np.asarray([list(c) for c in x]).T for x in (r.pa, r.pb))
-                lp, lq = np.asarray(r.la), np.asarray(r.lb)
-                top, value = best_features(p, lp, q, lq, k, seed=seed)
-                low, _ = best_features(p, lp, q, lq, k, largest=False, seed=seed)
-                rng = np.random.default_rng([seed, int(r.a), int(r.b)])
-                chance = np.mean([objective(p * np.sqrt(lp), q * np.sqrt(lq), rng.choice(len(p), k, replace=False).tolist()) for _ in range(20)])
-                out.append((r.a, r.b, top, low, value, float(chance), [best_features(p, lp, q, lq, s, seed=seed)[1] for s in sizes]))
-            yield pd.DataFrame(out, columns=["a", "b", "best", "worst", "objective", "chance", "trajectory"])
-
-    return rows.mapInPandas(run, "a long, b long, best array<int>, worst array<int>, objective double, chance double, trajectory array<double>")
+                shared, path, made = _structure([r]), [], {}
+                rng = np.random.default_rng([seed, int(r.a) & 0xFFFFFFFF, int(r.b) & 0xFFFFFFFF])
+                own = min(k, shared.features)
+                for size in sorted({x for x in SIZES if x < own} | {own}):
+                    made = {largest: best_set(shared, size, largest, seed=seed) for largest in (True, False)}
+                    chance = [shared.value(rng.choice(shared.features, size, replace=False)) for _ in range(RANDOM_SETS)]
+                    path.append({"k": size, "best_objective": made[True][1], "worst_objective": made[False][1], "random_objective": float(np.mean(chance))})
+                yield pd.DataFrame({"a": [r.a], "b": [r.b], "best": [made[True][0]], "worst": [made[False][0]], "objective": [made[True][1]], "least": [made[False][1]], "trajectory": [path]})
+
+    return rows.mapInPandas(run, f"a long, b long, best array<int>, worst array<int>, objective double, least double, trajectory {_TRAJECTORY}")
+
+
+def values(sets: DataFrame, sig: DataFrame) -> DataFrame:
+    """(a, b, objective) of given sets (a, b, chosen)."""
+    rows = sets.select("a", "b", "chosen").join(_parts(sig, "a"), "a").join(_parts(sig, "b"), "b")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(r.a, r.b, _structure([r]).value(r.chosen)) for r in frame.itertuples()], columns=["a", "b", "objective"])
+
+    return rows.mapInPandas(run, "a long, b long, objective double")
+
+
+def explain_sets(pairs: DataFrame, sig: DataFrame, by: str, k: int = 20, seed: int = 1729) -> DataFrame:
+    """One set of features for all pairs of each group `by`: (by, pairs, best, worst, objective, least).
+
+    pairs: by, a, b. A group's signatures are in one task, so a group is a set of pairs to be told apart from the rest,
+    not a whole corpus.
+    """
+    rows = pairs.select(F.col(by).alias("by"), "a", "b").join(_parts(sig, "a"), "a").join(_parts(sig, "b"), "b")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        own = list(group.sort_values(["a", "b"]).itertuples())
+        shared = _structure(own)
+        best, value = best_set(shared, k, seed=seed)
+        worst, least = best_set(shared, k, largest=False, seed=seed)
+        return pd.DataFrame({by: [own[0].by], "pairs": [len(own)], "best": [best], "worst": [worst], "objective": [value], "least": [least]})
+
+    kind = pairs.select(by).schema[0].dataType.simpleString()
+    return rows.groupBy("by").applyInPandas(one, f"`{by}` {kind}, pairs int, best array<int>, worst array<int>, objective double, least double")
+
+
+def scaled_loadings(sig: DataFrame) -> DataFrame:
+    """sig with `scaled`: each axis of loadings times the root of its weight."""
+    return sig.withColumn("scaled", F.zip_with("loadings", "weights", lambda axis, w: F.transform(axis, lambda x: x * F.sqrt(w))))
+
+
+def objective_of(sets: DataFrame, sig: DataFrame) -> DataFrame:
+    """(a, b, objective) of given sets in SQL functions, by another way than Structure: sets has a, b and chosen (array).
+
+    |A_S' Q_S|^2 + |P_S' B_S|^2 from the scaled loadings A and B.
+    """
+    side = lambda s: scaled_loadings(sig).select(F.col("dataset").alias(s), F.col("loadings").alias("p" + s), F.col("scaled").alias("s" + s))
+    rows = sets.select("a", "b", "chosen").join(side("a"), "a").join(side("b"), "b")
+    on = lambda axis: F.transform("chosen", lambda i: F.get(axis, i))
+    dot = lambda x, y: F.aggregate(F.zip_with(on(x), on(y), lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v)
+    squares = lambda left, right: F.aggregate(F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: dot(x, y)))), F.lit(0.0), lambda t, v: t + v * v)
+    return rows.select("a", "b", (squares("sa", "pb") + squares("pa", "sb")).alias("objective"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinmap.functions import facets
+from kinmap.functions.lineage import cut
 from kinmap.operators import layout, signature
 from kinmap.plans.frames import calibrated, nodes, table
 from kinmap.streaming import delta
@@ -42,7 +43,7 @@ def m03_signature_invariants(spark, sf):
 
 @case()
 def m07_signature_scores(spark, sf):
-    sig = _signatures(spark, sf)
+    sig = cut(_signatures(spark, sf))
     return signature.scores(sig, sig).select("a", "b", F.round("score", 6).alias("score"))
 
 
@@ -60,51 +61,102 @@ def m04_score_by_sql(spark, sf):
     return total.select("a", "b", F.round(F.greatest(F.lit(0.0), score), 6).alias("score"))
 
 
-def _null_profiles(spark, sf, sig):
-    """Null profiles on a grid that brackets the signatures' own sample counts."""
+@case()
+def m10_null_bank(spark, sf):
+    """Null signatures on a grid that brackets the signatures' own sample counts."""
+    low, high = _signatures(spark, sf).agg(F.min("samples"), F.max("samples")).first()
+    bank = signature.null_bank(table(spark, sf, "embeddings"), "embedding", signature.size_grid(low, high), DRAWS)
+    return bank.select("size", "draw", "features", F.size("weights").alias("axes"), F.round(F.get("weights", F.lit(0)), 6).alias("first_weight"))
+
+
+def _profiles(spark, sf, sig):
     low, high = sig.agg(F.min("samples"), F.max("samples")).first()
-    return signature.null_profiles(sig, table(spark, sf, "embeddings"), "embedding", signature.size_grid(low, high), draws=DRAWS)
+    return signature.null_profiles(sig, table(spark, sf, "embeddings"), "embedding", signature.size_grid(low, high), DRAWS)
 
 
 @case()
 def m11_null_profiles(spark, sf):
-    out = _null_profiles(spark, sf, _signatures(spark, sf))
+    out = _profiles(spark, sf, cut(_signatures(spark, sf)))
     return out.select("dataset", "size", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
+def _rounded(rows):
+    return rows.select("a", "b", F.round("score", 6).alias("score"), F.round("p", 6).alias("p"))
+
+
 @case()
 def m12_bootstrap_pvalues(spark, sf):
-    """Pairs of datasets: the larger lower tail of their score in the two null profiles, each at the other's size."""
-    from kinmap.functions import stats
+    """Pairs of datasets against null samples of exactly the other's size."""
+    sig = cut(_signatures(spark, sf))
+    sizes = [r[0] for r in sig.select("samples").distinct().collect()]  # no more than sample counts differ
+    profiles = signature.null_profiles(sig, table(spark, sf, "embeddings"), "embedding", sizes, DRAWS)
+    return _rounded(signature.calibrate_pairs(signature.scores(sig, sig), profiles, sig.select("dataset", "samples"), exact=True))
 
-    sig = _signatures(spark, sf)
-    profiles = _null_profiles(spark, sf, sig)
-    arrays = profiles.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("size", "mu", "sigma"))).alias("g"))
-    side = lambda s: arrays.select(F.col("dataset").alias(s), F.col("g").alias("g" + s)).join(sig.select(F.col("dataset").alias(s), F.col("samples").alias("n" + s)), s)
-    rows = signature.scores(sig, sig).join(side("a"), "a").join(side("b"), "b")
 
-    def at(s: str, n: str, what: str):
-        grid_ = F.transform(f"g{s}", lambda x: x["size"].cast("double"))
-        return stats.interpolate(F.col(n).cast("double"), signature.covering(grid_, F.col(n)), F.transform(f"g{s}", lambda x: x[what]))
+@case()
+def m14_streaming_calibration(spark, sf):
+    """Pairs against stored profiles on a grid, then q: what an update does without new draws."""
+    from kinmap.functions import stats
 
-    z = [(F.col("score") - at(s, n, "mu")) / F.greatest(at(s, n, "sigma"), F.lit(1e-12)) for s, n in (("a", "nb"), ("b", "na"))]
-    rows = rows.withColumn("z", F.greatest(*z))
-    return rows.select("a", "b", F.round("score", 6).alias("score"), F.round(stats.normal_cdf(F.col("z")), 6).alias("p"))
+    sig = cut(_signatures(spark, sf))
+    stored = cut(_profiles(spark, sf, sig))
+    rows = signature.calibrate_pairs(signature.scores(sig, sig), stored, sig.select("dataset", "samples"), exact=False)
+    return stats.benjamini_hochberg(rows, "p", "q").select("a", "b", F.round("score", 6).alias("score"), F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
 
 
 @case()
 def m16_feature_explanations(spark, sf):
-    sig = _signatures(spark, sf)
-    pairs = signature.scores(sig, sig).orderBy("score", "a", "b").limit(5)
-    out = signature.explain(pairs, sig, k=8)
-    return out.select("a", "b", F.array_join(F.transform("best", lambda x: x.cast("string")), ",").alias("best"), F.array_join(F.transform("worst", lambda x: x.cast("string")), ",").alias("worst"), F.round("objective", 6).alias("objective"), F.round("chance", 6).alias("chance"))
+    """Best and worst features of every pair of datasets."""
+    sig = cut(_signatures(spark, sf))
+    out = signature.explain(signature.scores(sig, sig), sig, k=8)
+    named = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("a", "b", named("best"), named("worst"), F.round("objective", 6).alias("objective"), F.round("least", 6).alias("least"))
+
+
+def _plain_signatures(spark, sf):
+    """A signature-like row a label, from its three first vectors with weights 3, 2 and 1: the objective's inputs need not be fitted."""
+    rows = table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("dataset")).agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v")))), 1, 3).alias("s"))
+    return rows.select("dataset", F.transform("s", lambda x: x["v"]).alias("loadings"), F.array(*[F.lit(float(w)) for w in (3, 2, 1)]).alias("weights"))
+
+
+_AXES = """axes as (select label::bigint as d, i, embedding::double[] as v, 4.0 - i as w from (select label, embedding, row_number() over (partition by label order by vec_id) as i from embeddings) where i <= 3),
+crossed as (select x.d as a, y.d as b, x.i as i, y.i as j, x.w + y.w as c, x.v as p, y.v as q from axes x join axes y on x.d < y.d)"""
+
+
+@case("with " + _AXES + " select a, b, round(sum(c * pow(list_dot_product(p[1:5], q[1:5]), 2)), 9) as kernel, round(sum(c * pow(list_dot_product(p[1:5], q[1:5]), 2)), 9) as by_sql from crossed group by a, b")
+def m18_set_objective(spark, sf):
+    """The objective on the first five features, by the kernel that searches and by scaled loadings in SQL functions."""
+    sig = cut(_plain_signatures(spark, sf))
+    pairs = sig.select(F.col("dataset").alias("a")).join(sig.select(F.col("dataset").alias("b")), F.expr("a < b"))
+    sets = pairs.withColumn("chosen", F.array(*[F.lit(i) for i in range(5)]))
+    kernel = signature.values(sets, sig).withColumnRenamed("objective", "kernel")
+    return kernel.join(signature.objective_of(sets, sig), ["a", "b"]).select("a", "b", F.round("kernel", 9).alias("kernel"), F.round("objective", 9).alias("by_sql"))
+
+
+@case("with " + _AXES + """, alone as (select a, b, r, sum(c * p[r] * p[r] * q[r] * q[r]) as v from crossed, range(1, 65) t(r) group by a, b, r)
+select a, b, (arg_max(r, v) - 1)::int as best, round(max(v), 9) as objective, (arg_min(r, v) - 1)::int as worst, round(min(v), 9) as least from alone group by a, b""")
+def m16_single_feature(spark, sf):
+    """The best and the worst set of one feature, where the search has an exact answer in SQL."""
+    sig = cut(_plain_signatures(spark, sf))
+    pairs = sig.select(F.col("dataset").alias("a")).join(sig.select(F.col("dataset").alias("b")), F.expr("a < b"))
+    out = signature.explain(pairs, sig, k=1)
+    return out.select("a", "b", F.get("best", F.lit(0)).alias("best"), F.round("objective", 9).alias("objective"), F.get("worst", F.lit(0)).alias("worst"), F.round("least", 9).alias("least"))
+
+
+@case()
+def m17_set_explanations(spark, sf):
+    """One set of features for all pairs of a group of datasets."""
+    sig = cut(_signatures(spark, sf))
+    pairs = signature.scores(sig, sig).withColumn("kind", F.col("a") % 3)
+    out = signature.explain_sets(pairs, sig, "kind", k=8)
+    return out.select("kind", "pairs", F.array_join(F.transform("best", lambda x: x.cast("string")), ",").alias("best"), F.round("objective", 6).alias("objective"), F.round("least", 6).alias("least"))
 
 
 @case()
 def k05_wide_matrix(spark, sf):
     from kinmap.sources import sinks
 
-    sig = _signatures(spark, sf)
+    sig = cut(_signatures(spark, sf))
     ids = [r["dataset"] for r in sig.select("dataset").orderBy("dataset").collect()]  # of ten datasets
     return sinks.wide_matrix(signature.scores(sig, sig).withColumn("score", F.round("score", 6)), ids, "score")
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinmap.functions import facets, ids, stats
-from kinmap.operators import annotate, discovery, matrix, overlap, pairs, release, signature
+from kinmap.functions.lineage import cut
+from kinmap.operators import annotate, discovery, explanation, matrix, overlap, pairs, release, signature
 from kinmap.operators.query import compile_query, execute
 from kinmap.plans import graph_queries
 from kinmap.plans.frames import CAL, NODES, PAIRS, calibrated, nodes, table, text_pairs, with_
@@ -60,8 +61,6 @@ def s34_release_import(spark, sf):
 @case()
 def s09_signature_scan(spark, sf):
     """Signatures written and read again; only sizes are read back."""
-    from kinmap.functions.lineage import cut
-
     sig = cut(signature.signatures(table(spark, sf, "embeddings"), "label", "embedding"))
     return sig.select("dataset", "features", "samples", "share")
 
@@ -177,9 +176,10 @@ def w03_bh_by_family(spark, sf):
 
 @case()
 def w10_trajectory(spark, sf):
-    sig = signature.signatures(table(spark, sf, "embeddings"), "label", "embedding")
-    out = signature.explain(signature.scores(sig, sig).orderBy("score", "a", "b").limit(3), sig, k=8)
-    return out.select("a", "b", F.posexplode("trajectory").alias("step", "value"), F.round("chance", 6).alias("chance"))
+    """Best, worst and random objective at every size, for every pair of datasets."""
+    sig = cut(signature.signatures(table(spark, sf, "embeddings"), "label", "embedding"))
+    out = signature.explain(signature.scores(sig, sig), sig, k=20).select("a", "b", F.explode("trajectory").alias("t"))
+    return out.select("a", "b", "t.k", *[F.round(f"t.{c}_objective", 6).alias(c) for c in ("best", "worst", "random")])
 
 
 @case("select user_id, event_id, lag(event_id) over w as before, lead(event_id) over w as after, ntile(4) over w as quarter, dense_rank() over (partition by user_id order by event_type) as kind from events where user_id < 30 window w as (partition by user_id order by ts, event_id)")
@@ -258,11 +258,22 @@ def m15_network(spark, sf):
 
 @case()
 def m19_edge_explanations(spark, sf):
-    """Best features of the closest pairs with the names they stand for."""
-    sig = signature.signatures(table(spark, sf, "embeddings"), "label", "embedding")
-    out = signature.explain(signature.scores(sig, sig).orderBy("score", "a", "b").limit(4), sig, k=6)
-    names = table(spark, sf, "part").filter("p_partkey <= 64").select((F.col("p_partkey") - 1).cast("int").alias("feature"), F.col("p_name").alias("name"))
-    return out.select("a", "b", F.posexplode("best").alias("place", "feature")).join(F.broadcast(names), "feature").select("a", "b", "place", "feature", "name")
+    """Best and worst features of every pair with the names they stand for."""
+    sig = cut(signature.signatures(table(spark, sf, "embeddings"), "label", "embedding"))
+    out = signature.explain(signature.scores(sig, sig), sig, k=6)
+    named = table(spark, sf, "part").select((F.col("p_partkey") - 1).cast("int").alias("feature"), F.col("p_name").alias("name"))
+    sides = [out.select("a", "b", F.lit(s).alias("side"), F.posexplode(s).alias("place", "feature")) for s in ("best", "worst")]
+    return sides[0].unionByName(sides[1]).join(named, "feature").select("a", "b", "side", "place", "feature", "name")
+
+
+@case()
+def m20_explanation_artifact(spark, sf):
+    """Explanations as stored artifacts: written under a hash of all they depend on, and only missing ones made again."""
+    sig = cut(signature.signatures(table(spark, sf, "embeddings"), "label", "embedding"))
+    pairs = signature.scores(sig, sig).select("a", "b")
+    done = explanation.replay(pairs, sig, None, k=6)
+    again = explanation.replay(pairs, sig, done, k=6)
+    return again.select("a", "b", "dependency", "made", F.sha2("payload", 256).alias("sha256"))
 
 
 @case("with f as (select vec_id, i - 1 as feature, embedding[i]::double as score from embeddings, range(1, 65) t(i) where vec_id < 40) select vec_id, feature::int as feature, score, p_name as name, p_partkey % 5 = 0 as ambiguous from f join part on p_partkey = feature + 1")

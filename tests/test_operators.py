@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinmap.functions import facets, ids, stats
+from kinmap.functions.lineage import cut
 from kinmap.operators import annotate, graph, layout, matrix, overlap, pairs, query, release, signature
 from kinmap.plans import kernel_queries, more_queries, table_queries
 from kinmap.sources import sinks, text
@@ -266,15 +267,99 @@ def test_signature_invariants_and_distance():
     assert signature.size_grid(44, 59) == [40, 50, 75] and signature.size_grid(5, 500)[-1] == 560
 
 
-def test_best_features_beat_chance():
-    rng = np.random.default_rng(5)
-    (p, lp), (q, lq) = signature.fit(rng.normal(size=(20, 30))), signature.fit(rng.normal(size=(20, 30)))
-    a, b = p * np.sqrt(lp), q * np.sqrt(lq)
-    best, value = signature.best_features(p, lp, q, lq, 5)
-    worst, low = signature.best_features(p, lp, q, lq, 5, largest=False)
-    chance = np.mean([signature.objective(a, b, rng.choice(30, 5, replace=False).tolist()) for _ in range(50)])
-    assert low <= chance <= value and len(best) == len(worst) == 5
-    assert signature.best_features(p, lp, q, lq, 99)[0] == list(range(30))
+def shared_on(p, lp, q, lq, chosen):
+    """The objective, term by term."""
+    return sum((lp[i] + lq[j]) * sum(p[r, i] * q[r, j] for r in chosen) ** 2 for i in range(len(lp)) for j in range(len(lq)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_features_are_the_best_subset(seed):
+    rng = np.random.default_rng(seed)
+    (p, lp), (q, lq) = signature.fit(rng.normal(size=(9, 14))), signature.fit(rng.normal(size=(9, 14)))
+    whole = shared_on(p, lp, q, lq, range(14))
+    assert np.isclose(signature.distance(p, lp, q, lq, 0.5), 14 - whole)
+    for k in (1, 3, 4):
+        every = {c: shared_on(p, lp, q, lq, c) for c in itertools.combinations(range(14), k)}
+        best, value = signature.best_features(p, lp, q, lq, k, starts=8)
+        worst, low = signature.best_features(p, lp, q, lq, k, largest=False, starts=8)
+        assert np.isclose(value, every[tuple(sorted(best))]) and np.isclose(low, every[tuple(sorted(worst))])
+        assert np.isclose(value, max(every.values())) and np.isclose(low, min(every.values()))
+    assert sorted(signature.best_features(p, lp, q, lq, 99)[0]) == list(range(14))
+
+
+def test_one_set_for_several_pairs_is_the_best_subset():
+    rng = np.random.default_rng(11)
+    sig = [signature.fit(rng.normal(size=(8, 12))) for _ in range(4)]
+    pairs = [(*sig[0], *sig[1]), (*sig[0], *sig[2]), (*sig[1], *sig[3])]
+    best, value = signature.best_set(signature.Structure(pairs), 3, starts=8)
+    every = {c: sum(shared_on(*x, c) for x in pairs) for c in itertools.combinations(range(12), 3)}
+    assert np.isclose(value, max(every.values())) and np.isclose(every[tuple(sorted(best))], value)
+
+
+def small_signatures(spark, sizes=(9, 12, 15)):
+    rng = np.random.default_rng(2)
+    rows = [(d, i, [float(x) for x in rng.normal(size=6)]) for d, n in enumerate(sizes) for i in range(n)]
+    table = spark.createDataFrame(rows, "d long, i int, v array<double>")
+    return table, signature.signatures(table, "d", "v")
+
+
+def matrices(sig):
+    return {r["dataset"]: (np.asarray(r["loadings"]).T, np.asarray(r["weights"]), r["samples"]) for r in sig.collect()}
+
+
+def test_block_scores_match_the_loop(spark, monkeypatch):
+    _, sig = small_signatures(spark, (9, 12, 15, 7, 8))
+    own = matrices(sig)
+    for triangle in (True, False):
+        got = {(r["a"], r["b"]): r["score"] for r in signature.scores(sig, sig, triangle).collect()}
+        pairs = [(a, b) for a in own for b in own if a < b or not triangle]
+        assert got.keys() == set(pairs)
+        assert all(np.isclose(got[a, b], signature.distance(*own[a][:2], *own[b][:2], 0.5), atol=1e-9) for a, b in pairs)
+
+
+def test_null_bank_and_profiles_match_the_loop(spark):
+    table, sig = small_signatures(spark)
+    bank = cut(signature.null_bank(table, "v", [5, 9], draws=6))
+    held = {(r["size"], r["draw"]): (np.asarray(r["loadings"]).T, np.asarray(r["weights"])) for r in bank.collect()}
+    assert held.keys() == {(n, b) for n in (5, 9) for b in range(6)}
+    again = {(r["size"], r["draw"]): r["weights"] for r in signature.null_bank(table.repartition(5), "v", [9, 5], draws=6).collect()}
+    assert all(np.allclose(again[k], held[k][1]) for k in held)
+    far = signature.null_distances(sig, signature.packed_bank(bank, per_block=4), per_chunk=2)
+    own = matrices(sig)
+    got = {(r["dataset"], r["size"], r["draw"]): r["distance"] for r in far.collect()}
+    assert got.keys() == {(d, *k) for d in own for k in held}
+    assert all(np.isclose(v, signature.distance(*own[d][:2], *held[n, b], 0.5), atol=1e-9) for (d, n, b), v in got.items())
+    profiles = {(r["dataset"], r["size"]): (r["mu"], r["sigma"]) for r in signature.null_profiles(sig, table, "v", [5, 9], draws=6).collect()}
+    for (d, n), (mu, sigma) in profiles.items():
+        v = [got[d, n, b] for b in range(6)]
+        assert np.isclose(mu, np.mean(v)) and np.isclose(sigma, np.std(v))
+
+
+def test_pairs_calibrate_at_the_other_size(spark):
+    pairs = spark.createDataFrame([(1, 2, 3.0)], "a long, b long, score double")
+    sizes = spark.createDataFrame([(1, 10), (2, 20)], "dataset long, samples int")
+    profiles = spark.createDataFrame([(1, 10, 9.0, 1.0), (1, 20, 4.0, 2.0), (1, 30, 4.0, 2.0), (2, 5, 2.0, 1.0), (2, 10, 5.0, 4.0), (2, 15, 1.0, 1.0)], "dataset long, size int, mu double, sigma double")
+    want = 0.5 * math.erfc(0.5 / math.sqrt(2))  # both z are -0.5
+    for exact in (True, False):
+        assert np.isclose(signature.calibrate_pairs(pairs, profiles, sizes, exact).first()["p"], want)
+    with pytest.raises(Exception, match="no profile at size"):
+        signature.calibrate_pairs(pairs, profiles.filter("size <> 20"), sizes, True).collect()
+    with pytest.raises(Exception, match="outside the size grid"):
+        signature.calibrate_pairs(pairs, profiles.filter("size < 20"), sizes, False).collect()
+
+
+def test_explanations_replay_by_dependency(spark):
+    from kinmap.operators import explanation
+
+    _, sig = small_signatures(spark)
+    sig = cut(sig)
+    pairs = signature.scores(sig, sig).select("a", "b")
+    first = explanation.replay(pairs, sig, None, k=2)
+    assert first.filter("made").count() == 3
+    other = sig.filter("dataset <> 2").unionByName(sig.filter("dataset = 2").withColumn("weights", F.transform("weights", lambda x: x * 2)))
+    again = {(r["a"], r["b"]): r["made"] for r in explanation.replay(pairs, other, first, k=2).collect()}
+    assert again == {(0, 1): False, (0, 2): True, (1, 2): True}
+    assert explanation.replay(pairs, sig, first, k=3).filter("made").count() == 3
 
 
 def test_matrix_quality(spark):
