@@ -46,6 +46,27 @@ def ground(source: Column, start: Column, quote: Column) -> Column:
     return F.coalesce(exact, _nearest(left(source), left(quote), left(F.lower(source)), left(F.lower(quote)), start.cast("int")))
 
 
+def quoted(sources: DataFrame, source_id: str, source: str, quotes: DataFrame, quote_id: str, quote: str, words: int = 3) -> DataFrame:
+    """(source_id, source, quote_id, quote) of every source that holds a quote, whole and exactly.
+
+    A quote's second and following words stand whole in every source that holds it, so their run is looked up among
+    the runs of the sources' words, and only sources that have it are searched. Quotes of too few words for that are
+    searched in every source. A blank or null quote is held by nothing.
+    """
+    split = lambda c: F.split(c, r"\s+")
+    named = quotes.filter(F.length(F.trim(quote)) > 0).select(F.col(quote_id), F.col(quote), split(F.col(quote)).alias("_w"))
+    run = lambda w, at: F.xxhash64(*[F.get(w, at + k) for k in range(words)])
+    keyed = named.filter(F.size("_w") >= words + 2).select(quote_id, run(F.col("_w"), F.lit(1)).alias("_k"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("_w") - words), lambda i: run(F.col("_w"), i))
+    texts = sources.select(source_id, split(F.col(source)).alias("_w")).filter(F.size("_w") >= words)
+    met = texts.select(source_id, F.explode(F.array_distinct(runs)).alias("_k")).join(keyed, "_k").select(source_id, quote_id).distinct()
+    found = sources.select(source_id, source).join(met, source_id).join(quotes.select(quote_id, quote), quote_id)
+    short = named.filter(F.size("_w") < words + 2).select(quote_id, quote)
+    searched = sources.select(source_id, source).join(short, F.expr(f"contains(`{source}`, `{quote}`)"))
+    both = found.select(source_id, source, quote_id, quote).unionByName(searched.select(source_id, source, quote_id, quote))
+    return both.filter(F.expr(f"contains(`{source}`, `{quote}`)"))
+
+
 def resolve(labels: DataFrame, terms: DataFrame, key) -> DataFrame:
     """label and status: resolved to one id, ambiguous, or unresolved. terms: id, name, obsolete; key normalises names."""
     names = terms.filter("not obsolete").select("id", key(F.col("name")).alias("k")).filter("k <> ''").distinct()

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinmap.functions.lineage import cut
+
 BLOCK = 512
 _BLOCK_SCHEMA = "block int, ids binary, data binary, dim int"
 
@@ -45,26 +47,48 @@ def _score(metric: Callable[[np.ndarray, np.ndarray], np.ndarray], triangle: boo
                 left, right = np.repeat(ids[0], len(ids[1])), np.tile(ids[1], len(ids[0]))
                 keep = (left < right) if triangle and r["blockx"] == r["blocky"] else left != right
                 left, right, value = left[keep], right[keep], values.ravel()[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(value)], ["a", "b", "value"])
+                if triangle:
+                    left, right = np.minimum(left, right), np.maximum(left, right)
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(value)], ["a", "b", "value"])
 
     return run
 
 
-def _both(x: DataFrame, y: DataFrame, condition: str) -> DataFrame:
-    side = lambda df, s: df.select(*[F.col(c).alias(c + s) for c in ("block", "ids", "data", "dim")])
-    return side(x, "x").join(side(y, "y"), F.expr(condition))
+def _met(x: DataFrame, y: DataFrame, triangle: bool) -> DataFrame:
+    """Pairs of blocks as rows: block numbers are paired first, and the blocks joined to those numbers by key.
+
+    How the joins run is decided by the sizes; the pairs are dealt over the session's partitions.
+    """
+    spark = x.sparkSession
+    numbers = [df.select("block") for df in (x, y)]
+    if triangle:
+        wanted = numbers[0].select(F.col("block").alias("i")).join(numbers[1].select(F.col("block").alias("j")), F.expr("i <= j"))
+    else:
+        most = numbers[1].agg(F.max("block")).first()[0]
+        every = F.explode(F.sequence(F.lit(0), F.lit(most or 0))).alias("j")  # without rows on the right, j meets nothing
+        wanted = numbers[0].select(F.col("block").alias("i"), every)
+    side = lambda df, s, on: df.select(F.col("block").alias(on), *[F.col(c).alias(c + s) for c in df.columns])
+    met = wanted.join(side(x, "x", "i"), "i").join(side(y, "y", "j"), "j")
+    return met.drop("i", "j").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "blockx", "blocky")
+
+
+_PAIR = "a long, b long, value double"
 
 
 def all_pairs(rows: DataFrame, id: str, vector: str, metric=cosine) -> DataFrame:
     """(a, b, value) for every a < b: each pair of blocks is one small matrix product."""
-    packed = blocks(rows, id, vector)
-    n = rows.sparkSession.sparkContext.defaultParallelism
-    return _both(packed, packed, "blockx <= blocky").repartition(n).mapInArrow(_score(metric, True), "a long, b long, value double")
+    packed = cut(blocks(rows, id, vector))
+    return _met(packed, packed, True).mapInArrow(_score(metric, True), _PAIR)
+
+
+def cross_pairs(left: DataFrame, right: DataFrame, id: str, vector: str, metric=cosine) -> DataFrame:
+    """(a, b, value) of every row of left (a) with every row of right (b)."""
+    return _met(cut(blocks(left, id, vector)), cut(blocks(right, id, vector)), False).mapInArrow(_score(metric, False), _PAIR)
 
 
 def delta_pairs(new: DataFrame, old: DataFrame, id: str, vector: str, metric=cosine) -> DataFrame:
-    """Pairs that new rows add: with every old row, and among themselves; never old with old."""
-    fresh, there = blocks(new, id, vector), blocks(old, id, vector)
-    among = _both(fresh, fresh, "blockx <= blocky").mapInArrow(_score(metric, True), "a long, b long, value double")
-    across = _both(fresh, there, "true").mapInArrow(_score(metric, False), "a long, b long, value double")
-    return among.unionByName(across)
+    """Pairs that new rows add, a < b: with every old row, and among themselves; never old with old."""
+    fresh, there = cut(blocks(new, id, vector)), cut(blocks(old, id, vector))
+    among = _met(fresh, fresh, True).mapInArrow(_score(metric, True), _PAIR)
+    across = _met(fresh, there, False).mapInArrow(_score(metric, False), _PAIR)
+    return among.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "value")

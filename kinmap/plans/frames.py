@@ -80,7 +80,7 @@ _PHI = """case when {z} = 0 then 0.5 else 0.5 + sign({z}) * exp(-{z} * {z} / 2)
 P = """both_sides as (select a as id, score from pairs union all select b as id, score from pairs),
 profiles as (select id, avg(score) as mu, greatest(stddev_pop(score), 1e-12) as sigma from both_sides group by id),
 zs as (select p.*, (p.score - x.mu) / x.sigma as za, (p.score - y.mu) / y.sigma as zb from pairs p join profiles x on x.id = p.a join profiles y on y.id = p.b),
-ps as (select a, b, cosine, score, round(greatest(""" + _PHI.format(z="za") + ", " + _PHI.format(z="zb") + "), 9) as p from zs)"
+ps as materialized (select a, b, cosine, score, round(greatest(""" + _PHI.format(z="za") + ", " + _PHI.format(z="zb") + "), 9) as p from zs)"
 
 
 _RELEASES: dict[tuple[str, str], DataFrame] = {}
@@ -118,7 +118,7 @@ raws as (select *, p * n / rk as raw from ranked),
 bh as (select a, b, cosine, score, p, least(1.0, min(raw) over (order by rk desc rows unbounded preceding)) as q from raws),
 cal0 as (select a, b, cosine, score, p, round(q, 9) as q, round(cume_dist() over (order by score desc), 9) as percentile, (a * 7 + b * 3) % 50 as mark from bh),
 cal1 as (select *, case when mark = 0 then 'exact' when mark = 1 then 'major' when mark in (2, 3) then 'minor' when mark = 4 then 'none' end as overlap_class from cal0),
-cal as (select a, b, cosine, score, p, q, percentile, case when (a + b) % 11 <> 0 then round(1 - percentile, 9) end as text_percentile, overlap_class,
+cal as materialized (select a, b, cosine, score, p, q, percentile, case when (a + b) % 11 <> 0 then round(1 - percentile, 9) end as text_percentile, overlap_class,
   case when overlap_class is not null then overlap_class in ('exact', 'major') end as excluded,
   case when overlap_class is not null then case when overlap_class = 'none' then 0 else (a + b) % 9 + 1 end end as shared_count,
   case overlap_class when 'exact' then 1.0::double when 'major' then 0.6::double when 'minor' then 0.2::double when 'none' then 0.0::double end as overlap_coefficient,

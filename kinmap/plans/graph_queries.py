@@ -50,12 +50,12 @@ def w02_bh_qvalues(spark, sf):
     return frames.calibrate(spark, sf).select("a", "b", "p", "q")
 
 
-@case(with_(CAL) + "select a, b, rk::bigint as rank, n::bigint as family, round(raw, 9) as raw from raws")
+@case(with_(CAL) + "select a, b, rk::bigint as rank, n::bigint as family, round(raw, 7) as raw from raws")
 def w01_bh_ranks(spark, sf):
     rows = calibrated(spark, sf).select("a", "b", "p")
     n = rows.count()
     out = stats.ranked(rows, "p", ["a", "b"], "rank")
-    return out.select("a", "b", "rank", F.lit(n).cast("long").alias("family"), F.round(F.col("p") * n / F.col("rank"), 9).alias("raw"))
+    return out.select("a", "b", "rank", F.lit(n).cast("long").alias("family"), F.round(F.col("p") * n / F.col("rank"), 7).alias("raw"))
 
 
 @case(with_(CAL) + "select a, b, percentile from cal")
@@ -332,9 +332,9 @@ def r01_delta_scoring(spark, sf):
     return out.select("a", "b", F.round("value", 6).alias("cosine"))
 
 
-@case(with_(PAIRS) + "select (row_number() over (order by a, b) - 1) // 1000 as batch, a, b from pairs where b >= 400 and a < 20")
+@case(with_(PAIRS) + "select (row_number() over (order by a, b) - 1) // 1000 as batch, a, b from pairs where b >= 400")
 def r02_bounded_batches(spark, sf):
-    rows = r01_delta_scoring(spark, sf).filter("a < 20")
+    rows = r01_delta_scoring(spark, sf)
     return stats.ranked(rows, "a", ["b"], "n").select(F.expr("(n - 1) div 1000").alias("batch"), "a", "b")
 
 
@@ -364,9 +364,9 @@ def a08_diff_counts(spark, sf):
     return _diff(spark, sf).agg(*[F.count_if(F.col("change") == k).alias(n) for k, n in (("added", "added"), ("removed", "removed"), ("updated", "updated"), ("community", "moved"), ("same", "same"))])
 
 
-@case(with_(CAL) + ", z as (select a, b, q, round(least(1.0, q + ((a + b) % 17) / 1000.0 - 0.008), 9) as q2 from cal where a % 5 = 0) select a, b, q as q_before, q2 as q_after, round(q2 - q, 9) as delta from z order by abs(round(q2 - q, 9)) desc, a, b limit 100")
+@case(with_(CAL) + ", z as (select a, b, q, round(least(1.0, q + ((a + b) % 17) / 1000.0 - 0.008), 9) as q2 from cal) select a, b, q as q_before, q2 as q_after, round(q2 - q, 9) as delta from z order by abs(round(q2 - q, 9)) desc, a, b limit 100")
 def t10_q_changes(spark, sf):
-    z = calibrated(spark, sf).filter("a % 5 = 0").select("a", "b", F.col("q").alias("q_before"))
+    z = calibrated(spark, sf).select("a", "b", F.col("q").alias("q_before"))
     z = z.withColumn("q_after", F.round(F.least(F.lit(1.0), F.col("q_before") + (F.col("a") + F.col("b")) % 17 / 1000.0 - 0.008), 9))
     z = z.withColumn("delta", F.round(F.col("q_after") - F.col("q_before"), 9))
     return z.orderBy(F.desc(F.abs("delta")), "a", "b").limit(100)

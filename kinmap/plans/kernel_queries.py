@@ -191,12 +191,13 @@ def r07_current_version(spark, sf):
     return delta.current_versions(rows.filter("version % 2 = 0"), rows.filter("version % 3 = 0"), ["user_id"], "version").select("user_id", "version")
 
 
-@case("select user_id, ts, event_id, (select max_by(e2.event_id, struct_pack(t := e2.ts, e := e2.event_id)) from events e2 where e2.user_id = e.user_id and e2.event_type = 'purchase' and e2.ts <= e.ts) as last_purchase from events e where event_type = 'view' and user_id < 40")
+@case("""with p as (select user_id, ts, max(event_id) as last_purchase from events where event_type = 'purchase' group by 1, 2)
+select e.user_id, e.ts, e.event_id, p.last_purchase from (select * from events where event_type = 'view') e asof left join p on e.user_id = p.user_id and e.ts >= p.ts""")
 def j23_asof_join(spark, sf):
     """As-of join as one window over both sides, no range join."""
     from pyspark.sql import Window
 
-    rows = table(spark, sf, "events").filter("user_id < 40 and event_type in ('view', 'purchase')")
+    rows = table(spark, sf, "events").filter("event_type in ('view', 'purchase')")
     side = F.when(F.col("event_type") == "purchase", 0).otherwise(1)
     w = Window.partitionBy("user_id").orderBy("ts", side, "event_id").rowsBetween(Window.unboundedPreceding, 0)
     bought = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)

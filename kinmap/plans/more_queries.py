@@ -81,9 +81,9 @@ def k08_static_export(spark, sf):
     return n.crossJoin(e).select(F.to_json(F.struct("edges", "nodes")).alias("graph")).withColumn("sha256", F.sha2("graph", 256))
 
 
-@case("select l_orderkey as id, string_agg(string_split(p_name, ' ')[1] || case when contains(p_type, 'A') then '*' else '' end, ',' order by l_linenumber, p_partkey) as features from lineitem join part on p_partkey = l_partkey where l_orderkey <= 2000 group by 1")
+@case("select l_orderkey as id, string_agg(string_split(p_name, ' ')[1] || case when contains(p_type, 'A') then '*' else '' end, ',' order by l_linenumber, p_partkey) as features from lineitem join part on p_partkey = l_partkey group by 1")
 def k09_explainer_projection(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_orderkey <= 2000").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
     g = rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_partkey", "p_name", "p_type"))).alias("f"))
     shown = F.transform("f", lambda x: F.concat(F.get(F.split(x["p_name"], " "), F.lit(0)), F.when(x["p_type"].contains("A"), "*").otherwise("")))
     return g.select("id", F.array_join(shown, ",").alias("features"))
@@ -117,12 +117,12 @@ def f19_computed_text(spark, sf):
     return rows.select("event_id", discovery.computed_text(F.col("value"), F.when(F.col("event_type") == "click", "computed").otherwise("given")).alias("text"))
 
 
-@case(with_(PAIRS) + "select a, b, cosine from pairs where a < 20 and b >= 400")
+@case(with_(PAIRS) + "select case when a % 10 = 0 then a else b end as a, case when a % 10 = 0 then b else a end as b, cosine from pairs where (a % 10 = 0) <> (b % 10 = 0)")
 def j11_cross_scoring(spark, sf):
+    """Every new vector with every old one: a tenth of the table, spread over it, is new."""
     rows = table(spark, sf, "embeddings")
-    new, old = rows.filter("vec_id < 20"), rows.filter("vec_id >= 400")
-    both = pairs._both(pairs.blocks(new, "vec_id", "embedding"), pairs.blocks(old, "vec_id", "embedding"), "true")
-    return both.mapInArrow(pairs._score(pairs.cosine, False), "a long, b long, value double").select("a", "b", F.round("value", 6).alias("cosine"))
+    out = pairs.cross_pairs(rows.filter("vec_id % 10 = 0"), rows.filter("vec_id % 10 <> 0"), "vec_id", "embedding")
+    return out.select("a", "b", F.round("value", 6).alias("cosine"))
 
 
 @case(with_(PAIRS) + "select a, count(*) as partners from pairs group by a")
@@ -130,21 +130,20 @@ def j12_upper_triangle(spark, sf):
     return text_pairs(spark, sf).groupBy("a").agg(F.count("*").alias("partners"))
 
 
-@case("""with f as (select p_partkey as id, p_size::double as size, [5.0 + p_partkey % 3, 20.0, 45.0] as grid, [1.0, 2.0 + p_partkey % 5, 1.5] as mu from part where p_partkey <= 120),
+@case("""with f as (select s_suppkey as id, (2 + (s_suppkey * 7) % 60)::double as size, [5.0 + s_suppkey % 3, 20.0, 45.0] as grid, [1.0, 2.0 + s_suppkey % 5, 1.5] as mu from supplier),
 x as (select a.id as a, b.id as b, b.size as xb, a.grid as g, a.mu as m from f a join f b on a.id < b.id)
 select a, b, round(case when xb <= g[1] then m[1] when xb < g[2] then m[1] + (m[2] - m[1]) * (xb - g[1]) / (g[2] - g[1]) when xb < g[3] then m[2] + (m[3] - m[2]) * (xb - g[2]) / (g[3] - g[2]) else m[3] end, 9) as mu from x""")
 def j14_profile_lookup(spark, sf):
-    p = table(spark, sf, "part").filter("p_partkey <= 120")
-    key = F.col("p_partkey")
-    f = p.select(key.alias("id"), F.col("p_size").cast("double").alias("size"), F.array(5.0 + key % 3, F.lit(20.0), F.lit(45.0)).alias("grid"), F.array(F.lit(1.0), 2.0 + key % 5, F.lit(1.5)).alias("mu"))
+    key = F.col("s_suppkey")
+    f = table(spark, sf, "supplier").select(key.alias("id"), (2 + (key * 7) % 60).cast("double").alias("size"), F.array(5.0 + key % 3, F.lit(20.0), F.lit(45.0)).alias("grid"), F.array(F.lit(1.0), 2.0 + key % 5, F.lit(1.5)).alias("mu"))
     both = f.select(F.col("id").alias("a"), "grid", "mu").join(f.select(F.col("id").alias("b"), "size"), F.expr("a < b"))
     return both.select("a", "b", F.round(stats.interpolate(F.col("size"), F.col("grid"), F.col("mu")), 9).alias("mu"))
 
 
-@case(with_(CAL) + ", wanted as (select a, b from cal where a < 30 and b < 60), m as (select id from nodes where label <> 4) select w.a, w.b, c.q, count(*) over () = (select count(*) from wanted) as all_there from wanted w join cal c on c.a = w.a and c.b = w.b where w.a in (select id from m) and w.b in (select id from m)")
+@case(with_(CAL) + ", wanted as (select a, b from cal where percentile >= 0.98), m as (select id from nodes where label <> 4) select w.a, w.b, c.q, count(*) over () = (select count(*) from wanted) as all_there from wanted w join cal c on c.a = w.a and c.b = w.b where w.a in (select id from m) and w.b in (select id from m)")
 def j16_member_edges(spark, sf):
     rows = calibrated(spark, sf)
-    wanted = rows.filter("a < 30 and b < 60").select("a", "b")
+    wanted = rows.filter("percentile >= 0.98").select("a", "b")
     members = nodes(spark, sf).filter("label <> 4").select("id")
     kept = wanted.join(members.select(F.col("id").alias("a")), "a", "left_semi").join(members.select(F.col("id").alias("b")), "b", "left_semi").join(rows.select("a", "b", "q"), ["a", "b"])
     got, asked = kept.agg(F.count("*").alias("got")), wanted.agg(F.count("*").alias("asked"))
@@ -182,10 +181,10 @@ def w10_trajectory(spark, sf):
     return out.select("a", "b", "t.k", *[F.round(f"t.{c}_objective", 6).alias(c) for c in ("best", "worst", "random")])
 
 
-@case("select user_id, event_id, lag(event_id) over w as before, lead(event_id) over w as after, ntile(4) over w as quarter, dense_rank() over (partition by user_id order by event_type) as kind from events where user_id < 30 window w as (partition by user_id order by ts, event_id)")
+@case("select user_id, event_id, lag(event_id) over w as before, lead(event_id) over w as after, ntile(4) over w as quarter, dense_rank() over (partition by user_id order by event_type) as kind from events window w as (partition by user_id order by ts, event_id)")
 def w11_other_windows(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf, "events").filter("user_id < 30").select("user_id", "event_id", F.lag("event_id").over(w).alias("before"), F.lead("event_id").over(w).alias("after"), F.ntile(4).over(w).alias("quarter"), F.dense_rank().over(Window.partitionBy("user_id").orderBy("event_type")).alias("kind"))
+    return table(spark, sf, "events").select("user_id", "event_id", F.lag("event_id").over(w).alias("before"), F.lead("event_id").over(w).alias("after"), F.ntile(4).over(w).alias("quarter"), F.dense_rank().over(Window.partitionBy("user_id").orderBy("event_type")).alias("kind"))
 
 
 @case("(select l_partkey as id from lineitem where l_returnflag = 'A' except all select l_partkey from lineitem where l_returnflag = 'R') union all (select l_partkey from lineitem where l_returnflag = 'A' and l_linenumber = 1 intersect all select l_partkey from lineitem where l_returnflag = 'R' and l_linenumber = 1)")
@@ -231,9 +230,9 @@ def c17_probability_format(spark, sf):
     return table(spark, sf, "part").select("p_partkey", p.alias("p")).select("p_partkey", discovery.shown_probability(F.col("p")).alias("shown"))
 
 
-@case("with g as (select l_orderkey as id, p_brand as gene, max(l_extendedprice) as s from lineitem join part on p_partkey = l_partkey where l_orderkey <= 1500 group by 1, 2) select id, 'Order ' || id || ': ' || string_agg(gene, ', ' order by s desc, gene) as prompt from g group by id")
+@case("with g as (select l_orderkey as id, p_brand as gene, max(l_extendedprice) as s from lineitem join part on p_partkey = l_partkey group by 1, 2) select id, 'Order ' || id || ': ' || string_agg(gene, ', ' order by s desc, gene) as prompt from g group by id")
 def c31_prompt_text(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_orderkey <= 1500").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
     g = rows.groupBy(F.col("l_orderkey").alias("id"), F.col("p_brand").alias("gene")).agg(F.max("l_extendedprice").alias("s"))
     genes = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "gene"))), lambda x: x["gene"])
     return g.groupBy("id").agg(genes.alias("g")).select("id", F.format_string("Order %d: %s", "id", F.array_join("g", ", ")).alias("prompt"))
@@ -276,16 +275,16 @@ def m20_explanation_artifact(spark, sf):
     return again.select("a", "b", "dependency", "made", F.sha2("payload", 256).alias("sha256"))
 
 
-@case("with f as (select vec_id, i - 1 as feature, embedding[i]::double as score from embeddings, range(1, 65) t(i) where vec_id < 40) select vec_id, feature::int as feature, score, p_name as name, p_partkey % 5 = 0 as ambiguous from f join part on p_partkey = feature + 1")
+@case("with f as (select vec_id, i - 1 as feature, embedding[i]::double as score from embeddings, range(1, 65) t(i)) select vec_id, feature::int as feature, score, p_name as name, p_partkey % 5 = 0 as ambiguous from f join part on p_partkey = feature + 1")
 def m22_feature_records(spark, sf):
-    f = table(spark, sf, "embeddings").filter("vec_id < 40").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("feature", "score"))
-    names = table(spark, sf, "part").filter("p_partkey <= 64").select((F.col("p_partkey") - 1).cast("int").alias("feature"), F.col("p_name").alias("name"), (F.col("p_partkey") % 5 == 0).alias("ambiguous"))
-    return f.join(F.broadcast(names), "feature").select("vec_id", "feature", "score", "name", "ambiguous")
+    f = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("feature", "score"))
+    names = table(spark, sf, "part").select((F.col("p_partkey") - 1).cast("int").alias("feature"), F.col("p_name").alias("name"), (F.col("p_partkey") % 5 == 0).alias("ambiguous"))
+    return f.join(names, "feature").select("vec_id", "feature", "score", "name", "ambiguous")
 
 
-@case("with o as (select o_orderkey as a, o_custkey as b from orders where o_orderkey <= 4000), m as (select l_orderkey || '_' || l_suppkey as k, min(l_partkey) as v from lineitem group by 1) select a, b, coalesce(x.v, y.v) as v from o left join m x on x.k = a || '_' || b left join m y on y.k = b || '_' || a")
+@case("with o as (select o_orderkey as a, o_custkey as b from orders), m as (select l_orderkey || '_' || l_suppkey as k, min(l_partkey) as v from lineitem group by 1) select a, b, coalesce(x.v, y.v) as v from o left join m x on x.k = a || '_' || b left join m y on y.k = b || '_' || a")
 def m23_analysis_merge(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey <= 4000").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
     m = table(spark, sf, "lineitem").groupBy(F.concat_ws("_", "l_orderkey", "l_suppkey").alias("k")).agg(F.min("l_partkey").alias("v"))
     rows = o.withColumns({"ab": F.concat_ws("_", "a", "b"), "ba": F.concat_ws("_", "b", "a")})
     joined = rows.join(m.select(F.col("k").alias("ab"), F.col("v").alias("x")), "ab", "left").join(m.select(F.col("k").alias("ba"), F.col("v").alias("y")), "ba", "left")
@@ -332,11 +331,11 @@ def g07_bounds(spark, sf):
     return n.groupBy(F.coalesce("community", F.lit("unassigned")).alias("community")).agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("bottom"), F.max("y").alias("top"), F.round(F.avg("x"), 9).alias("centre_x"), F.round(F.avg("y"), 9).alias("centre_y"))
 
 
-@case(with_(CAL) + ", s as (select a as id, b as other, q, score from cal union all select b, a, q, score from cal), t as (select *, row_number() over (partition by id order by q, score, other) as r from s where id < 12) select n.id, n.accession, string_agg(other::varchar, ',' order by r) as neighbours from nodes n join t using (id) where r <= 6 group by 1, 2")
+@case(with_(CAL) + ", s as (select a as id, b as other, q, score from cal union all select b, a, q, score from cal), t as (select *, row_number() over (partition by id order by q, score, other) as r from s) select n.id, n.accession, string_agg(other::varchar, ',' order by r) as neighbours from nodes n join t using (id) where r <= 6 group by 1, 2")
 def g11_dataset_detail(spark, sf):
     from kinmap.operators import graph
 
-    sides = graph.endpoints(calibrated(spark, sf).filter("a < 12 or b < 12").select("a", "b", "q", "score")).filter("node < 12")
+    sides = graph.endpoints(calibrated(spark, sf).select("a", "b", "q", "score"))
     first = sides.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("q", "score", "other"))).filter("r <= 6")
     lists = first.groupBy(F.col("node").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "other"))), lambda x: x["other"].cast("string")), ",").alias("neighbours"))
     return nodes(spark, sf).select("id", "accession").join(lists, "id")
@@ -392,9 +391,9 @@ def n14_pending_annotations(spark, sf):
     return now.join(cached, ["doc_id", "h"], "left_anti").select("doc_id")
 
 
-@case("with g as (select l_orderkey as id, list(l_partkey order by l_linenumber, l_partkey) as p, list(l_suppkey order by l_linenumber, l_suppkey) as s from lineitem where l_orderkey <= 1500 group by 1) select id, array_to_string(case when id % 2 = 0 then p[1:3] end, ',') as candidates, array_to_string(p[1:5], ',') as features, array_to_string(s[1:2], ',') as pathways from g")
+@case("with g as (select l_orderkey as id, list(l_partkey order by l_linenumber, l_partkey) as p, list(l_suppkey order by l_linenumber, l_suppkey) as s from lineitem group by 1) select id, array_to_string(case when id % 2 = 0 then p[1:3] end, ',') as candidates, array_to_string(p[1:5], ',') as features, array_to_string(s[1:2], ',') as pathways from g")
 def n17_compact_evidence(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_orderkey <= 1500").groupBy(F.col("l_orderkey").alias("id")).agg(*[F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col(c).alias("v")))), lambda x: x["v"].cast("string")).alias(n) for n, c in (("p", "l_partkey"), ("s", "l_suppkey"))])
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(*[F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col(c).alias("v")))), lambda x: x["v"].cast("string")).alias(n) for n, c in (("p", "l_partkey"), ("s", "l_suppkey"))])
     packed = rows.select("id", discovery.compact_evidence(F.col("p"), F.col("p"), F.col("s"), F.col("id") % 2 == 0).alias("e"))
     return packed.select("id", *[F.array_join(f"e.{c}", ",").alias(c) for c in ("candidates", "features", "pathways")])
 
@@ -435,9 +434,9 @@ def d14_run_ledger(spark, sf):
     return release.insert_ignore(rows.filter("false"), rows, ["user_id", "event_type"], [F.asc("first_run")])
 
 
-@case("select l_orderkey as id, sha256(string_agg(sha256(l_partkey::varchar), ',' order by sha256(l_partkey::varchar))) as dependency from (select distinct l_orderkey, l_partkey from lineitem where l_orderkey <= 2000) group by 1")
+@case("select l_orderkey as id, sha256(string_agg(sha256(l_partkey::varchar), ',' order by sha256(l_partkey::varchar))) as dependency from (select distinct l_orderkey, l_partkey from lineitem) group by 1")
 def d18_dependency_hash(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_orderkey <= 2000").select("l_orderkey", F.sha2(F.col("l_partkey").cast("string"), 256).alias("h")).distinct()
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.sha2(F.col("l_partkey").cast("string"), 256).alias("h")).distinct()
     return rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("dependency"))
 
 

@@ -27,10 +27,10 @@ def case(sql: str | None = None):
 # --- sources --------------------------------------------------------------------------------------------------------
 
 
-@case("select l_suppkey as dataset, l_orderkey as sample, l_partkey as feature, coalesce(try_cast(case when l_linenumber = 3 then 'n/a' else l_quantity::varchar end as double), 'nan'::double) as value from lineitem where l_suppkey <= 10")
+@case("select l_suppkey as dataset, l_orderkey as sample, l_partkey as feature, coalesce(try_cast(case when l_linenumber = 3 then 'n/a' else l_quantity::varchar end as double), 'nan'::double) as value from lineitem")
 def s01_matrix_cells(spark, sf):
     cell = F.when(F.col("l_linenumber") == 3, "n/a").otherwise(F.col("l_quantity").cast("string"))
-    return table(spark, sf, "lineitem").filter("l_suppkey <= 10").select(F.col("l_suppkey").alias("dataset"), F.col("l_orderkey").alias("sample"), F.col("l_partkey").alias("feature"), text.number(cell).alias("value"))
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("dataset"), F.col("l_orderkey").alias("sample"), F.col("l_partkey").alias("feature"), text.number(cell).alias("value"))
 
 
 @case("""with n as (select page_id, case when page_id % 3 = 0 then 'data/gse' || (1000 + page_id) || '_family.csv.gz' else regexp_extract(url, '([^/]*)$', 1) || '_raw.txt' end as path from pages),
@@ -157,12 +157,12 @@ def s33_import_gate(spark, sf):
     return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@case("""with r as (select distinct l_partkey as probe, l_suppkey as gene from lineitem where l_orderkey < 1000), p as (select p_partkey as probe from part where p_partkey <= 300)
+@case("""with r as (select distinct l_partkey as probe, l_suppkey as gene from lineitem), p as (select p_partkey as probe from part)
 select p.probe, r.gene, s.s_name as name from p left join r using (probe) left join supplier s on s.s_suppkey = r.gene""")
 def s35_annotation_export(spark, sf):
-    pairs = table(spark, sf, "lineitem").filter("l_orderkey < 1000").select(F.col("l_partkey").alias("probe"), F.col("l_suppkey").alias("gene")).distinct()
+    pairs = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("probe"), F.col("l_suppkey").alias("gene")).distinct()
     names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("gene"), F.col("s_name").alias("name"))
-    probes = table(spark, sf, "part").filter("p_partkey <= 300").select(F.col("p_partkey").alias("probe"))
+    probes = table(spark, sf, "part").select(F.col("p_partkey").alias("probe"))
     return probes.join(pairs, "probe", "left").join(names, "gene", "left").select("probe", "gene", "name").orderBy("probe", F.asc_nulls_last("gene"))
 
 
@@ -178,10 +178,11 @@ def k11_csv_cell(spark, sf):
 
 
 @case(with_(NODES) + """select 'manifest' as record_type, '1' as version, null::bigint as id, null::varchar as accession, null::bigint as a, null::bigint as b union all
-select 'node', null, id, accession, null, null from nodes where id < 30 union all select 'edge', null, null, null, x.id, y.id from nodes x join nodes y on x.id < y.id where y.id < 30 and (x.id + y.id) % 7 = 0""")
+select 'node', null, id, accession, null, null from nodes union all select 'edge', null, null, null, x.id, y.id from nodes x join nodes y on x.id < y.id and x.tissue = y.tissue""")
 def k10_research_export(spark, sf):
-    n = nodes(spark, sf).filter("id < 30").select("id", "accession")
-    e = n.select(F.col("id").alias("a")).join(n.select(F.col("id").alias("b")), F.expr("a < b and (a + b) % 7 = 0"))
+    n = nodes(spark, sf)
+    e = n.select(F.col("id").alias("a"), "tissue").join(n.select(F.col("id").alias("b"), "tissue"), "tissue").filter("a < b").select("a", "b")
+    n = n.select("id", "accession")
     return sinks.research_rows({"version": "1"}, n, e)
 
 
@@ -193,9 +194,9 @@ def j03_latest_row(spark, sf):
     return release.latest(table(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@case("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@case("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
 def j05_anti_join(spark, sf):
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders").filter("o_orderstatus = 'P'")
     return table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
@@ -218,10 +219,10 @@ def j07_reconciliation(spark, sf):
     return x.join(y, F.col("x") == F.col("y"), "full").agg(F.count_if(F.col("y").isNull()).alias("without_value"), F.count_if(F.col("x").isNull()).alias("outside"))
 
 
-@case("with t as (select p_partkey as id, coalesce(nullif(case when p_size % 3 = 0 then p_brand else '' end, ''), lower(p_type)) as term from part where p_partkey <= 400) select x.id as a, y.id as b, count(*) as shared from t x join t y on x.term = y.term and x.id < y.id group by 1, 2")
+@case("with t as (select p_partkey as id, coalesce(nullif(case when p_size % 3 = 0 then p_brand else '' end, ''), lower(p_type)) as term from part) select x.id as a, y.id as b, count(*) as shared from t x join t y on x.term = y.term and x.id < y.id group by 1, 2")
 def j08_canonical_term_join(spark, sf):
     term = F.coalesce(F.nullif(F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(""), F.lit("")), F.lower("p_type"))
-    t = table(spark, sf, "part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("id"), term.alias("term"))
+    t = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), term.alias("term"))
     return t.select(F.col("id").alias("a"), "term").join(t.select(F.col("id").alias("b"), "term"), "term").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
@@ -257,12 +258,9 @@ def c24_policy_exclusion(spark, sf):
     return _overlap(spark, sf).groupBy("class", overlap.excluded(F.col("class")).alias("excluded")).agg(F.count("*").alias("n"))
 
 
-@case("with s as (select l_suppkey as d, l_partkey as s from lineitem group by all) select x.d as a, y.d as b, string_agg(x.s::varchar, ',' order by x.s) as shared from s x join s y on x.s = y.s and x.d < y.d where x.d <= 12 and y.d <= 12 group by 1, 2")
+@case("with s as (select l_suppkey as d, l_partkey as s from lineitem group by all) select x.d as a, y.d as b, string_agg(x.s::varchar, ',' order by x.s) as shared from s x join s y on x.s = y.s and x.d < y.d group by 1, 2")
 def u04_array_intersection(spark, sf):
-    s = table(spark, sf, "lineitem").filter("l_suppkey <= 12").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("p"))
-    x, y = s.select(F.col("l_suppkey").alias("a"), F.col("p").alias("pa")), s.select(F.col("l_suppkey").alias("b"), F.col("p").alias("pb"))
-    both = x.join(y, F.expr("a < b")).withColumn("i", F.array_sort(F.array_intersect("pa", "pb"))).filter(F.size("i") > 0)
-    return both.select("a", "b", F.array_join(F.transform("i", lambda v: v.cast("string")), ",").alias("shared"))
+    return overlap.shared_lists(table(spark, sf, "lineitem"), "l_suppkey", "l_partkey").select("a", "b", F.array_join(F.transform("shared", lambda v: v.cast("string")), ",").alias("shared"))
 
 
 @case()
@@ -294,10 +292,10 @@ def j21_json_path_join(spark, sf):
 # --- aggregates, windows, sets --------------------------------------------------------------------------------------
 
 
-@case("select sha256(string_agg(k, chr(0) order by k) || chr(0)) as family from (select distinct 'O' || o_orderkey as k from orders where o_orderkey <= 5000)")
+@case("select stratum, sha256(string_agg(k, chr(0) order by k) || chr(0)) as family from (select distinct o_custkey as stratum, 'O' || o_orderkey as k from orders) group by stratum")
 def a02_ordered_set_hash(spark, sf):
-    rows = table(spark, sf, "orders").filter("o_orderkey <= 5000").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("k")).distinct()
-    return rows.agg(ids.sorted_set_hash(F.collect_list("k")).alias("family"))
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("stratum"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("k")).distinct()
+    return rows.groupBy("stratum").agg(ids.sorted_set_hash(F.collect_list("k")).alias("family"))
 
 
 @case("select count(distinct l_orderkey) as orders, count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers from lineitem")
@@ -373,9 +371,12 @@ def w08_row_position(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).alias("position"))
 
 
-@case("select l_partkey as feature from lineitem where l_suppkey <= 3 group by 1 having count(distinct l_suppkey) = 3")
+@case("select l_partkey as feature from lineitem group by 1 having count(distinct l_returnflag || l_linestatus) = (select count(distinct l_returnflag || l_linestatus) from lineitem)")
 def u02_feature_intersection(spark, sf):
-    return table(spark, sf, "lineitem").filter("l_suppkey <= 3").groupBy(F.col("l_partkey").alias("feature")).agg(F.countDistinct("l_suppkey").alias("d")).filter("d = 3").select("feature")
+    """Features that every dataset holds; a dataset is a pair of flags."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("feature"), F.concat("l_returnflag", "l_linestatus").alias("dataset"))
+    every = rows.agg(F.countDistinct("dataset").alias("datasets"))
+    return rows.groupBy("feature").agg(F.countDistinct("dataset").alias("d")).join(F.broadcast(every), F.col("d") == F.col("datasets"), "left_semi").select("feature")
 
 
 @case("select o_custkey as id, 'new' as side from (select o_custkey from orders where o_orderstatus = 'F' except select o_custkey from orders where o_orderstatus = 'P') union all select o_custkey, 'existing' from (select o_custkey from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'P')")
@@ -531,12 +532,12 @@ def c32_annotation_selection(spark, sf):
 
 # --- matrices -------------------------------------------------------------------------------------------------------
 
-_LONG = "mat as (select l_suppkey % 4 as dataset, l_orderkey as sample, l_partkey % 40 as feature, l_orderkey * 10 + l_linenumber as row, case when l_linenumber = 5 then 'nan'::double else l_quantity end as value from lineitem where l_orderkey <= 2000)"
+_LONG = "mat as (select l_suppkey % 4 as dataset, l_orderkey as sample, l_partkey % 40 as feature, l_orderkey * 10 + l_linenumber as row, case when l_linenumber = 5 and l_partkey % 40 < 25 then 'nan'::double else l_quantity end as value from lineitem)"
 
 
 def _matrix(spark, sf) -> DataFrame:
-    value = F.when(F.col("l_linenumber") == 5, float("nan")).otherwise(F.col("l_quantity"))
-    return table(spark, sf, "lineitem").filter("l_orderkey <= 2000").select((F.col("l_suppkey") % 4).alias("dataset"), F.col("l_orderkey").alias("sample"), (F.col("l_partkey") % 40).alias("feature"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), value.alias("value"))
+    value = F.when((F.col("l_linenumber") == 5) & (F.col("l_partkey") % 40 < 25), float("nan")).otherwise(F.col("l_quantity"))
+    return table(spark, sf, "lineitem").select((F.col("l_suppkey") % 4).alias("dataset"), F.col("l_orderkey").alias("sample"), (F.col("l_partkey") % 40).alias("feature"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), value.alias("value"))
 
 
 @case("with " + _LONG + """, f as (select dataset, feature, count(*) as n, count(*) filter (not isnan(value)) as k, var_samp(value) filter (not isnan(value)) as v from mat group by 1, 2), s as (select dataset, count(distinct sample) as samples from mat group by 1),
@@ -568,12 +569,11 @@ def f22_finite_everywhere(spark, sf):
     return matrix.finite_everywhere(_matrix(spark, sf), 4)
 
 
-@case("with h as (select source, md5(text) as h from documents), bad as (select distinct x.source from h x join h y on x.h = y.h and x.source <> y.source) select distinct source from documents where source not in (select source from bad)")
+@case("with h as (select p_brand || p_size as dataset, md5(p_name) as h from part), bad as (select distinct x.dataset from h x join h y on x.h = y.h and x.dataset <> y.dataset) select distinct dataset from h where dataset not in (select dataset from bad)")
 def f23_shared_profile_drop(spark, sf):
-    h = table(spark, sf, "documents").select("source", F.md5("text").alias("h")).distinct()
-    shared = h.groupBy("h").agg(F.countDistinct("source").alias("n")).filter("n > 1").select("h")
-    bad = h.join(shared, "h", "left_semi").select("source").distinct()
-    return h.select("source").distinct().join(bad, "source", "left_anti")
+    """Datasets none of whose profiles is another's; a dataset is a brand and size."""
+    rows = table(spark, sf, "part").select(F.concat("p_brand", F.col("p_size").cast("string")).alias("dataset"), F.md5("p_name").alias("h"))
+    return overlap.unshared(rows, "dataset", "h")
 
 
 @case("with e as (select l_suppkey as a, l_partkey as b, l_discount as f, l_linenumber as n from lineitem) select 'fraction' as \"check\", count(*) filter (not (f between 0 and 0.09)) as violations, count(*) filter (not (f between 0 and 0.09)) = 0 as passed from e union all select 'duplicate', count(*), count(*) = 0 from (select a, b, n from e group by 1, 2, 3 having count(*) > 1)")
@@ -584,17 +584,18 @@ def f24_guards(spark, sf):
 
 # --- evidence and annotations ---------------------------------------------------------------------------------------
 
-_SPANS = "q as (select b.item_id, d.doc_id, d.text as src, substr(b.text, 1, 30) as quote from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40)"
+_SPANS = "q as (select b.item_id, d.doc_id, d.text as src, b.text as quote from benchmark b join documents d on contains(d.text, b.text))"
 
 
 def _quotes(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 30).alias("quote"))
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("src"))
-    return d.withColumn("k", F.col("doc_id") % 40).join(b.withColumn("k", F.col("item_id") % 40), "k")
+    quotes = table(spark, sf, "benchmark").select(F.col("item_id"), F.col("text").alias("quote"))
+    sources = table(spark, sf, "documents").select("doc_id", F.col("text").alias("src"))
+    return annotate.quoted(sources, "doc_id", "src", quotes, "item_id", "quote")
 
 
-@case("with " + _SPANS + " select item_id, doc_id, case when strpos(src, quote) > 0 then (strpos(src, quote) - 1)::int end as start, case when strpos(src, quote) > 0 then (strpos(src, quote) - 1 + length(quote))::int end as stop from q")
+@case("with " + _SPANS + " select item_id, doc_id, (strpos(src, quote) - 1)::int as start, (strpos(src, quote) - 1 + length(quote))::int as stop from q")
 def n02_span_search(spark, sf):
+    """Every whole benchmark text in every whole document."""
     start, stop = annotate.span_of(F.col("src"), F.col("quote"))
     return _quotes(spark, sf).select("item_id", "doc_id", start.alias("start"), stop.alias("stop"))
 
@@ -617,13 +618,13 @@ def n07_exact_map(spark, sf):
     return table(spark, sf, "nation").join(F.broadcast(known), "n_name", "left").select("n_nationkey", "taxon")
 
 
-@case("""with t as (select p_partkey as id, p_type as name, p_size > 45 as obsolete from part where p_partkey <= 60), l as (select distinct upper(p_type) || '.' as label from part where p_partkey between 30 and 200),
+@case("""with t as (select p_partkey as id, p_name as name, p_size > 45 as obsolete from part), l as (select distinct upper(p_name) || '.' as label from part union select distinct p_type from part),
 k as (select l.label, count(distinct t.id) as n, min(t.id) as one from l left join t on not t.obsolete and regexp_replace(lower(t.name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(l.label), '[^a-z0-9]', '', 'g') group by 1)
 select label, case when n = 1 then 'resolved' when n > 1 then 'ambiguous' else 'unresolved' end as status, case when n = 1 then one end as term from k""")
 def n09_label_resolution(spark, sf):
     part = table(spark, sf, "part")
-    terms = part.filter("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"), (F.col("p_size") > 45).alias("obsolete"))
-    labels = part.filter("p_partkey between 30 and 200").select(F.concat(F.upper("p_type"), F.lit(".")).alias("label")).distinct()
+    terms = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") > 45).alias("obsolete"))
+    labels = part.select(F.concat(F.upper("p_name"), F.lit(".")).alias("label")).union(part.select("p_type")).distinct()
     return annotate.resolve(labels, terms, ids.ascii_term)
 
 
@@ -650,9 +651,9 @@ def n16_citation_check(spark, sf):
     return rows.select("conv_id", F.size(F.array_except("cited", F.array(*[F.lit(x).cast("long") for x in (0, 1, 2)]))).cast("long").alias("uncited"), F.size("cited").alias("n"))
 
 
-@case("with g as (select l_orderkey as id, list(p_name order by l_linenumber, p_name) as names from lineitem join part on p_partkey = l_partkey where l_orderkey <= 3000 group by 1) select id, len(list_filter(names, lambda x: contains(lower(x), 'a 1') or contains(lower(x), '7'))) > 0 as found, array_to_string(names[1:3], '|') as shown from g")
+@case("with g as (select l_orderkey as id, list(p_name order by l_linenumber, p_name) as names from lineitem join part on p_partkey = l_partkey group by 1) select id, len(list_filter(names, lambda x: contains(lower(x), 'a 1') or contains(lower(x), '7'))) > 0 as found, array_to_string(names[1:3], '|') as shown from g")
 def n18_mechanism_search(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_orderkey <= 3000").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
     g = rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))), lambda x: x["p_name"]).alias("names"))
     return g.select("id", F.exists("names", lambda x: F.lower(x).contains("a 1") | F.lower(x).contains("7")).alias("found"), F.array_join(F.slice("names", 1, 3), "|").alias("shown"))
 
@@ -667,10 +668,10 @@ def d03_insert_ignore(spark, sf):
     return release.insert_ignore(existing, new, ["k"], [F.desc("v")])
 
 
-@case("with e as (select c_custkey as k, c_mktsegment as v, c_acctbal as d from customer), n as (select o_custkey as k, max(o_orderstatus) as v from orders where o_orderkey <= 3000 group by 1) select coalesce(n.k, e.k) as k, coalesce(n.v, e.v) as v, case when n.k is null then e.d end as d from e full join n on e.k = n.k")
+@case("with e as (select c_custkey as k, c_mktsegment as v, c_acctbal as d from customer), n as (select o_custkey as k, max(o_orderstatus) as v from orders group by 1) select coalesce(n.k, e.k) as k, coalesce(n.v, e.v) as v, case when n.k is null then e.d end as d from e full join n on e.k = n.k")
 def d04_upsert(spark, sf):
     existing = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"), F.col("c_acctbal").alias("d"))
-    new = table(spark, sf, "orders").filter("o_orderkey <= 3000").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderstatus").alias("v"))
+    new = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderstatus").alias("v"))
     return release.upsert(existing, new, ["k"], [F.asc("v")], reset=("d",))
 
 
@@ -705,7 +706,7 @@ def d17_cache_validity(spark, sf):
     return x.join(y, "l_orderkey", "left").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey").eqNullSafe(F.col("s")) & F.col("l_partkey").eqNullSafe(F.col("p"))).alias("valid"))
 
 
-_SECRETS = {"aws": "AKIA[0-9A-Z]{16}", "private": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "token": "gh[pousr]_[A-Za-z0-9]{20,}", "password": "(?i)password[[:space:]]*[:=]"}
+_SECRETS = {"aws": "AKIA[0-9A-Z]{16}", "private": "-----BEGIN [A-Z ]*PRIVATE KEY-----", "token": "gh[pousr]_[A-Za-z0-9]{20,}", "password": "(?i)password[[:space:]]*[:=]", "assigned": '(?i)(token|secret|api_key)[[:space:]]*[:=][[:space:]]*"[0-9a-f]{16,}"'}
 
 
 @case(" union all ".join(f"select doc_id, '{k}' as marker from documents where regexp_matches(text, '{p}')" for k, p in _SECRETS.items()))
