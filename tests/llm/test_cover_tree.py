@@ -19,6 +19,12 @@ def brute(rows, k, asks):
     return sorted(out)
 
 
+def members(tree, node):
+    if not tree.children[node]:
+        return np.arange(tree.first[node], tree.first[node] + tree.count[node])
+    return np.concatenate([members(tree, k) for k in range(tree.child[node], tree.child[node] + tree.children[node])])
+
+
 @pytest.mark.parametrize("kind", ["random", "clusters", "equal", "line"])
 def test_tree_covers_and_separates(kind):
     rng = np.random.default_rng(2)
@@ -26,7 +32,7 @@ def test_tree_covers_and_separates(kind):
     tree = cover_tree.build(points, np.arange(300), np.arange(300))
     assert sorted(tree.ids) == list(range(300)) and (tree.points == points[tree.ids]).all()
     for node in range(len(tree.radius)):
-        own = cover_tree._members(tree, node)
+        own = members(tree, node)
         d = np.linalg.norm(tree.wide[own] - tree.wide[tree.centre[node]], axis=1)
         assert d.max() <= tree.radius[node]
         kids = np.arange(tree.child[node], tree.child[node] + tree.children[node])
@@ -34,18 +40,22 @@ def test_tree_covers_and_separates(kind):
             c = tree.wide[tree.centre[kids]]
             apart = np.linalg.norm(c[:, None] - c[None], axis=2)[np.triu_indices(len(kids), 1)]
             assert (apart > tree.radius[node] / 2 * 0.999).all() and tree.centre[kids[0]] == tree.centre[node]
-    held = np.concatenate([own for _, own in cover_tree._groups(tree, 16, 4)])
-    assert sorted(held) == list(range(300))
+    tree = cover_tree.build(points, np.arange(300), np.arange(300), pooled=4)
+    assert sorted(members(tree, 0)) == list(range(300)) and tree.count.max() <= max(cover_tree.POOL, 300 * (kind == "equal"))
+    for node in range(len(tree.radius)):
+        assert np.linalg.norm(tree.wide[members(tree, node)] - tree.wide[tree.centre[node]], axis=1).max() <= tree.radius[node]
 
 
 def test_search_prunes_clusters_and_is_exact():
     rng = np.random.default_rng(3)
     points = (rng.normal(size=(20, 16))[rng.integers(0, 20, 2_000)] * 500 + rng.normal(size=(2_000, 16)) * 5).astype("<i8")
     tree = cover_tree.build(points, np.arange(2_000), np.arange(2_000))
-    few = cover_tree.build(points[:400], np.arange(400), np.arange(400))
+    few = cover_tree.build(points[:400], np.arange(400), np.arange(400), pooled=8)
     best = cover_tree.Best(few, 5)
-    made = cover_tree.search_block(best, cover_tree._groups(few), tree, chunk=64)
+    made = cover_tree.search_block(best, tree, chunk=64)
     assert made < 400 * 2_000 / 4
+    # once k-th scores are known, pairs fall at inner nodes, long before leaves meet
+    assert len(cover_tree.meeting_leaves(best, tree)[0]) < (few.children == 0).sum() * (tree.children == 0).sum() / 4
     scores = points[:400] @ points.T
     for row, i in enumerate(few.ids):
         want = sorted((-s, j) for j, s in enumerate(scores[i]) if j != i)[:5]
@@ -67,6 +77,34 @@ def test_search_matches_brute_force_with_odd_rows(spark, block):
     assert [r["rank"] for r in few] == [1, 2]
 
 
+def test_dropped_pairs_cannot_better_a_score():
+    rng = np.random.default_rng(8)
+    points = (rng.normal(size=(8, 5))[rng.integers(0, 8, 300)] * 90 + rng.normal(size=(300, 5)) * 9).astype("<i8")
+    data, asked = cover_tree.build(points, np.arange(300), np.arange(300), leaf=4), cover_tree.build(points[:60], np.arange(60), np.arange(60), leaf=4, pooled=2)
+    every = [(q, d) for q in range(len(asked.radius)) for d in range(len(data.radius))]
+    bound = cover_tree.most(asked, np.array([q for q, _ in every]), data, np.array([d for _, d in every]))
+    for (q, d), b in list(zip(every, bound))[::7]:
+        assert (asked.points[members(asked, q)] @ data.points[members(data, d)].T).max() <= b
+    best = cover_tree.Best(asked, 3)
+    best.score[:] = (asked.points @ points.T).max() // 2
+    qs, ds, _ = cover_tree.meeting_leaves(best, data)
+    kept = set(zip(qs.tolist(), ds.tolist()))
+    for q in np.flatnonzero(asked.children == 0):
+        for d in np.flatnonzero(data.children == 0):
+            if (asked.points[members(asked, q)] @ data.points[members(data, d)].T).max() >= best.score[0, 0]:
+                assert (q, d) in kept
+
+
+def test_large_scores_are_exact_and_then_held(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [2.0**24, 1.0]), (1, [2.0**25, 1.0]), (2, [2.0**25, 3.0]), (3, [2.0**25, 2.0]), (4, [1e30, 0.0]), (5, [-1e30, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in cover_tree.search(df, F.col("vec_id") == 0, 9).orderBy("rank").collect()]
+    one = 2**30 * 2**31
+    assert got == [(4, 2**63 - 1), (2, one + 3 * 64 * 64), (3, one + 2 * 64 * 64), (1, one + 64 * 64), (5, cover_tree.NOTHING + 1)]
+
+
 def test_search_query_matches_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
