@@ -45,6 +45,8 @@ NEAR_CONSISTENCY = 0.94739
 #: Groups whose estimates are broadcast; beyond, they are joined by key, each in SALTS parts.
 MOST_BROADCAST = 10_000
 SALTS = 32
+#: Fall of half the logarithm of a determinant that is none: a hundredth, or 0.2 % of each of five deviations.
+STILL = 0.01
 X = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
@@ -145,8 +147,8 @@ def _meet(rows: DataFrame, table: DataFrame, n: int, how: str = "inner") -> Data
 def estimates(usable: DataFrame, scratch: Scratch, n_groups: int, most_steps: int = 30) -> DataFrame:
     """Centre m0.. and precision p00.. of each group g, from rows with g and the vector.
 
-    Steps go on while the logarithm of any group's determinant falls by more than 1e-4; most_steps only guards against
-    quantiles that swing.
+    Steps go on while any group's determinant falls, by more than what quantiles that are sketches let it swing;
+    most_steps only guards against one that swings more.
     """
     centres = [f"c{i}" for i in range(D)]
     meet = lambda table: _meet(usable, table, n_groups)
@@ -158,11 +160,11 @@ def estimates(usable: DataFrame, scratch: Scratch, n_groups: int, most_steps: in
     start = [F.col(c).alias(f"am{i}") for i, c in enumerate(centres)] + [(1 / (scale[i] * scale[i]) if i == j else F.lit(0.0)).alias(f"ap{i}{j}") for i, j in PAIRS]
     now = save(off.select("g", *centres, *start, F.lit(float("inf")).alias("adet")), "step")
     for _ in range(most_steps):
-        far = meet(now).withColumn("da", _distance("a"))
-        cuts = save(far.groupBy("g").agg(F.percentile_approx("da", H, 1_000).alias("ka")), "cuts")
-        sums = _sums(_meet(far, cuts, n_groups), F.col("da") <= F.col("ka"), [*centres, "adet"])
+        cuts = meet(now).withColumn("da", _distance("a")).groupBy("g").agg(F.percentile_approx("da", H, 10_000).alias("ka"))
+        aimed = save(now.join(cuts, "g"), "cuts")
+        sums = _sums(meet(aimed).withColumn("da", _distance("a")), F.col("da") <= F.col("ka"), [*centres, "adet"])
         made = _invert(sums.withColumnRenamed("adet", "before"), "a")
-        falls = F.col("adet") < F.col("before") - 1e-4
+        falls = F.col("adet") < F.col("before") - STILL
         following = save(made.select("g", *centres, *_model("a"), "adet", falls.alias("falls")), "step")
         fell = following.agg(F.bool_or("falls")).first()[0]
         now = following.drop("falls")

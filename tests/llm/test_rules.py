@@ -83,7 +83,7 @@ def plain_distances(x):
     while True:
         d = far(centre, inverse)
         centre, inverse, det = moments(x[d <= lower(d, m.H)], m.CONSISTENCY)
-        if not det < before - 1e-4:
+        if not det < before - m.STILL:
             break
         before = det
     centre, inverse, _ = moments(x[far(centre, inverse) <= m.NEAR], m.NEAR_CONSISTENCY)
