@@ -12,9 +12,12 @@ anchor; with it goes the text before it, backward, to the start of the anchor's
 1. Anchors whose seed occurs once in the corpus have no equal window. Tasks exchange 32 bits of each seed's hash,
    within a partition chosen by other bits, and hear which of theirs occur again (a few too many, never too few).
    A seed that repeats within one block of texts is sent once from there.
-2. The suffixes at the others are sorted in each task and sent as front-coded runs: of each, the length of the prefix
-   it shares with the one before, and the rest. Suffixes that agree wholly with an earlier one of the same run are
-   judged on the spot and not sent, so a passage in a third of all documents sends one suffix a run.
+2. Seeds drawn from the others cut the order of suffixes into ranges of about one size, one a partition, so that the
+   partitions one after another hold one sorted array. The suffixes are sorted in each task and sent, by range, as
+   front-coded runs: of each, the length of the prefix it shares with the one before, and the rest. Suffixes that agree
+   wholly with an earlier one of the same run are judged on the spot and not sent, so a passage in a third of all
+   documents sends one suffix a run. All suffixes of one seed are in one range, so different contexts of one passage
+   are one task's: as many as runs have different ones.
 3. Each partition combines its runs with a loser tree that carries common-prefix lengths: it compares two heads by
    their lengths first and looks at characters only beyond the prefix that both are known to share. The merged order
    comes with its prefix lengths; with those of the backward texts they give whole numbers that are equal exactly when
@@ -28,6 +31,7 @@ character keep its other bytes (kept is binary). Other columns aren't read.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +46,8 @@ from kinmap.llm.common import Scratch, column, free_shuffles, numbered, small, t
 
 LENGTH = 100
 SEED = 36
+#: Anchors drawn for each range of the sort, about.
+SAMPLED = 32
 #: Bytes of text whose anchors, or suffixes, make one exchanged block.
 BLOCK = 16 << 20
 SEGMENT = 1 << 19
@@ -317,8 +323,37 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], li
     return source, out
 
 
-def _send(parts: int, length: int, seed: int):
-    """Sorted front-coded runs of suffixes for each partition (kind 0), and spans judged on the spot (kind 1)."""
+def _seeds(length: int, seed: int):
+    """The seeds at the anchors named by `ranks`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _blocks(batches):
+            for batch in held:
+                _, data, offsets = _buffers(batch)
+                doc, place, *_ = anchors(data, offsets, length, seed)
+                first = np.searchsorted(doc, np.arange(batch.num_rows), side="left")
+                pick = np.concatenate([first[k] + np.asarray(w, np.int64) for k, w in enumerate(column(batch, "ranks").to_pylist())])
+                raw = data.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[p : p + seed] for p in place[pick].tolist()], pa.binary())], ["seed"])
+
+    return run
+
+
+def splitters(texts: DataFrame, again: DataFrame, parts: int, length: int, seed: int) -> list[bytes]:
+    """At most parts - 1 seeds in order, which cut the suffixes to be sorted into ranges of about one size.
+
+    They come from a sample of SAMPLED anchors a range, by hash, which is what reaches the driver.
+    """
+    total = again.agg(F.sum(F.size("ranks"))).first()[0] or 0
+    below = int((1 << 40) * min(1.0, SAMPLED * parts / max(total, 1)))
+    drawn = again.select("doc_no", F.filter("ranks", lambda r: F.pmod(F.xxhash64("doc_no", r), F.lit(1 << 40)) < below).alias("ranks")).filter(F.size("ranks") > 0)
+    sample = sorted(bytes(r["seed"]) for r in texts.join(drawn.hint("shuffle_hash"), "doc_no").mapInArrow(_seeds(length, seed), "seed binary").collect())
+    return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+
+
+def _send(cuts_at: list[bytes], length: int, seed: int):
+    """Sorted front-coded runs of suffixes for each range of seeds (kind 0), and spans judged on the spot (kind 1)."""
+    parts = len(cuts_at) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _blocks(batches):
@@ -328,13 +363,14 @@ def _send(parts: int, length: int, seed: int):
             for batch in held:
                 numbers, data, offsets = _buffers(batch)
                 wanted = column(batch, "ranks").to_pylist()
-                doc, place, lo, hi, h = anchors(data, offsets, length, seed)
+                doc, place, lo, hi, _ = anchors(data, offsets, length, seed)
                 first = np.searchsorted(doc, np.arange(len(numbers)), side="left")
                 pick = np.sort(np.concatenate([first[k] + np.asarray(w, np.int64) for k, w in enumerate(wanted)] or [np.zeros(0, np.int64)]))
-                raw, part = data.tobytes(), _part_of(h, parts)
+                raw = data.tobytes()
                 base = offsets[:-1]
-                for d, p, a, b, q in zip(doc[pick].tolist(), place[pick].tolist(), lo[pick].tolist(), hi[pick].tolist(), part[pick].tolist(), strict=True):
+                for d, p, a, b in zip(doc[pick].tolist(), place[pick].tolist(), lo[pick].tolist(), hi[pick].tolist(), strict=True):
                     number, start = int(numbers[d]), int(base[d])
+                    q = bisect_right(cuts_at, raw[p : p + seed])
                     suffix, back = raw[p : b + length], raw[a:p][::-1]
                     k = seen.get((suffix, back))
                     if k is None:
@@ -500,7 +536,8 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LE
     again = asked.mapInArrow(_answer, "doc_no long, rank int").groupBy("doc_no").agg(F.collect_set("rank").alias("ranks"))
     again = scratch.save(again, "again", "zstd")
     free_shuffles(spark)
-    runs = texts.join(again.hint("shuffle_hash"), "doc_no").mapInArrow(_send(n, length, seed), _BLOCK).repartitionById(n, "part")
+    cuts_at = splitters(texts, again, n, length, seed)
+    runs = texts.join(again.hint("shuffle_hash"), "doc_no").mapInArrow(_send(cuts_at, length, seed), _BLOCK).repartitionById(len(cuts_at) + 1, "part")
     found = runs.mapInArrow(_combine(length, seed), "doc_no long, begin long, end long")
     by_doc = found.groupBy(F.col("doc_no").alias("_doc_no")).agg(F.collect_list(F.struct("begin", "end")).alias("_found"))
     by_doc = scratch.save(by_doc, "spans", "zstd")

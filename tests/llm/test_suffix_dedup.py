@@ -108,3 +108,32 @@ def test_dedup_query(spark, sf):
     want = brute(sorted((r["doc_id"], r["text"].encode()) for r in docs), 100)
     got = sorted(tuple(r) for r in queries.op10_suffix_dedup(spark, sf).collect())
     assert got == sorted(want) and sum(r[2] for r in want) > 0
+
+
+def test_ranges_hold_one_sorted_array_one_after_another(spark):
+    """The partitions' suffixes, in the order of the splitters, are sorted as a whole, and equal seeds are together."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    passages = ["".join(rng.choices("abcdef ", k=160)) for _ in range(40)]
+    rows = [(i, "".join(rng.choices("abcdef ", k=50)) + passages[i % 40] + "".join(rng.choices("abcdef ", k=50))) for i in range(200)]
+    texts = spark.createDataFrame(rows, "doc_no long, text string").withColumn("text", F.col("text").cast("binary"))
+    n, length, seed = 6, 100, 36
+    asked = texts.mapInArrow(suffix_dedup._ask(n, length, seed), suffix_dedup._BLOCK).repartitionById(n, "part")
+    again = asked.mapInArrow(suffix_dedup._answer, "doc_no long, rank int").groupBy("doc_no").agg(F.collect_set("rank").alias("ranks")).cache()
+    cuts = suffix_dedup.splitters(texts, again, n, length, seed)
+    assert cuts == sorted(set(cuts)) and 2 <= len(cuts) <= n - 1
+    runs = texts.repartition(3).join(again, "doc_no").mapInArrow(suffix_dedup._send(cuts, length, seed), suffix_dedup._BLOCK).filter("kind = 0").collect()
+    spread = {}
+    for r in runs:
+        shared, sizes, _, _, _, _, rests, _ = suffix_dedup._unpack(bytes(r["payload"]), "<u2", "<u2", "<u2", "<u2", "<i8", "<i8", "u1", "u1")
+        own = suffix_dedup.front_decode(shared, sizes, rests.tobytes())
+        assert own == sorted(own)
+        spread.setdefault(r["part"], []).extend(own)
+    assert len(spread) == len(cuts) + 1
+    whole = [w for p in sorted(spread) for w in sorted(spread[p])]
+    assert [w[:seed] for w in whole] == sorted(w[:seed] for w in whole)
+    of_seed = {}
+    for p, words in spread.items():
+        for w in words:
+            assert of_seed.setdefault(w[:seed], p) == p
