@@ -33,7 +33,7 @@ from kinmap.llm.common import Memo, Scratch, column, small, width
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8"), ("before", "<u8")])
 #: Records that one read task takes from a shard at most.
-READ_RECORDS = 1_024
+READ_RECORDS = 256
 
 
 def masked(data: bytes) -> int:
@@ -186,7 +186,7 @@ def _read(folder: str):
                     start += len(ids)
 
                 kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary()}
-                yield from small([pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))], "ids", 8_000_000)
+                yield from small([pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))], "ids", 2_000_000)
 
     return run
 
@@ -200,7 +200,7 @@ def read_records(spark: SparkSession, folder: str, shards: list[dict]) -> DataFr
     files = spark.createDataFrame([(s["shard"], s["n_docs"], b) for s, b in zip(shards, base, strict=False)], "shard long, n_docs long, base long")
     todo = files.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(READ_RECORDS).cast("long"))).alias("first"), "base")
     reads = sum(-(-s["n_docs"] // READ_RECORDS) for s in shards)
-    todo = todo.repartition(max(1, min(reads, 4 * width(spark))), "shard", "first")
+    todo = todo.repartition(max(1, min(reads, width(spark))), "shard", "first")
     return todo.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids binary")
 
 
