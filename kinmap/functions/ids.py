@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UNIT = "\u001f"
 
@@ -64,6 +68,36 @@ def slug(text: Column, longest: int = 64) -> Column:
     return F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, longest)
 
 
+def export_slug(text: Column, longest: int = 64) -> Column:
+    """A file name's stem from any title: compatibility forms taken apart, accents dropped, then as slug(); `export` for nothing."""
+    return F.coalesce(F.nullif(slug(_plain(text), longest), F.lit("")), F.lit("export"))
+
+
+@F.arrow_udf(StringType())
+def _plain(text: pa.Array) -> pa.Array:
+    apart = (None if t is None else unicodedata.normalize("NFKD", t) for t in text.to_pylist())
+    return pa.array([None if t is None else "".join(c for c in t if not unicodedata.combining(c)) for t in apart], pa.string())
+
+
+def description(*parts: Column) -> Column:
+    """The parts that aren't blank, trimmed, with a space between."""
+    return F.concat_ws(" ", *[F.nullif(F.trim(p), F.lit("")) for p in parts])
+
+
+def similarity(distance: Column) -> Column:
+    return 1 / (1 + distance)
+
+
+def portable_path(path: Column) -> Column:
+    """The path with plain slashes, or null where it isn't a relative path to a file that every system can hold."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts = F.split(plain, "/")
+    # Device names of some systems.
+    device = r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"
+    good = lambda x: ~x.isin("", ".", "..") & (F.length(x) <= 255) & ~x.rlike(r"[ .]$") & ~x.rlike(r'[\x00-\x1F<>:"|?*]') & ~x.rlike(device)
+    return F.when((F.length(path) <= 2048) & F.forall(parts, good), plain)
+
+
 def csv_cell(value: Column) -> Column:
     """A quoted cell that a spreadsheet won't run: a leading quote where text starts like a formula, or with a tab or line end."""
     text = F.coalesce(value.cast("string"), F.lit(""))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmap.functions.lineage import cut
+
 # Coefficients of W. J. Cody, "Rational Chebyshev approximations for the error function",
 # Mathematics of Computation 23 (1969), for |x| <= 0.46875, |x| <= 4 and beyond.
 _SMALL_P = (3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03, 1.85777706184603153e-1)
@@ -72,30 +76,37 @@ def benjamini_hochberg(pairs: DataFrame, p: str, q: str, by: tuple[str, ...] = (
     return pairs.join(done, reduce(lambda a, b: a & b, condition), "left").select(*pairs.columns, q)
 
 
-def cumulative_share(rows: DataFrame, value: str, out: str, descending: bool = False, bins: int = 4_096) -> DataFrame:
+def binned(rows: DataFrame, value: str, bins: int = 1_024) -> DataFrame:
+    """Rows that have the value, with _bin: cut at approximate quantiles, so that bins hold about as many rows each.
+
+    The cuts, at most `bins` numbers, reach the driver. Equal values are in one bin; bins ascend with the value.
+    """
+    there = rows.filter(F.col(value).isNotNull()).withColumn("_value", F.col(value).cast("double"))
+    cuts = sorted(set(there.approxQuantile("_value", [k / bins for k in range(1, bins)], 1 / (4 * bins))))
+    if not cuts:
+        return there.withColumn("_bin", F.lit(0.0)).drop("_value")
+    split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_value", outputCol="_bin", handleInvalid="keep")
+    return split.transform(there).drop("_value")
+
+
+def cumulative_share(rows: DataFrame, value: str, out: str, descending: bool = False) -> DataFrame:
     """Adds the share of rows whose value is no larger (no smaller, if descending): CUME_DIST without a global window."""
-    low, high, n = rows.agg(F.min(value), F.max(value), F.count(value)).first()
-    if not n:
-        return rows.withColumn(out, F.lit(None).cast("double"))
-    step = (high - low) / bins or 1.0
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c")).withColumn("_bin", F.floor((F.col("_v") - low) / step))
     way = F.desc if descending else F.asc
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    counted = cut(binned(counted, "_v"))
     totals = counted.groupBy("_bin").agg(F.sum("_c").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy(way("_bin"))) - F.col("_n"))
+    n = counted.agg(F.sum("_c")).first()[0] or 1
     ranked = counted.join(totals, "_bin").withColumn(out, (F.col("_before") + F.sum("_c").over(Window.partitionBy("_bin").orderBy(way("_v")))) / n)
     return rows.join(ranked.select("_v", out), rows[value] == F.col("_v"), "left").select(*rows.columns, out)
 
 
-def ranked(rows: DataFrame, value: str, ties: list[str], out: str, bins: int = 4_096) -> DataFrame:
-    """Adds the place of each row, from 1, by value and then ties: ranked within bins of value, and bins among each other."""
-    low, high = rows.agg(F.min(value), F.max(value)).first()
-    if low is None:
-        return rows.withColumn(out, F.lit(None).cast("long"))
-    step = (high - low) / bins or 1.0
-    binned = rows.withColumn("_bin", F.floor((F.col(value) - low) / step))
-    sizes = binned.groupBy("_bin").agg(F.count("*").alias("_n"))
+def ranked(rows: DataFrame, value: str, ties: list[str], out: str) -> DataFrame:
+    """Rows that have the value, with their place, from 1, by value and then ties: ranked within bins, and bins among each other."""
+    spread = binned(rows, value)
+    sizes = spread.groupBy("_bin").agg(F.count("*").alias("_n"))
     before = sizes.select("_bin", (F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_bin").orderBy(value, *ties))
-    return binned.withColumn("_place", place).join(before, "_bin").withColumn(out, F.col("_before") + F.col("_place")).select(*rows.columns, out)
+    return spread.withColumn("_place", place).join(before, "_bin").withColumn(out, F.col("_before") + F.col("_place")).select(*rows.columns, out)
 
 
 def upper_median(values: Column) -> Column:

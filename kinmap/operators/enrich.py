@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from kinmap.functions import stats
 
 
+#: Genes of a universe; a table of one number a gene is broadcast.
+MOST_GENES = 5_000_000
+
+
 def enrichment(members: DataFrame, universe: DataFrame, requested: DataFrame, least: int, most: int, least_overlap: int = 1) -> DataFrame:
     """pathway, size, overlap, expected, fold, p and q.
 
@@ -20,6 +24,8 @@ def enrichment(members: DataFrame, universe: DataFrame, requested: DataFrame, le
     held = members.select("pathway", "gene").distinct().join(genes, "gene", "left_semi")
     tested = requested.select("gene").distinct().join(genes, "gene", "left_semi")
     n, drawn = genes.count(), tested.count()
+    if n > MOST_GENES:
+        raise ValueError(f"a universe of more than {MOST_GENES} genes")
     logs, total = [0.0], 0.0
     for i in range(1, n + 1):
         total += math.log(i)

@@ -92,3 +92,14 @@ def delta_pairs(new: DataFrame, old: DataFrame, id: str, vector: str, metric=cos
     among = _met(fresh, fresh, True).mapInArrow(_score(metric, True), _PAIR)
     across = _met(fresh, there, False).mapInArrow(_score(metric, False), _PAIR)
     return among.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "value")
+
+
+def embedded(rows: DataFrame, id: str, text: str, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """(id, vector) of rows by any function from a batch of texts to as many vectors; a null text is the empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = embed([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], ["id", "vector"])
+
+    return rows.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, vector array<double>")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmap.plans import graph_queries, kernel_queries, more_queries, table_queries
+from kinmap.plans import graph_queries, kernel_queries, more_queries, state_queries, table_queries
 
-MODULES = (graph_queries, table_queries, kernel_queries, more_queries)
+MODULES = (graph_queries, table_queries, kernel_queries, more_queries, state_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

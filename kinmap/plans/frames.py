@@ -83,12 +83,23 @@ zs as (select p.*, (p.score - x.mu) / x.sigma as za, (p.score - y.mu) / y.sigma
 ps as materialized (select a, b, cosine, score, round(greatest(""" + _PHI.format(z="za") + ", " + _PHI.format(z="zb") + "), 9) as p from zs)"
 
 
-_RELEASES: dict[tuple[str, str], DataFrame] = {}
+_RELEASES: dict[tuple, DataFrame] = {}
+
+
+def _listing(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(target, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def calibrated(spark: SparkSession, sf: str) -> DataFrame:
-    """The calibrated release of a folder: built once a session, written to the shared folder, and read by all queries."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The calibrated release of a folder: built once a session for what the folder holds, written to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf, _listing(spark, f"{sf}/embeddings.parquet"))
     if key not in _RELEASES:
         _RELEASES[key] = cut(calibrate(spark, sf))
     return _RELEASES[key]

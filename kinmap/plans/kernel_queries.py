@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinmap.functions import facets
 from kinmap.functions.lineage import cut
 from kinmap.operators import layout, signature
 from kinmap.plans.frames import calibrated, nodes, table
@@ -202,13 +201,3 @@ def j23_asof_join(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", side, "event_id").rowsBetween(Window.unboundedPreceding, 0)
     bought = F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)
     return rows.withColumn("last_purchase", bought).filter("event_type = 'view'").select("user_id", "ts", "event_id", "last_purchase")
-
-
-@case()
-def x06_registered_functions(spark, sf):
-    """The engine's functions by name in SQL."""
-    from kinmap.functions import ids
-
-    frame = table(spark, sf, "part").select("p_partkey", ids.ascii_term(F.col("p_name")).alias("term"), facets.tissue_system(F.col("p_name")).alias("tissue"))
-    frame.createOrReplaceTempView("kinmap_terms")
-    return spark.sql("select term, count(*) as n from kinmap_terms group by term")

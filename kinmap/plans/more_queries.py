@@ -58,13 +58,6 @@ def s34_release_import(spark, sf):
     return release.checks({"duplicates": rows.groupBy("a", "b").count().filter("count > 1"), "family": short, "finite": rows.filter(bad), "recomputed q": again.filter("abs(q - q2) > 1e-12")})
 
 
-@case()
-def s09_signature_scan(spark, sf):
-    """Signatures written and read again; only sizes are read back."""
-    sig = cut(signature.signatures(table(spark, sf, "embeddings"), "label", "embedding"))
-    return sig.select("dataset", "features", "samples", "share")
-
-
 @case()
 def k07_signature_metadata(spark, sf):
     sig = signature.signatures(table(spark, sf, "embeddings"), "label", "embedding")

@@ -88,3 +88,8 @@ def diagnostics(lines: DataFrame, column: str, markers: dict[str, str]) -> DataF
     for name, pattern in markers.items():
         kind = (F.when if kind is None else kind.when)(F.lower(column).rlike(pattern), name)
     return lines.withColumn("kind", kind).filter("kind is not null")
+
+
+def tag_text(html: Column, tag: str) -> Column:
+    """Text of the first element of a plain tag, trimmed; empty where there is none."""
+    return F.trim(F.regexp_extract(html, f"<{tag}>([^<]*)</{tag}>", 1))

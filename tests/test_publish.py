@@ -5,7 +5,7 @@ from kinmap.operators.query import compile_query
 
 
 def test_release_life(spark, tmp_path):
-    r = publish.Releases(tmp_path)
+    r = publish.Releases(spark, f"file://{tmp_path}/releases")
     pairs = spark.createDataFrame([(1, 2, 0.5)], "a long, b long, score double")
     for name in ("r1", "r2"):
         r.stage(name, {"pairs": publish.migrated(pairs, "pairs")}, pool="x")
@@ -23,7 +23,7 @@ def test_release_life(spark, tmp_path):
     assert r.rollback() == "r1" and r.current() == "r1" and r.manifest("r2")["state"] == "superseded"
     with pytest.raises(ValueError):
         r.move("r1", "staging")
-    assert r.table(spark, "r1", "pairs").columns == ["a", "b", "score", "algorithm"]
+    assert r.table("r1", "pairs").columns == ["a", "b", "score", "algorithm"]
     with pytest.raises(ValueError):
         publish.migrated(pairs, "pairs", version=2)
 
