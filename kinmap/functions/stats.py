@@ -89,20 +89,20 @@ def binned(rows: DataFrame, value: str, bins: int = 1_024) -> DataFrame:
     return split.transform(there).drop("_value")
 
 
-def cumulative_share(rows: DataFrame, value: str, out: str, descending: bool = False) -> DataFrame:
+def cumulative_share(rows: DataFrame, value: str, out: str, descending: bool = False, bins: int = 1_024) -> DataFrame:
     """Adds the share of rows whose value is no larger (no smaller, if descending): CUME_DIST without a global window."""
     way = F.desc if descending else F.asc
     counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    counted = cut(binned(counted, "_v"))
+    counted = cut(binned(counted, "_v", bins))
     totals = counted.groupBy("_bin").agg(F.sum("_c").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy(way("_bin"))) - F.col("_n"))
     n = counted.agg(F.sum("_c")).first()[0] or 1
     ranked = counted.join(totals, "_bin").withColumn(out, (F.col("_before") + F.sum("_c").over(Window.partitionBy("_bin").orderBy(way("_v")))) / n)
     return rows.join(ranked.select("_v", out), rows[value] == F.col("_v"), "left").select(*rows.columns, out)
 
 
-def ranked(rows: DataFrame, value: str, ties: list[str], out: str) -> DataFrame:
+def ranked(rows: DataFrame, value: str, ties: list[str], out: str, bins: int = 1_024) -> DataFrame:
     """Rows that have the value, with their place, from 1, by value and then ties: ranked within bins, and bins among each other."""
-    spread = binned(rows, value)
+    spread = binned(rows, value, bins)
     sizes = spread.groupBy("_bin").agg(F.count("*").alias("_n"))
     before = sizes.select("_bin", (F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_bin").orderBy(value, *ties))
