@@ -9,7 +9,8 @@ token of any URL that matches, so each rule is filed under that of its tokens th
 The tokens of a URL fetch the rules filed under them, and only those run their regular expression. Rules without such
 a token (none by default) run against every URL.
 
-All by DataFrame functions. The rules are configuration, at most MOST_RULES of them, so their table is broadcast.
+All by DataFrame functions. The rules are configuration, at most MOST_RULES of them and MOST_TEXT characters, so their
+table is broadcast.
 URLs are judged once each: only distinct ones are exploded, and a URL that fills a third of the rows is one row there.
 
 Cases: a null URL, or one without `://`, has empty host and path, fits no host rule, and is allowed (a pattern is run
@@ -21,10 +22,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_RULES = 100_000
+#: Characters of all patterns together, whose table is broadcast.
+MOST_TEXT = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (action, host, path prefix)
 HOST_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -83,8 +86,8 @@ def file_rules(urls: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
     urls: distinct URLs. Only the counts of the rules' own tokens reach the driver.
     """
     spark = urls.sparkSession
-    if len(patterns) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    if len(patterns) > MOST_RULES or sum(map(len, patterns)) > MOST_TEXT:
+        raise ValueError(f"more than {MOST_RULES} rules, or {MOST_TEXT} characters of them")
     own = {p: tokens_of(p) for p in patterns}
     named = sorted({t for ts in own.values() for t in ts})
     known = spark.createDataFrame([(t,) for t in named], "token string")
@@ -94,6 +97,18 @@ def file_rules(urls: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
     return spark.createDataFrame(rows, "token string, pattern string, regex string, exception boolean")
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Patterns of a rule file in any store: one a line, without blank lines and those that begin with an exclamation mark.
+
+    At most MOST_RULES lines, which is what reaches the driver.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("value")).filter("value <> '' and not startswith(value, '!')")
+    found = [r["value"] for r in lines.limit(MOST_RULES + 1).collect()]
+    if len(found) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return tuple(dict.fromkeys(found))
+
+
 def judge(pages: DataFrame, host_rules: tuple = HOST_RULES, patterns: tuple[str, ...] = PATTERNS) -> DataFrame:
     """page_id, url, host, path, rule, pattern and verdict of every row."""
     spark = pages.sparkSession

@@ -233,6 +233,14 @@ def test_url_patterns_without_tokens_run_everywhere(spark):
     assert url_rules.tokens_of("||ads.*^banner^") == ["ads", "banner"] and url_rules.tokens_of("^a*b^c") == []
 
 
+def test_url_rules_from_a_file(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("! a comment\n\naxx*b\n  @@^zz^ \naxx*b\n")
+    rules = url_rules.read_rules(spark, f"file://{tmp_path}/rules.txt")
+    assert sorted(rules) == ["@@^zz^", "axx*b"]
+    df = spark.createDataFrame([(1, "http://x.net/aXXb"), (2, "http://x.net/c")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_rules.judge(df, (), rules).collect()} == {1: "block", 2: "allow"}
+
+
 def test_resampling_is_exact_top_k_and_prefers_the_target(spark):
     d = "/root/testdata/sf0.01"
     out = queries.op4_importance_resampling(spark, d).collect()
