@@ -143,7 +143,7 @@ def numbered(docs: DataFrame, nulls_first: bool = True) -> tuple[DataFrame, bool
     """docs with _doc_no, a number of each document in the order of doc_id: doc_id itself where that is unique and set.
 
     Else documents are the different pairs of doc_id and text, those of one id in the order of a hash of the text, and
-    null ids stand at one end; it is the place in that order. Wholly repeated rows share their number. The second value
+    null ids stand at one end; the number ascends in that order. Wholly repeated rows share their number. The second value
     says whether the number is doc_id itself.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -152,8 +152,9 @@ def numbered(docs: DataFrame, nulls_first: bool = True) -> tuple[DataFrame, bool
         return docs.withColumn("_doc_no", F.col("doc_id").cast("long")), True
     named = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     order = F.asc_nulls_first("_id") if nulls_first else F.asc_nulls_last("_id")
-    ordered = named.select("_id", "_key").distinct().orderBy(order, "_key").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    numbers = docs.sparkSession.createDataFrame(ordered, "_other long, _other_key long, _doc_no long")
+    # sorted by ranges, so ids that ascend from partition to partition and within are in order; written, so they stay
+    ordered = named.select("_id", "_key").distinct().orderBy(order, "_key").withColumn("_doc_no", F.monotonically_increasing_id())
+    numbers = Scratch(docs.sparkSession, "numbers").save(ordered.select(F.col("_id").alias("_other"), F.col("_key").alias("_other_key"), "_doc_no"), "numbers", "zstd")
     return named.join(numbers, F.expr("_id <=> _other and _key = _other_key")).drop("_id", "_key", "_other", "_other_key"), False
 
 
