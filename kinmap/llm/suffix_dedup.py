@@ -342,12 +342,13 @@ def _seeds(length: int, seed: int):
 def splitters(texts: DataFrame, again: DataFrame, parts: int, length: int, seed: int) -> list[bytes]:
     """At most parts - 1 seeds in order, which cut the suffixes to be sorted into ranges of about one size.
 
-    They come from a sample of SAMPLED anchors a range, by hash, which is what reaches the driver.
+    They come from a sample of SAMPLED anchors a range, by hash; names of that many are broadcast, so that no text is
+    exchanged for it, and their seeds reach the driver.
     """
     total = again.agg(F.sum(F.size("ranks"))).first()[0] or 0
     below = int((1 << 40) * min(1.0, SAMPLED * parts / max(total, 1)))
     drawn = again.select("doc_no", F.filter("ranks", lambda r: F.pmod(F.xxhash64("doc_no", r), F.lit(1 << 40)) < below).alias("ranks")).filter(F.size("ranks") > 0)
-    sample = sorted(bytes(r["seed"]) for r in texts.join(drawn.hint("shuffle_hash"), "doc_no").mapInArrow(_seeds(length, seed), "seed binary").collect())
+    sample = sorted(bytes(r["seed"]) for r in texts.join(F.broadcast(drawn), "doc_no").mapInArrow(_seeds(length, seed), "seed binary").collect())
     return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
 
 
