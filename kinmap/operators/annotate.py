@@ -88,3 +88,41 @@ def replace_generated(existing: DataFrame, new: DataFrame, keys: list[str]) -> D
     state = F.when((F.col("reviewer").isNull()) & F.col("_made").isNull() & (F.col("state") == "unreviewed"), "superseded").otherwise(F.col("state"))
     added = new.join(existing.select(*keys).distinct(), keys, "left_anti")
     return kept.withColumn("state", state).select(*existing.columns).unionByName(added.select(*existing.columns))
+
+
+def feature_records(features: DataFrame, names: DataFrame) -> DataFrame:
+    """features (.., feature, score) with the name each stands for and whether that is ambiguous; unnamed ones go."""
+    return features.join(names.select("feature", "name", "ambiguous"), "feature")
+
+
+def known_or_unknown(value: Column, unknown: Column) -> tuple[Column, Column]:
+    """(no value, consistent): a field has a value, or says that it is unknown, and never both or neither."""
+    return value.isNull(), value.isNull() == unknown
+
+
+def first_given(*sources: Column) -> Column:
+    """The first source that has a value, else `unknown`."""
+    return F.coalesce(*sources, F.lit("unknown"))
+
+
+def assertion_rows(run: DataFrame, id: str, fields: list[str], accepted: Column) -> DataFrame:
+    """(id, field, value, state): a row for each field that has a value."""
+    given = run.select(id, F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))]).alias("_f"))
+    return given.select(id, F.explode("_f").alias("field", "value")).filter("value is not null").withColumn("state", F.when(accepted, "accepted").otherwise("unreviewed"))
+
+
+def term_index(wanted: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, status, name) of wanted ids: present, obsolete or missing in terms (id, name, obsolete)."""
+    found = wanted.select("id").distinct().join(terms.select("id", "name", "obsolete", F.lit(True).alias("_there")), "id", "left")
+    return found.select("id", F.when(F.col("_there").isNull(), "missing").when(F.col("obsolete"), "obsolete").otherwise("present").alias("status"), "name")
+
+
+def reviewed(rows: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
+    """(key, state, audited): states after reviews (key, state), which leave a mark in the audit."""
+    given = reviews.select(key, F.col("state").alias("_new"))
+    return rows.join(given, key, "left").select(key, F.coalesce("_new", "state").alias("state"), F.col("_new").isNotNull().cast("int").alias("audited"))
+
+
+def pending(records: DataFrame, cached: DataFrame, key: str, hash: str) -> DataFrame:
+    """Records (key, hash) that no cached result of the same hash stands for."""
+    return records.select(key, hash).join(cached.select(key, hash), [key, hash], "left_anti")

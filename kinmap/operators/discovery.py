@@ -56,3 +56,26 @@ def shown_probability(p: Column) -> Column:
 def compact_evidence(candidates: Column, features: Column, pathways: Column, reviewed: Column) -> Column:
     """At most three candidates (none where unreviewed), five features and two pathways."""
     return F.struct(F.when(reviewed, F.slice(candidates, 1, 3)).alias("candidates"), F.slice(features, 1, 5).alias("features"), F.slice(pathways, 1, 2).alias("pathways"))
+
+
+# Shapes of the nodes.
+SHAPES = ("circle", "square", "diamond", "triangle", "hexagon", "cross")
+
+
+def shape_of(index: Column) -> Column:
+    """A shape for each whole number, in turn."""
+    return F.element_at(F.array(*[F.lit(s) for s in SHAPES]), (F.pmod(index, F.lit(len(SHAPES))) + 1).cast("int"))
+
+
+def projected_features(rows: DataFrame, id: str, order: list[str], name: Column, ambiguous: Column) -> DataFrame:
+    """(id, features): the first word of each feature's name in order, with a star where it is ambiguous."""
+    shown = F.concat(F.substring_index(name, " ", 1), F.when(ambiguous, "*").otherwise(""))
+    held = rows.groupBy(F.col(id).alias("id")).agg(F.array_sort(F.collect_list(F.struct(*order, shown.alias("_shown")))).alias("_all"))
+    return held.select("id", F.array_join(F.col("_all").getField("_shown"), ",").alias("features"))
+
+
+def prompt_text(rows: DataFrame, id: str, item: str, strength: str, head: str) -> DataFrame:
+    """(id, prompt): `head` with the id, and its items, the strongest first and each once."""
+    best = rows.groupBy(F.col(id).alias("id"), F.col(item).alias("_item")).agg(F.max(strength).alias("_s"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("_s")).alias("_s"), "_item")))
+    return best.groupBy("id").agg(ordered.alias("_all")).select("id", F.format_string(head + " %d: %s", "id", F.array_join(F.col("_all").getField("_item"), ", ")).alias("prompt"))

@@ -39,3 +39,8 @@ def enrichment(members: DataFrame, universe: DataFrame, requested: DataFrame, le
     rows = rows.select("pathway", "size", "overlap", F.round(expected, 9).alias("expected"), F.round(F.when(expected > 0, F.col("overlap") / expected).otherwise(0.0), 9).alias("fold"), F.round(p, 9).alias("p"))
     ranked = stats.benjamini_hochberg(rows, "p", "q")
     return ranked.filter(F.col("overlap") >= least_overlap).withColumn("q", F.round("q", 9))
+
+
+def gene_pathways(members: DataFrame, genes: DataFrame) -> DataFrame:
+    """(pathway, gene) of a set of genes, each once."""
+    return members.select("pathway", "gene").join(genes.select("gene"), "gene", "left_semi").select("pathway", "gene").distinct()

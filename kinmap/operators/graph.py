@@ -109,3 +109,10 @@ def separation(nodes: DataFrame, id: str, x: str, y: str, target: float) -> Data
     spread = base.withColumn("s", F.explode(steps)).select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
     near = base.join(spread, ["cx", "cy"]).filter("id < other").withColumn("d", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")))
     return near.filter(F.col("d") < target).agg(F.count("*").alias("near_pairs"), F.min("d").alias("least_distance"), F.count_if(F.col("d") < 0.8 * target).alias("severe_pairs"))
+
+
+def member_edges(wanted: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges of the wanted pairs (a, b) whose ends are both members (id), and `all_there`: whether none of them was left out."""
+    kept = induced(wanted, members).join(edges, ["a", "b"])
+    got, asked = kept.agg(F.count("*").alias("_got")), wanted.agg(F.count("*").alias("_asked"))
+    return kept.crossJoin(F.broadcast(got)).crossJoin(F.broadcast(asked)).withColumn("all_there", F.col("_got") == F.col("_asked")).drop("_got", "_asked")

@@ -43,3 +43,33 @@ def checks(named: dict[str, DataFrame]) -> DataFrame:
     """A row for each check: how many rows break it."""
     rows = [df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations", (F.col("violations") == 0).alias("passed")) for name, df in named.items()]
     return reduce(DataFrame.unionByName, rows)
+
+
+def add_columns(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of both with the columns of new; those that old lacks are null."""
+    return new.unionByName(old, allowMissingColumns=True).select(*new.columns)
+
+
+def update_from(rows: DataFrame, updates: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """rows with `column` from updates (keys, column) where there is one."""
+    given = updates.select(*keys, F.col(column).alias("_new"))
+    return rows.join(given, keys, "left").withColumn(column, F.coalesce("_new", column)).drop("_new").select(*rows.columns)
+
+
+def mismatches(registered: DataFrame, found: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Keys whose registered row and found row differ in any of the columns, or that were registered and aren't found."""
+    other = found.select(*keys, F.struct(*columns).alias("_found"))
+    return registered.select(*keys, F.struct(*columns).alias("_own")).join(other, keys, "left").filter(~F.col("_own").eqNullSafe(F.col("_found"))).select(*keys)
+
+
+def merged_analysis(pairs: DataFrame, results: DataFrame, key: str, value: str) -> DataFrame:
+    """pairs (a, b) with the value of results named a_b, else of those named b_a."""
+    rows = pairs.select("a", "b", F.concat_ws("_", "a", "b").alias("_ab"), F.concat_ws("_", "b", "a").alias("_ba"))
+    for name, out in (("_ab", "_x"), ("_ba", "_y")):
+        rows = rows.join(results.select(F.col(key).alias(name), F.col(value).alias(out)), name, "left")
+    return rows.select("a", "b", F.coalesce("_x", "_y").alias(value))
+
+
+def routed(rows: DataFrame, good: Column) -> DataFrame:
+    """rows with route: accept where the check holds, else, or where it can't be told, quarantine."""
+    return rows.withColumn("route", F.when(F.coalesce(good, F.lit(False)), "accept").otherwise("quarantine"))

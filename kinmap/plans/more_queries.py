@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from kinmap.functions import facets, ids, stats
 from kinmap.functions.lineage import cut
-from kinmap.operators import annotate, discovery, explanation, matrix, overlap, pairs, release, signature
+from kinmap.operators import annotate, discovery, enrich, explanation, graph, matrix, overlap, pairs, release, signature
 from kinmap.operators.query import compile_query, execute
 from kinmap.plans import graph_queries
 from kinmap.plans.frames import CAL, NODES, PAIRS, calibrated, nodes, table, text_pairs, with_
@@ -60,26 +60,20 @@ def s34_release_import(spark, sf):
 
 @case()
 def k07_signature_metadata(spark, sf):
-    sig = signature.signatures(table(spark, sf, "embeddings"), "label", "embedding")
-    return sig.select("dataset", F.to_json(F.struct(F.col("share").alias("alpha"), F.size("weights").alias("c"), F.col("samples").alias("m"), F.col("features").alias("n"))).alias("meta"))
+    return sinks.signature_metadata(signature.signatures(table(spark, sf, "embeddings"), "label", "embedding"))
 
 
 @case()
 def k08_static_export(spark, sf):
     """The graph as one JSON row: a bounded drawing of the strongest edges with its nodes, and their checksum."""
     edges = graph_queries.t02_union_topk(spark, sf).orderBy("q", "score", "a", "b").limit(500)
-    shown = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    n = nodes(spark, sf).join(shown, "id", "left_semi").agg(F.array_sort(F.collect_list(F.struct("id", "accession", "community"))).alias("nodes"))
-    e = edges.agg(F.array_sort(F.collect_list(F.struct("a", "b", "q", "score"))).alias("edges"))
-    return n.crossJoin(e).select(F.to_json(F.struct("edges", "nodes")).alias("graph")).withColumn("sha256", F.sha2("graph", 256))
+    return sinks.static_graph(nodes(spark, sf), edges, ["id", "accession", "community"], ["a", "b", "q", "score"])
 
 
 @case("select l_orderkey as id, string_agg(string_split(p_name, ' ')[1] || case when contains(p_type, 'A') then '*' else '' end, ',' order by l_linenumber, p_partkey) as features from lineitem join part on p_partkey = l_partkey group by 1")
 def k09_explainer_projection(spark, sf):
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    g = rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_partkey", "p_name", "p_type"))).alias("f"))
-    shown = F.transform("f", lambda x: F.concat(F.get(F.split(x["p_name"], " "), F.lit(0)), F.when(x["p_type"].contains("A"), "*").otherwise("")))
-    return g.select("id", F.array_join(shown, ",").alias("features"))
+    return discovery.projected_features(rows, "l_orderkey", ["l_linenumber", "p_partkey"], F.col("p_name"), F.col("p_type").contains("A"))
 
 
 def _view(spark, sf):
@@ -136,23 +130,18 @@ def j14_profile_lookup(spark, sf):
 @case(with_(CAL) + ", wanted as (select a, b from cal where percentile >= 0.98), m as (select id from nodes where label <> 4) select w.a, w.b, c.q, count(*) over () = (select count(*) from wanted) as all_there from wanted w join cal c on c.a = w.a and c.b = w.b where w.a in (select id from m) and w.b in (select id from m)")
 def j16_member_edges(spark, sf):
     rows = calibrated(spark, sf)
-    wanted = rows.filter("percentile >= 0.98").select("a", "b")
     members = nodes(spark, sf).filter("label <> 4").select("id")
-    kept = wanted.join(members.select(F.col("id").alias("a")), "a", "left_semi").join(members.select(F.col("id").alias("b")), "b", "left_semi").join(rows.select("a", "b", "q"), ["a", "b"])
-    got, asked = kept.agg(F.count("*").alias("got")), wanted.agg(F.count("*").alias("asked"))
-    return kept.crossJoin(F.broadcast(got)).crossJoin(F.broadcast(asked)).select("a", "b", "q", (F.col("got") == F.col("asked")).alias("all_there"))
+    return graph.member_edges(rows.filter("percentile >= 0.98").select("a", "b"), rows.select("a", "b", "q"), members).select("a", "b", "q", "all_there")
 
 
 @case("select distinct l_suppkey as pathway, l_partkey as gene from lineitem where l_partkey in (select p_partkey from part where p_size = 7) and l_partkey % 2 = 0")
 def j20_gene_set(spark, sf):
-    genes = table(spark, sf, "part").filter("p_size = 7").select(F.col("p_partkey").alias("gene")).filter("gene % 2 = 0")
-    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("pathway"), F.col("l_partkey").alias("gene")).join(genes, "gene", "left_semi").select("pathway", "gene").distinct()
+    genes = table(spark, sf, "part").filter("p_size = 7 and p_partkey % 2 = 0").select(F.col("p_partkey").alias("gene"))
+    return enrich.gene_pathways(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("pathway"), F.col("l_partkey").alias("gene")), genes)
 
 
 @case(with_(CAL) + ", s as (select id from nodes where id % 9 = 0) select (select count(*) from s) as datasets, count(*) as edges, count(*) filter (q <= 0.99999) as significant, count(*) filter (coalesce(overlap_class, 'none') <> 'none') as overlapping, count(text_percentile) as text_scored from cal where a in (select id from s) and b in (select id from s)")
 def a15_selection_summary(spark, sf):
-    from kinmap.operators import graph
-
     chosen = nodes(spark, sf).filter("id % 9 = 0").select("id")
     edges = graph.induced(calibrated(spark, sf), chosen)
     counts = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("q") <= 0.99999).alias("significant"), F.count_if(F.coalesce("overlap_class", F.lit("none")) != "none").alias("overlapping"), F.count("text_percentile").alias("text_scored"))
@@ -212,8 +201,7 @@ def c15_colour_hash(spark, sf):
 
 @case("select s_suppkey, case s_nationkey % 6 when 0 then 'circle' when 1 then 'square' when 2 then 'diamond' when 3 then 'triangle' when 4 then 'hexagon' else 'cross' end as shape from supplier")
 def c16_shape_map(spark, sf):
-    shapes = F.create_map(*[x for i, s in enumerate(("circle", "square", "diamond", "triangle", "hexagon", "cross")) for x in (F.lit(i), F.lit(s))])
-    return table(spark, sf, "supplier").select("s_suppkey", F.element_at(shapes, F.col("s_nationkey") % 6).alias("shape"))
+    return table(spark, sf, "supplier").select("s_suppkey", discovery.shape_of(F.col("s_nationkey")).alias("shape"))
 
 
 @case("with p as (select p_partkey, case when p_partkey % 50 = 0 then 0.0::double when p_partkey % 3 = 0 then p_partkey / 7e6 else p_partkey / 2001.0 end as p from part) select p_partkey, case when p = 0 then '0' when p < 0.001 then regexp_replace(printf('%.2e', p), 'e([+-])0?(\\d+)$', 'e\\1\\2') else printf('%.3f', p) end as shown from p")
@@ -226,9 +214,7 @@ def c17_probability_format(spark, sf):
 @case("with g as (select l_orderkey as id, p_brand as gene, max(l_extendedprice) as s from lineitem join part on p_partkey = l_partkey group by 1, 2) select id, 'Order ' || id || ': ' || string_agg(gene, ', ' order by s desc, gene) as prompt from g group by id")
 def c31_prompt_text(spark, sf):
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    g = rows.groupBy(F.col("l_orderkey").alias("id"), F.col("p_brand").alias("gene")).agg(F.max("l_extendedprice").alias("s"))
-    genes = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "gene"))), lambda x: x["gene"])
-    return g.groupBy("id").agg(genes.alias("g")).select("id", F.format_string("Order %d: %s", "id", F.array_join("g", ", ")).alias("prompt"))
+    return discovery.prompt_text(rows, "l_orderkey", "p_brand", "l_extendedprice", "Order")
 
 
 # --- kernels as compositions ----------------------------------------------------------------------------------------
@@ -272,16 +258,14 @@ def m20_explanation_artifact(spark, sf):
 def m22_feature_records(spark, sf):
     f = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("feature", "score"))
     names = table(spark, sf, "part").select((F.col("p_partkey") - 1).cast("int").alias("feature"), F.col("p_name").alias("name"), (F.col("p_partkey") % 5 == 0).alias("ambiguous"))
-    return f.join(names, "feature").select("vec_id", "feature", "score", "name", "ambiguous")
+    return annotate.feature_records(f, names).select("vec_id", "feature", "score", "name", "ambiguous")
 
 
 @case("with o as (select o_orderkey as a, o_custkey as b from orders), m as (select l_orderkey || '_' || l_suppkey as k, min(l_partkey) as v from lineitem group by 1) select a, b, coalesce(x.v, y.v) as v from o left join m x on x.k = a || '_' || b left join m y on y.k = b || '_' || a")
 def m23_analysis_merge(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
     m = table(spark, sf, "lineitem").groupBy(F.concat_ws("_", "l_orderkey", "l_suppkey").alias("k")).agg(F.min("l_partkey").alias("v"))
-    rows = o.withColumns({"ab": F.concat_ws("_", "a", "b"), "ba": F.concat_ws("_", "b", "a")})
-    joined = rows.join(m.select(F.col("k").alias("ab"), F.col("v").alias("x")), "ab", "left").join(m.select(F.col("k").alias("ba"), F.col("v").alias("y")), "ba", "left")
-    return joined.select("a", "b", F.coalesce("x", "y").alias("v"))
+    return release.merged_analysis(o, m, "k", "v")
 
 
 @case()
@@ -310,9 +294,21 @@ def d16_ingest(spark, sf):
 
 
 @case()
-def p04_text_channel(spark, sf):
-    """Load, score all pairs, p, q and the network, from vectors: the whole of the older pipeline's steps."""
-    return graph_queries.flagship(spark, sf).filter("percentile >= 0.999")
+def p04_legacy_pipeline(spark, sf):
+    """The older pipeline whole: align, drop shared datasets and features that aren't finite everywhere, fit, score, p, q."""
+    rows = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("dataset"), F.col("vec_id").alias("sample"), F.posexplode(F.col("embedding").cast("array<double>")).alias("feature", "value"))
+    # one dataset lacks a feature's values, and two hold one profile
+    rows = rows.withColumn("value", F.when((F.col("dataset") == 3) & (F.col("feature") == 7), float("nan")).when(F.col("dataset").isin(4, 5) & (F.col("sample") == F.min("sample").over(Window.partitionBy("dataset"))), F.lit(1.0)).otherwise(F.col("value")))
+    profiles = rows.groupBy("dataset", "sample").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("feature", "value")))), 256).alias("hash"))
+    apart = cut(overlap.unshared(profiles, "dataset", "hash"))
+    kept = rows.join(apart, "dataset", "left_semi")
+    fit = kept.join(matrix.finite_everywhere(kept, apart.count()), "feature", "left_semi")
+    vectors = fit.groupBy("dataset", "sample").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).getField("value").alias("v"))
+    sig = cut(signature.signatures(vectors, "dataset", "v"))
+    sizes = [r[0] for r in sig.select("samples").distinct().collect()]  # no more than sample counts differ
+    profiles = signature.null_profiles(sig, vectors, "v", sizes, draws=50)
+    out = signature.calibrate_pairs(signature.scores(sig, sig), profiles, sig.select("dataset", "samples"), exact=True)
+    return stats.benjamini_hochberg(out, "p", "q").select("a", "b", F.round("score", 6).alias("score"), F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
 
 
 # --- graph details --------------------------------------------------------------------------------------------------
@@ -326,8 +322,6 @@ def g07_bounds(spark, sf):
 
 @case(with_(CAL) + ", s as (select a as id, b as other, q, score from cal union all select b, a, q, score from cal), t as (select *, row_number() over (partition by id order by q, score, other) as r from s) select n.id, n.accession, string_agg(other::varchar, ',' order by r) as neighbours from nodes n join t using (id) where r <= 6 group by 1, 2")
 def g11_dataset_detail(spark, sf):
-    from kinmap.operators import graph
-
     sides = graph.endpoints(calibrated(spark, sf).select("a", "b", "q", "score"))
     first = sides.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("q", "score", "other"))).filter("r <= 6")
     lists = first.groupBy(F.col("node").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "other"))), lambda x: x["other"].cast("string")), ",").alias("neighbours"))
@@ -346,34 +340,32 @@ def n04_span_grounding(spark, sf):
 
 @case("select doc_id, quality is null as no_value, toxic = 1 as unknown, (quality is null) = (toxic = 1) as consistent from labels")
 def n05_known_or_unknown(spark, sf):
-    return table(spark, sf, "labels").select("doc_id", F.col("quality").isNull().alias("no_value"), (F.col("toxic") == 1).alias("unknown"), (F.col("quality").isNull() == (F.col("toxic") == 1)).alias("consistent"))
+    unknown = F.col("toxic") == 1
+    no_value, consistent = annotate.known_or_unknown(F.col("quality"), unknown)
+    return table(spark, sf, "labels").select("doc_id", no_value.alias("no_value"), unknown.alias("unknown"), consistent.alias("consistent"))
 
 
 @case("select d.doc_id, coalesce(case when d.doc_id % 3 <> 0 then d.lang end, case when l.quality = 1 then 'model' end, 'unknown') as value from documents d left join labels l using (doc_id)")
 def n06_structured_first(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.coalesce(F.when(F.col("doc_id") % 3 != 0, F.col("lang")), F.when(F.col("quality") == 1, F.lit("model")), F.lit("unknown")).alias("value"))
+    return rows.select("doc_id", annotate.first_given(F.when(F.col("doc_id") % 3 != 0, F.col("lang")), F.when(F.col("quality") == 1, F.lit("model"))).alias("value"))
 
 
 @case("select doc_id, field, value, case when doc_id % 4 = 0 then 'accepted' else 'unreviewed' end as state from (select doc_id, 'lang' as field, lang as value from documents union all select doc_id, 'source', source from documents) where value is not null")
 def n08_assertion_rows(spark, sf):
-    run = table(spark, sf, "documents").select("doc_id", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("fields"))
-    rows = run.select("doc_id", F.explode("fields").alias("field", "value")).filter("value is not null")
-    return rows.withColumn("state", F.when(F.col("doc_id") % 4 == 0, "accepted").otherwise("unreviewed"))
+    return annotate.assertion_rows(table(spark, sf, "documents"), "doc_id", ["lang", "source"], F.col("doc_id") % 4 == 0)
 
 
 @case("with w as (select distinct 1 + doc_id % 2500 as id from documents) select w.id, case when p.p_partkey is null then 'missing' when p.p_size > 45 then 'obsolete' else 'present' end as status, p.p_name as name from w left join part p on p.p_partkey = w.id")
 def n10_ontology_index(spark, sf):
-    wanted = table(spark, sf, "documents").select((1 + F.col("doc_id") % 2500).alias("id")).distinct()
-    terms = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_size")
-    return wanted.join(terms, "id", "left").select("id", F.when(F.col("name").isNull(), "missing").when(F.col("p_size") > 45, "obsolete").otherwise("present").alias("status"), "name")
+    wanted = table(spark, sf, "documents").select((1 + F.col("doc_id") % 2500).alias("id"))
+    return annotate.term_index(wanted, table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_size") > 45).alias("obsolete")))
 
 
 @case("select doc_id, case when doc_id % 10 = 0 then 'rejected' when quality = 1 then 'accepted' else 'unreviewed' end as state, case when doc_id % 10 = 0 then 1 else 0 end as audited from labels")
 def n13_review(spark, sf):
     rows = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "accepted").otherwise("unreviewed").alias("state"))
-    reviews = rows.filter("doc_id % 10 = 0").select("doc_id", F.lit("rejected").alias("new"), F.lit(1).alias("audited"))
-    return rows.join(reviews, "doc_id", "left").select("doc_id", F.coalesce("new", "state").alias("state"), F.coalesce("audited", F.lit(0)).alias("audited"))
+    return annotate.reviewed(rows, rows.filter("doc_id % 10 = 0").select("doc_id", F.lit("rejected").alias("state")), "doc_id")
 
 
 @case("select d.doc_id from documents d left join (select doc_id, sha256(source) as h from documents where doc_id % 3 = 0) c on c.doc_id = d.doc_id and c.h = sha256(d.source || case when d.doc_id % 6 = 0 then 'x' else '' end) where c.doc_id is null")
@@ -381,7 +373,7 @@ def n14_pending_annotations(spark, sf):
     docs = table(spark, sf, "documents")
     cached = docs.filter("doc_id % 3 = 0").select("doc_id", F.sha2("source", 256).alias("h"))
     now = docs.select("doc_id", F.sha2(F.concat("source", F.when(F.col("doc_id") % 6 == 0, "x").otherwise("")), 256).alias("h"))
-    return now.join(cached, ["doc_id", "h"], "left_anti").select("doc_id")
+    return annotate.pending(now, cached, "doc_id", "h").select("doc_id")
 
 
 @case("with g as (select l_orderkey as id, list(l_partkey order by l_linenumber, l_partkey) as p, list(l_suppkey order by l_linenumber, l_suppkey) as s from lineitem group by 1) select id, array_to_string(case when id % 2 = 0 then p[1:3] end, ',') as candidates, array_to_string(p[1:5], ',') as features, array_to_string(s[1:2], ',') as pathways from g")
@@ -397,22 +389,20 @@ def n17_compact_evidence(spark, sf):
 @case("select id, accession, null::varchar as reviewer, 1 as version from (" + with_(NODES) + "select id, accession from nodes where id % 2 = 0) union all select id, accession, 'r', 2 from (" + with_(NODES) + "select id, accession from nodes where id % 2 = 1)")
 def d01_additive_columns(spark, sf):
     n = nodes(spark, sf).select("id", "accession")
-    old = n.filter("id % 2 = 0").withColumn("version", F.lit(1))
-    new = n.filter("id % 2 = 1").withColumns({"version": F.lit(2), "reviewer": F.lit("r")})
-    return new.unionByName(old, allowMissingColumns=True).select("id", "accession", "reviewer", "version")
+    new = n.filter("id % 2 = 1").select("id", "accession", F.lit("r").alias("reviewer"), F.lit(2).alias("version"))
+    return release.add_columns(n.filter("id % 2 = 0").withColumn("version", F.lit(1)), new)
 
 
 @case("select o_orderkey, coalesce(l.price, o_totalprice) as price from orders left join (select l_orderkey, round(sum(l_extendedprice), 2) as price from lineitem where l_linenumber <= 2 group by 1) l on l_orderkey = o_orderkey")
 def d05_update_from(spark, sf):
-    l = table(spark, sf, "lineitem").filter("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("price"))  # noqa: E741
-    return table(spark, sf, "orders").join(l, "o_orderkey", "left").select("o_orderkey", F.coalesce("price", "o_totalprice").alias("price"))
+    sums = table(spark, sf, "lineitem").filter("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("price"))
+    return release.update_from(table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price")), sums, ["o_orderkey"], "price")
 
 
 @case("with a as (select p_partkey as id, p_name, p_size from part), b as (select p_partkey as id, p_name, case when p_partkey % 97 = 0 then p_size + 1 else p_size end as p_size from part) select a.id from a join b using (id) where a.p_name <> b.p_name or a.p_size <> b.p_size")
 def d06_artifact_mismatch(spark, sf):
     a = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_size")
-    b = a.select("id", F.col("p_name").alias("n"), F.when(F.col("id") % 97 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("s"))
-    return a.join(b, "id").filter(~(F.col("p_name").eqNullSafe(F.col("n")) & F.col("p_size").eqNullSafe(F.col("s")))).select("id")
+    return release.mismatches(a, a.withColumn("p_size", F.when(F.col("id") % 97 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))), ["id"], ["p_name", "p_size"])
 
 
 @case("select o_custkey as run, o_orderkey as companion from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT') where r = 1")
@@ -435,8 +425,7 @@ def d18_dependency_hash(spark, sf):
 
 @case("select event_id, case when value is null or not isfinite(value) then 'quarantine' when value < 0 then 'quarantine' else 'accept' end as route from events")
 def r03_input_validation(spark, sf):
-    good = matrix.finite(F.col("value")) & (F.col("value") >= 0)
-    return table(spark, sf, "events").select("event_id", F.when(F.coalesce(good, F.lit(False)), "accept").otherwise("quarantine").alias("route"))
+    return release.routed(table(spark, sf, "events"), matrix.finite(F.col("value")) & (F.col("value") >= 0)).select("event_id", "route")
 
 
 @case("select (row_number() over (order by o_orderkey) - 1) // 1000 as page, o_orderkey from orders where o_orderkey > 2500")

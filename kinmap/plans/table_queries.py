@@ -569,10 +569,10 @@ def f22_finite_everywhere(spark, sf):
     return matrix.finite_everywhere(_matrix(spark, sf), 4)
 
 
-@case("with h as (select p_brand || p_size as dataset, md5(p_name) as h from part), bad as (select distinct x.dataset from h x join h y on x.h = y.h and x.dataset <> y.dataset) select distinct dataset from h where dataset not in (select dataset from bad)")
+@case("with h as (select c_custkey as dataset, md5(floor(c_acctbal)::bigint::varchar) as h from customer), bad as (select distinct x.dataset from h x join h y on x.h = y.h and x.dataset <> y.dataset) select distinct dataset from h where dataset not in (select dataset from bad)")
 def f23_shared_profile_drop(spark, sf):
-    """Datasets none of whose profiles is another's; a dataset is a brand and size."""
-    rows = table(spark, sf, "part").select(F.concat("p_brand", F.col("p_size").cast("string")).alias("dataset"), F.md5("p_name").alias("h"))
+    """Datasets none of whose profiles is another's; a dataset is a customer, its profile the whole units of a balance."""
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("dataset"), F.md5(F.floor("c_acctbal").cast("string").cast("binary")).alias("h"))
     return overlap.unshared(rows, "dataset", "h")
 
 

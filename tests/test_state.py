@@ -192,6 +192,14 @@ def test_profiles_and_signatures_are_bound(spark, tmp_path):
     assert made == sinks.npz_bytes({"a": np.eye(2), "b": np.arange(3)}) and np.load(io.BytesIO(made))["b"].tolist() == [0, 1, 2]
 
 
+def test_dependencies_have_one_fingerprint():
+    one = sinks.Dependencies("a.b-1", {"x": "0" * 64, "y": "1" * 64}, {"f/g": "2" * 64}, {"k": 1})
+    assert one.fingerprint() == sinks.Dependencies("a.b-1", {"y": "1" * 64, "x": "0" * 64}, {"f/g": "2" * 64}, {"k": 1}).fingerprint() != sinks.Dependencies("a.b-1", {}).fingerprint()
+    for bad in (("a..b", {}), ("a/b", {}), ("a", {"x": "zz"}), ("a", {}, {"../f": "2" * 64})):
+        with pytest.raises(ValueError):
+            sinks.Dependencies(*bad)
+
+
 def test_report_leaves_out_what_is_done(tmp_path):
     calls = []
     for _ in range(2):
