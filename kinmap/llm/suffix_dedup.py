@@ -26,7 +26,8 @@ anchor; with it goes the text before it, backward, to the start of the anchor's
 Cases: a null text is empty. A text shorter than LENGTH stays as it is. A null doc_id comes before all others. Rows with
 one doc_id and different texts are different documents, ordered by a hash of the text; wholly repeated rows are one
 document, given back as often as it came. An empty table gives an empty result. Texts that lose bytes inside a
-character keep its other bytes (kept is binary). Other columns aren't read.
+character keep its other bytes (kept is binary). Other columns aren't read. A text of any length is read whole, in
+segments of SEGMENT bytes that overlap by a window.
 """
 
 from __future__ import annotations
@@ -150,6 +151,7 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 _BLOCK = "part int, kind int, payload binary"
+_ANSWER = "doc_no long, rank int, run boolean"
 _SPANS = T.ArrayType(T.StructType().add("begin", "long").add("end", "long"))
 
 
@@ -204,13 +206,19 @@ def _runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_no, rank) of the anchors whose seed occurs again."""
-    names, asked = ["doc_no", "rank"], []
+    """(doc_no, rank, run) of the anchors whose seed occurs again; run marks one of those of a block, so that a seed has
+    as many marks as the runs that its suffixes go into."""
+    asked = []
+
+    def rows(number: np.ndarray, rank: np.ndarray, run: bool) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(number), 500_000):
+            own = slice(a, a + 500_000)
+            yield pa.RecordBatch.from_arrays([pa.array(number[own]), pa.array(rank[own].astype(np.int32)), pa.array(np.full(len(number[own]), run))], ["doc_no", "rank", "run"])
+
     for batch in batches:
         for kind, payload in zip(column(batch, "kind").to_pylist(), column(batch, "payload").to_pylist(), strict=True):
             if kind == 1:
-                number, rank = _unpack(payload, "<i8", "<u4")
-                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(rank.astype(np.int32))], names)
+                yield from rows(*_unpack(payload, "<i8", "<u4"), False)
             else:
                 docs, counts, short, rank, known = _unpack(payload, "<i8", "<u4", "<u4", "<u4", "u1")
                 asked.append((np.repeat(docs, counts), short, rank, known))
@@ -219,10 +227,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number, short, rank, known = (np.concatenate(x) for x in zip(*asked, strict=True))
     order = np.argsort(short, kind="stable")
     same = short[order][1:] == short[order][:-1]
-    hit = order[(np.concatenate([[False], same]) | np.concatenate([same, [False]])) & (known[order] == 0)]
-    for a in range(0, len(hit), 500_000):
-        own = hit[a : a + 500_000]
-        yield pa.RecordBatch.from_arrays([pa.array(number[own]), pa.array(rank[own].astype(np.int32))], names)
+    hit = order[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (known[order] != 0)]
+    yield from rows(number[hit], rank[hit], True)
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -342,12 +348,12 @@ def _seeds(length: int, seed: int):
 def splitters(texts: DataFrame, again: DataFrame, parts: int, length: int, seed: int) -> list[bytes]:
     """At most parts - 1 seeds in order, which cut the suffixes to be sorted into ranges of about one size.
 
-    They come from a sample of SAMPLED anchors a range, by hash; names of that many are broadcast, so that no text is
-    exchanged for it, and their seeds reach the driver.
+    They come from a sample, by hash, of SAMPLED of the marked anchors (a seed and run each) a range; names of that many
+    are broadcast, so that no text is exchanged for it, and their seeds reach the driver.
     """
-    total = again.agg(F.sum(F.size("ranks"))).first()[0] or 0
+    total = again.agg(F.sum(F.size("runs"))).first()[0] or 0
     below = int((1 << 40) * min(1.0, SAMPLED * parts / max(total, 1)))
-    drawn = again.select("doc_no", F.filter("ranks", lambda r: F.pmod(F.xxhash64("doc_no", r), F.lit(1 << 40)) < below).alias("ranks")).filter(F.size("ranks") > 0)
+    drawn = again.select("doc_no", F.filter("runs", lambda r: F.pmod(F.xxhash64("doc_no", r), F.lit(1 << 40)) < below).alias("ranks")).filter(F.size("ranks") > 0)
     sample = sorted(bytes(r["seed"]) for r in texts.join(F.broadcast(drawn), "doc_no").mapInArrow(_seeds(length, seed), "seed binary").collect())
     return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
 
@@ -534,7 +540,7 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), length: int = LE
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
     texts = rows.select(F.col("_doc_no").alias("doc_no"), "text")
     asked = texts.filter(F.length("text") >= length).mapInArrow(_ask(n, length, seed), _BLOCK).repartitionById(n, "part")
-    again = asked.mapInArrow(_answer, "doc_no long, rank int").groupBy("doc_no").agg(F.collect_set("rank").alias("ranks"))
+    again = asked.mapInArrow(_answer, _ANSWER).groupBy("doc_no").agg(F.collect_set("rank").alias("ranks"), F.collect_set(F.when(F.col("run"), F.col("rank"))).alias("runs"))
     again = scratch.save(again, "again", "zstd")
     free_shuffles(spark)
     cuts_at = splitters(texts, again, n, length, seed)

@@ -120,7 +120,7 @@ def test_ranges_hold_one_sorted_array_one_after_another(spark):
     texts = spark.createDataFrame(rows, "doc_no long, text string").withColumn("text", F.col("text").cast("binary"))
     n, length, seed = 6, 100, 36
     asked = texts.mapInArrow(suffix_dedup._ask(n, length, seed), suffix_dedup._BLOCK).repartitionById(n, "part")
-    again = asked.mapInArrow(suffix_dedup._answer, "doc_no long, rank int").groupBy("doc_no").agg(F.collect_set("rank").alias("ranks")).cache()
+    again = asked.mapInArrow(suffix_dedup._answer, suffix_dedup._ANSWER).groupBy("doc_no").agg(F.collect_set("rank").alias("ranks"), F.collect_set(F.when(F.col("run"), F.col("rank"))).alias("runs")).cache()
     cuts = suffix_dedup.splitters(texts, again, n, length, seed)
     assert cuts == sorted(set(cuts)) and 2 <= len(cuts) <= n - 1
     runs = texts.repartition(3).join(again, "doc_no").mapInArrow(suffix_dedup._send(cuts, length, seed), suffix_dedup._BLOCK).filter("kind = 0").collect()
