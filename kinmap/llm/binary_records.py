@@ -9,6 +9,7 @@ it in the shard (u64), for reads in any order. Shards hold ascending ranges of d
 
 Cases: a null text is written as the empty text, so only the end id. A null doc_id comes first. Rows with one doc_id
 keep the order of their texts. An empty table writes no shard and reads back empty. Other columns aren't read.
+A text of any length is one record, which a task holds once as text and once as ids.
 Every task writes under a name of its own and renames when done, so a task that is run again leaves the same file.
 """
 

@@ -2,6 +2,9 @@
 
 Each step is joins and partial minima, so a hub with many links is no larger task than any other; the edge table is
 written to the shared folder after each round. Rounds grow with the logarithm of the longest chain.
+
+Cases: a link with a null end, or of a node with itself, is none; repeated links count once; without links there is no
+node. Nodes that no link names aren't given back.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node in links (a, b); the component is its smallest node."""
-    edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")  # both skip nulls, which leaves one end twice
     mark = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

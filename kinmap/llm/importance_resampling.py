@@ -13,7 +13,8 @@ text, not the share).
 
 Cases: a null or empty text has no features, log ratio 0 and takes part like any other. Null ids are rows too. Equal
 sums (repeated rows with one id) are all kept at the boundary. Without labelled good rows every ratio is 0. An empty
-table gives an empty result. Of docs doc_id and text are read, of labels doc_id, quality and toxic.
+table gives an empty result. Of docs doc_id and text are read, of labels doc_id, quality and toxic. A text of any
+length is read whole, in one task.
 """
 
 from __future__ import annotations

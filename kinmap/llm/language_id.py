@@ -14,7 +14,8 @@ this is the documented bound of the fit. Prediction covers every row and whole t
 
 Cases: a null text, or one without a letter, gives `und` with score 0. A null doc_id gives held_out false and isn't
 learned from. Rows with a null lang aren't learned from. Without any row to learn from, all texts are `und`. Repeated
-rows are predicted alike; ties go to the language that sorts first; columns of other names aren't read.
+rows are predicted alike; ties go to the language that sorts first; columns of other names aren't read. A text of any
+length is scored whole, in blocks of its runs.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ class Lattice:
         root, unknown = _trie(path), len(load_pieces(path))
         self.n, self.size = len(words), max((len(w) for w in words), default=0) + 1
         self.ends = np.asarray([len(w) + 1 for w in words], dtype=np.int64)
-        which, spans, found = array("q"), array("q"), array("q")  # spans: place * (STRIDE + 1) + length
+        which, spans, found = array("i"), array("i"), array("i")  # spans: place * (STRIDE + 1) + length
         for w, word in enumerate(words):
             word = MARK + word
             n, before = len(word), len(found)
@@ -106,7 +107,7 @@ class Lattice:
                         spans.append(s * (STRIDE + 1) + e - s)
                         found.append(node[None])
             which.extend([w] * (len(found) - before))
-        spans, which, found = (np.asarray(x, dtype=np.int64) for x in (spans, which, found))
+        spans, which, found = (np.frombuffer(x, dtype=np.int32) if len(x) else np.zeros(0, np.int32) for x in (spans, which, found))
         order = np.argsort(spans, kind="stable")
         self.spans, self.which, self.found = spans[order], which[order], found[order]
         self.cuts = np.flatnonzero(np.concatenate([[True], self.spans[1:] != self.spans[:-1], [True]])) if len(spans) else np.zeros(1, np.int64)

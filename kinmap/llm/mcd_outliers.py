@@ -18,7 +18,8 @@ A 3-word window is compared by a 64-bit hash inside its own document only.
 
 Cases: a null or empty text has no words, fails the base rules, and is not kept. Null language and null source are
 values of their own. With no usable row, nothing but the base rules decides. Repeated rows and tied ids are judged
-row by row; other columns aren't read. An empty table gives an empty result.
+row by row; other columns aren't read. An empty table gives an empty result. A text of any length is one row's work,
+in arrays of its words and hashes.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ Members are 64-bit hashes of word runs.
 Cases: a null or empty text, or one of white space, has no members and links with nothing; its component is its own id.
 Fewer than WORDS words are one member, the whole sequence. Repeated rows are one class. Rows with one id and different
 texts are different documents that share their id. A null id is nobody's smallest id unless all of a component are
-null; then it is the component's id. An empty table gives an empty result. Other columns aren't read.
+null; then it is the component's id. An empty table gives an empty result. Other columns aren't read. A text of any
+length is read whole: its words are hashed in segments, its set is one task's at a time.
 """
 
 from __future__ import annotations

@@ -304,6 +304,33 @@ def test_slices_of_blank_texts(spark, text):
     assert {r["n_removed"] for r in suffix_dedup.digests(suffix_dedup.dedup(docs)).collect()} == {0}
 
 
+def test_very_long_texts(spark):
+    """A text of 10 MB and a run of 200,000 letters without a space, through every operator on texts."""
+    import public_tokenizers as P
+
+    from kinmap.llm import binary_records, byte_bpe, language_id, ngram_join, suffix_dedup
+
+    rng = np.random.default_rng(6)
+    words = np.asarray(["".join(rng.choice(list("abcdefghij"), rng.integers(3, 9))) for _ in range(5_000)])
+    long = " ".join(words[rng.integers(0, 5_000, 1_600_000)])
+    run = "".join(words[rng.integers(0, 5_000, 40_000)])
+    assert len(long) > 10_000_000 and len(run) > 200_000
+    texts = {1: long, 2: long + " more", 3: run, 4: "a short text in a table of long ones"}
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in texts.items()], "doc_id long, text string, lang string, source string").repartition(4, "doc_id")
+    base = {r["doc_id"]: (r["n_words"], r["word_chars"]) for r in mcd_outliers.base_statistics(docs).collect()}
+    assert base == {k: (len(t.split()), len(t) - t.count(" ")) for k, t in texts.items()}
+    ids = {r["doc_id"]: bytes(r["ids"]) for r in byte_bpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()}
+    code = byte_bpe.coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert all(code.decode(ids[k]) == t.encode() for k, t in texts.items())
+    records = {r["doc_id"]: r["n_tokens"] for r in binary_records.write_and_read(docs, P.path("word_bpe_49k.json"), 2).select("doc_id", "n_tokens").collect()}
+    assert records[2] > records[1] > 1_500_000
+    assert {r["lang_pred"] for r in language_id.learn_and_predict(docs, P.path("piece_bpe_32k.model")).collect()} <= {"en", "und"}
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    kept = {r["doc_id"]: r["n_bytes"] - r["n_removed"] for r in suffix_dedup.digests(suffix_dedup.dedup(docs)).collect()}
+    assert kept == {1: len(long), 2: 5, 3: len(run), 4: len(texts[4])}
+    assert importance_resampling.resample(docs.select("doc_id", "text"), spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")).count() == 4
+
+
 def test_resampling_threshold_and_odd_rows(spark):
     rng = np.random.default_rng(0)
     values = [*rng.normal(size=300).tolist(), *[0.25] * 50, 1e6, -1e6]
