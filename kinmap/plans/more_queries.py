@@ -434,7 +434,7 @@ def r05_cursor_pages(spark, sf):
     return stats.ranked(rows, "o_orderkey", [], "n").select(F.expr("(n - 1) div 1000").alias("page"), "o_orderkey")
 
 
-@case()
+@case("with v as (select vec_id as id, embedding::double[] as v from embeddings) select x.id as a, y.id as b, round(pow(list_distance(x.v, y.v), 2), 6) as value from v x join v y on x.id < y.id")
 def x01_pluggable_metric(spark, sf):
     """Another metric in the same blocks: squared distance instead of cosine."""
     far = lambda x, y: (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
