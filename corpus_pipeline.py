@@ -12,17 +12,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmap.llm import byte_bpe, language_id, ngram_join, pfair_mixing, suffix_dedup
-from kinmap.llm.common import ROW, Scratch, packed, unpacked, width
+from kinmap.llm.common import ROW, Scratch, width
 
 #: A document whose language is not at least this sure is rejected; so is one without a letter.
 LEAST_SCORE = 0.5
 
 
+def beside_text(docs: DataFrame) -> Column:
+    """All columns but the text in the one struct ROW, so that no name clashes and the text is carried once."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(ROW)
+
+
+def with_text(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The columns of ROW, and a column of rows as the text."""
+    return rows.select(*[(F.col(text) if c == "text" else F.col(ROW).getField(c)).alias(c) for c in columns])
+
+
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows that aren't held out; what has no language, or no sure one, goes."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    out = language_id.learn_and_predict(packed(docs, "doc_id", "lang", "text"), path, keep=(ROW,), out=("lang_pred", "score"))
-    return unpacked(out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns)
+    rows = docs.select(beside_text(docs), "doc_id", "lang", "text")
+    out = language_id.learn_and_predict(rows, path, keep=(ROW, "text"), out=("lang_pred", "score"))
+    return with_text(out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns, "text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose what an earlier text, or an earlier part of them, has already; no document goes."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(ROW), "doc_id", "text")
-    out = suffix_dedup.dedup(rows, keep=(ROW,), as_text=True)
-    columns = {c: F.col(ROW).getField(c) for c in docs.columns if c != "text"} | {"text": F.col("kept")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[columns[c].alias(c) for c in docs.columns])
+    out = with_text(suffix_dedup.dedup(docs.select(beside_text(docs), "doc_id", "text"), keep=(ROW,), as_text=True), docs.columns, "kept")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +69,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     out = byte_bpe.encode(rows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_decoded=True, keep=(ROW,))
     hashes = (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     out = out.select(F.col(ROW)["place"].alias("mix_position"), F.col(ROW)["doc_id"].alias("doc_id"), "ids", *hashes)
+    out = Scratch(spark, "encoded").save(out, "rows", "zstd")  # ranges are sampled first, which would encode all twice
     return out.repartitionByRange(width(spark), "mix_position").sortWithinPartitions("mix_position")
 
 
