@@ -51,7 +51,7 @@ def benjamini_hochberg(pairs: DataFrame, p: str, q: str, by: tuple[str, ...] = (
     """
     keys = list(by)
     counted = pairs.filter(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
-    counted = counted.withColumn("_bin", F.when(F.col("_p") <= 0, -1_000_000).otherwise(-F.floor(-F.log("_p") * 32)).cast("long"))
+    counted = cut(counted.withColumn("_bin", F.when(F.col("_p") <= 0, -1_000_000).otherwise(-F.floor(-F.log("_p") * 32)).cast("long")))
     bins = counted.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_n"))
     up = Window.partitionBy(*keys).orderBy("_bin")
     bins = bins.withColumn("_before", F.sum("_n").over(up) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
@@ -65,7 +65,7 @@ def benjamini_hochberg(pairs: DataFrame, p: str, q: str, by: tuple[str, ...] = (
         return rows.join(other, same).drop(*[f"_m{n}" for n in range(len(match))])
 
     ranked = beside(counted, bins, ["_before", "_all"]).withColumn("_rank", F.col("_before") + F.sum("_c").over(inside))
-    ranked = ranked.withColumn("_raw", F.col("_p") * F.col("_all") / F.col("_rank"))
+    ranked = cut(ranked.withColumn("_raw", F.col("_p") * F.col("_all") / F.col("_rank")))  # read twice below
     least = ranked.groupBy(*match).agg(F.min("_raw").alias("_least"))
     down = Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     least = least.withColumn("_after", F.min("_least").over(down)).select(*match, "_after")

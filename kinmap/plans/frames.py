@@ -66,6 +66,7 @@ def null_profiles(pairs: DataFrame) -> DataFrame:
 
 def with_p(pairs: DataFrame) -> DataFrame:
     """p: the larger of the two lower tails at the endpoints' profiles."""
+    pairs = cut(pairs)  # read by the profiles and again
     profile = null_profiles(pairs)
     side = lambda s: profile.select(F.col("id").alias(s), F.col("mu").alias("mu" + s), F.greatest("sigma", F.lit(1e-12)).alias("sigma" + s))
     z = lambda s: (F.col("score") - F.col("mu" + s)) / F.col("sigma" + s)
