@@ -331,10 +331,13 @@ def g11_dataset_detail(spark, sf):
 # --- annotations ----------------------------------------------------------------------------------------------------
 
 
-@case()
+@case("""with d as (select doc_id, text as src, lower(text) as low, lower(substr(text, 20, 8)) as quote from documents),
+f as (select doc_id, src, quote, list_filter(range(0, length(src)), lambda i: substr(src, i + 1, length(quote)) = quote) as exact, list_filter(range(0, length(src)), lambda i: substr(low, i + 1, length(quote)) = lower(quote)) as blind from d)
+select doc_id, (case when substr(src, 16, length(quote)) = quote then 15 when len(exact) > 0 then list_sort(list_transform(exact, lambda i: {'d': abs(i - 15), 'i': i}))[1].i
+  when len(blind) > 0 then list_sort(list_transform(blind, lambda i: {'d': abs(i - 15), 'i': i}))[1].i end)::int as start from f""")
 def n04_span_grounding(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("src"))
-    rows = docs.withColumn("quote", F.upper(F.substring("src", 20, 8))).withColumn("at", F.lit(15))
+    rows = docs.withColumn("quote", F.lower(F.substring("src", 20, 8))).withColumn("at", F.lit(15))
     return rows.select("doc_id", annotate.ground(F.col("src"), F.col("at"), F.col("quote")).alias("start"))
 
 
