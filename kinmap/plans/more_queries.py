@@ -220,11 +220,11 @@ def c31_prompt_text(spark, sf):
 # --- kernels as compositions ----------------------------------------------------------------------------------------
 
 
-@case()
+@case("select vec_id, label from embeddings order by sha256('pool-11|' || vec_id) limit 200")
 def m09_pool(spark, sf):
-    """At most 200 rows of the corpus by a seeded hash."""
-    rows = table(spark, sf, "embeddings")
-    return rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(200).select("vec_id", "label")
+    """A pool of 200 rows of the corpus, the first in the order of a seeded hash."""
+    draw = F.sha2(F.concat(F.lit("pool-11|"), F.col("vec_id").cast("string")), 256)
+    return table(spark, sf, "embeddings").orderBy(draw).limit(200).select("vec_id", "label")
 
 
 @case()
