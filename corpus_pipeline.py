@@ -58,8 +58,10 @@ def stored_place(docs: DataFrame) -> Column:
         docs.select("_metadata.row_index", "_metadata.file_name").schema  # noqa: B018
     except AnalysisException:
         return F.lit(None).cast("long")
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
-    return F.shiftleft(F.when(part != "", part).otherwise("0").cast("long"), 40) + F.col("_metadata.row_index")
+    name = F.col("_metadata.file_name")
+    # a task's number, and the number of its file where it wrote several
+    task, nth = (F.coalesce(F.nullif(F.regexp_extract(name, p, 1), F.lit("")), F.lit("0")).cast("long") for p in (r"^part-(\d+)", r"-c(\d+)\."))
+    return F.shiftleft(task, 44) + F.shiftleft(nth, 32) + F.col("_metadata.row_index")
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
