@@ -10,13 +10,14 @@ def finite(value: Column) -> Column:
     return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
 
 
-def align(matrix: DataFrame, features: DataFrame) -> DataFrame:
+def align(matrix: DataFrame, features: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """(dataset, sample, feature, value) of every frozen feature and every sample there is; null where it is missing.
 
-    features: feature, and is joined in its own order elsewhere. Of repeated cells the smallest row number stays.
+    features: feature, and is joined in its own order elsewhere. Of repeated cells that have a value the smallest row
+    number stays and, of one row number, the first by the columns `ties`.
     """
-    first = Window.partitionBy("dataset", "sample", "feature").orderBy("row")
-    cells = matrix.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("dataset", "sample", "feature", "value")
+    there = matrix.filter(F.col("value").isNotNull() & F.col("row").isNotNull())
+    cells = there.groupBy("dataset", "sample", "feature").agg(F.min_by("value", F.struct("row", *ties)).alias("value"))
     grid = matrix.select("dataset", "sample").distinct().crossJoin(features.select("feature"))
     return grid.join(cells, ["dataset", "sample", "feature"], "left")
 

@@ -470,3 +470,26 @@ def test_ranked_equals_one_window(spark):
     out = {r["i"]: r["n"] for r in stats.ranked(spark.createDataFrame(rows, "v double, i int"), "v", ["i"], "n", bins=7).collect()}
     assert out == {i: n for n, (_, i) in enumerate(sorted(rows), 1)}
     assert stats.ranked(spark.createDataFrame([], "v double"), "v", [], "n").count() == 0
+
+
+def test_alignment_keeps_the_cell_stored_first(spark, tmp_path, sf):
+    import duckdb
+
+    rows = spark.createDataFrame([(7, 2, 3, 1, q) for q in (1.0, 2.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    path = tmp_path / "lineitem.parquet"
+    path.mkdir()
+    # the second file is the larger, so it is read first
+    more = spark.range(20_000).selectExpr("id + 100 as l_orderkey", "2l as l_partkey", "3l as l_suppkey", "1 as l_linenumber", "rand(1) as l_quantity")
+    for name, part in (("a", rows.filter("l_quantity = 2")), ("b", rows.filter("l_quantity = 1").union(more))):
+        part.toPandas().to_parquet(path / f"{name}.parquet", index=False)
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"create view lineitem as select * from '{path}/*.parquet'")
+    want = con.execute("select value from (" + table_queries.S["f21_alignment"] + ") where sample = 7 and feature = 2").fetchall()
+    got = table_queries.Q["f21_alignment"](spark, str(tmp_path)).filter("sample = 7 and feature = 2").collect()
+    assert [r["value"] for r in got] == [v for (v,) in want] == [2.0]
+
+
+def test_alignment_passes_over_cells_without_a_value(spark):
+    cells = spark.createDataFrame([(1, 1, 5, 1, None), (1, 1, 5, 2, 4.0)], "dataset int, sample int, feature long, row int, value double")
+    out = matrix.align(cells, spark.createDataFrame([(5,), (6,)], "feature long")).collect()
+    assert {r["feature"]: r["value"] for r in out} == {5: 4.0, 6: None}
