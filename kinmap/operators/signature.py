@@ -34,23 +34,40 @@ def standardise(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.nan_to_num(centred / np.where((sd > 0) & np.isfinite(sd), sd, 1.0), nan=0.0, posinf=0.0, neginf=0.0)
 
 
+def _count(values: np.ndarray, n: int, share: float, least: int, most: int | None) -> int:
+    """How many axes hold the share, of descending eigenvalues that sum to n or less."""
+    rank = max(1, int((values > values[0] * 1e-12).sum()) if values[0] > 0 else 1)
+    c = int(np.searchsorted(np.cumsum(values), share * n - 1e-9) + 1)
+    return max(least, min(c, rank, most or rank))
+
+
+def _weights(values: np.ndarray, n: int, share: float) -> np.ndarray:
+    total = values.sum()
+    return (values / total if total > 0 and np.isfinite(total) else np.full(len(values), 1.0 / len(values))) * share * n
+
+
+def fit_correlation(r: np.ndarray, share: float = 0.5, least: int = 1, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """fit() from the correlations of the features alone, whatever the number of samples."""
+    values, vectors = np.linalg.eigh(r)
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+    c = _count(values, len(r), share, least, most)
+    return vectors[:, :c], _weights(values[:c], len(r), share)
+
+
 def fit(x: np.ndarray, share: float = 0.5, seed: int = 0, least: int = 1, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(orthonormal loadings, weights that sum to share * features): the fewest axes that hold that share of variance.
 
-    The axes come from the samples' Gram matrix, which is far smaller than the features' covariance.
+    The axes come from the samples' Gram matrix or from the features' covariance, whichever is the smaller.
     """
     z = standardise(x, np.random.default_rng(seed))
     m, n = z.shape
+    if n < m:
+        return fit_correlation(z.T @ z / (m - 1), share, least, most)
     values, vectors = np.linalg.eigh(z @ z.T)
     values, vectors = np.maximum(values[::-1], 0.0) / max(1, m - 1), vectors[:, ::-1]
-    rank = max(1, int((values > values[0] * 1e-12).sum()) if values[0] > 0 else 1)
-    c = int(np.searchsorted(np.cumsum(values), share * n - 1e-9) + 1)
-    c = max(least, min(c, rank, most or rank))
-    axes = z.T @ vectors[:, :c]
-    axes, r = np.linalg.qr(axes)
-    weights = values[:c]
-    total = weights.sum()
-    return axes, (weights / total if total > 0 and np.isfinite(total) else np.full(c, 1.0 / c)) * share * n
+    c = _count(values, n, share, least, most)
+    axes, _ = np.linalg.qr(z.T @ vectors[:, :c])
+    return axes, _weights(values[:c], n, share)
 
 
 def distance(p: np.ndarray, lp: np.ndarray, q: np.ndarray, lq: np.ndarray, share: float) -> float:
@@ -60,15 +77,97 @@ def distance(p: np.ndarray, lp: np.ndarray, q: np.ndarray, lq: np.ndarray, share
     return max(0.0, (2 * share * n - float(lp @ s.sum(axis=1) + s.sum(axis=0) @ lq)) / (2 * (1 - share)))
 
 
+_PARTIAL = "n long, dim int, mean binary, m2 binary"
+
+
+def merged(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, mean, centred second moments) of parts that have the same each."""
+    n, mean, m2 = parts[0]
+    for k, other, more in parts[1:]:
+        step = other - mean
+        m2 = m2 + more + np.outer(step, step) * (n * k / (n + k))
+        n, mean = n + k, mean + step * (k / (n + k))
+    return n, mean, m2
+
+
+def _moments(x: np.ndarray, count: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """The same of rows, each as often as its count says."""
+    n = len(x) if count is None else int(count.sum())
+    mean = x.mean(axis=0) if count is None else count @ x / n
+    x = x - mean
+    return n, mean, x.T @ (x if count is None else x * count[:, None])
+
+
+def _packed_moments(n: int, mean: np.ndarray, m2: np.ndarray) -> dict:
+    return {"n": [n], "dim": [len(mean)], "mean": [mean.astype("<f8").tobytes()], "m2": [m2[np.triu_indices(len(mean))].astype("<f8").tobytes()]}
+
+
+def _correlation(group: pd.DataFrame) -> tuple[int, np.ndarray | None]:
+    """(rows, correlations) from the partial moments of a group; None where a feature is flat or not finite."""
+    def read(r) -> tuple[int, np.ndarray, np.ndarray]:
+        half = np.zeros((r.dim, r.dim))
+        half[np.triu_indices(r.dim)] = np.frombuffer(r.m2, "<f8")
+        return int(r.n), np.frombuffer(r.mean, "<f8"), half + np.triu(half, 1).T
+
+    if group["dim"].nunique() > 1:
+        raise ValueError("vectors of different lengths")
+    n, _, m2 = merged([read(r) for r in group.sort_values(["n", "mean"]).itertuples()])
+    sd = np.sqrt(np.diag(m2) / max(1, n - 1))
+    if not (np.isfinite(m2).all() and (sd * sd > 1e-7).all()):
+        return n, None
+    return n, m2 / max(1, n - 1) / np.outer(sd, sd)
+
+
+#: Datasets whose moments a task holds before it hands them on.
+_HELD = 64
+
+
+def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for d, parts in held.items():
+            yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int64())} | {k: pa.array(v, t) for (k, v), t in zip(_packed_moments(*merged(parts)).items(), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+        held.clear()
+
+    for batch in batches:
+        names, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        lengths = np.diff(vectors.offsets.to_numpy())
+        if len(lengths) and (lengths != lengths[0]).any():
+            raise ValueError("vectors of different lengths")
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
+        for d in np.unique(names):
+            if d not in held and len(held) >= _HELD:
+                yield from out()
+            held[d] = [merged([*held.get(d, []), _moments(x[names == d])])]
+    yield from out()
+
+
 def signatures(rows: DataFrame, dataset: str, vector: str, share: float = 0.5) -> DataFrame:
-    """One row a dataset; each is fitted in one task. rows: a sample each, with an array in frozen feature order."""
+    """One row a dataset. rows: a sample each, with an array in frozen feature order.
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
+    A dataset with more samples than features is fitted from moments, summed where its rows are. One with fewer, with a
+    flat feature or with values that aren't finite is fitted whole in one task.
+    """
+    rows = rows.select(F.col(dataset).cast("long").alias("d"), F.col(vector).cast("array<double>").alias("v"))
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
         x = np.asarray(sorted(map(tuple, group["v"])))
         p, lam = fit(x, share, seed_of(group["d"].iloc[0]))
         return pd.DataFrame({"dataset": [int(group["d"].iloc[0])], "loadings": [[c.tolist() for c in p.T]], "weights": [lam.tolist()], "features": [x.shape[1]], "samples": [len(x)], "share": [share]})
 
-    return rows.select(F.col(dataset).cast("long").alias("d"), F.col(vector).cast("array<double>").alias("v")).groupBy("d").applyInPandas(one, SCHEMA)
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        n, r = _correlation(group)
+        if r is None:
+            return pd.DataFrame({"dataset": [], "loadings": [], "weights": [], "features": [], "samples": [], "share": []}, dtype=object)
+        p, lam = fit_correlation(r, share)
+        return pd.DataFrame({"dataset": [int(group["d"].iloc[0])], "loadings": [[c.tolist() for c in p.T]], "weights": [lam.tolist()], "features": [len(r)], "samples": [n], "share": [share]})
+
+    tall = rows.filter("d is not null and v is not null").groupBy("d").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).filter("n > dim and dim > 0").select("d")
+    partial = rows.join(tall, "d", "left_semi").filter("v is not null").mapInArrow(_partial_moments, f"d long, {_PARTIAL}")
+    done = cut(partial.groupBy("d").applyInPandas(summed, SCHEMA))
+    rest = rows.join(done.select("dataset"), rows["d"].eqNullSafe(F.col("dataset")), "left_anti")
+    return done.unionByName(rest.groupBy("d").applyInPandas(whole, SCHEMA))
 
 
 def packed(sig: DataFrame, per_block: int = 32) -> DataFrame:
@@ -156,30 +255,76 @@ def covering(grid: Column, size: Column) -> Column:
     return F.when(inside, grid).otherwise(F.raise_error(F.concat(F.lit("sample count outside the size grid: "), size.cast("string"))))
 
 
+#: Parts of a pool whose moments are taken apart at least, and draws' places that a part has at most, about.
+_RANGES, _PLACES = 16, 4_000_000
+_BANK = "size int, draw int, loadings array<array<double>>, weights array<double>, features int"
+
+
 def null_bank(pool: DataFrame, vector: str, sizes: list[int], draws: int = 100, share: float = 0.5, seed: int = 7) -> DataFrame:
     """(size, draw, loadings, weights, features): signatures of `draws` samples, with replacement, of each size from the pool.
 
     pool: any number of rows, a vector each; rows are numbered in the order of a hash of the vector, and place i of a
-    draw takes the row whose number a hash of (seed, size, draw, i) gives, so a bank is the same wherever it is made. A
-    task holds one draw.
+    draw takes the row whose number a hash of (seed, size, draw, i) gives, so a bank is the same wherever it is made.
+    Draws of more rows than there are features are fitted from moments: parts of the pool sum up what each draw has of
+    them, so rows aren't sent once a draw. Smaller ones, and those with a flat feature or values that aren't finite,
+    are fitted whole, a draw to a task.
     """
     spark = pool.sparkSession
     keyed = pool.select(F.col(vector).cast("array<double>").alias("v")).withColumn("h", F.xxhash64("v"))
     numbered = cut(stats.ranked(keyed.withColumn("h", F.col("h").cast("double")), "h", ["v"], "number"))
-    n = numbered.count()
+    n, dim = numbered.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         raise ValueError("the pool is empty")
-    wanted = spark.createDataFrame([(int(x),) for x in sorted(set(sizes))], "size int")
-    wanted = wanted.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
-    wanted = wanted.withColumn("number", F.pmod(F.xxhash64("size", "draw", "place", F.lit(seed)), F.lit(n)) + 1)
+    sizes, dim = sorted({int(x) for x in sizes}), dim or 0
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
+    def places(of: list[int]) -> DataFrame:
+        wanted = spark.createDataFrame([(x,) for x in of], "size int").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "size", "draw")
+        wanted = wanted.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+        return wanted.withColumn("number", F.pmod(F.xxhash64("size", "draw", "place", F.lit(seed)), F.lit(n)) + 1)
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place")
         x = np.stack(group["v"].to_numpy())
         p, lam = fit(x, share, seed)
         return pd.DataFrame({"size": [group["size"].iloc[0]], "draw": [group["draw"].iloc[0]], "loadings": [[c.tolist() for c in p.T]], "weights": [lam.tolist()], "features": [x.shape[1]]})
 
-    return wanted.join(numbered.select("number", "v"), "number").groupBy("size", "draw").applyInPandas(one, "size int, draw int, loadings array<array<double>>, weights array<double>, features int")
+    def from_rows(wanted: DataFrame) -> DataFrame:
+        return wanted.join(numbered.select("number", "v"), "number").groupBy("size", "draw").applyInPandas(whole, _BANK)
+
+    tall = [x for x in sizes if x > dim > 0]
+    if not tall:
+        return from_rows(places(sizes))
+    ranges = max(_RANGES, -(-draws * sum(tall) // _PLACES))
+    part = lambda number: F.floor((F.col(number) - 1) * ranges / n).cast("int").alias("part")
+
+    def count(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(wanted):
+            return pd.DataFrame({"size": [], "draw": [], "n": [], "dim": [], "mean": [], "m2": []}, dtype=object)
+        rows = rows.sort_values("number")
+        x, at = np.stack(rows["v"].to_numpy()).astype(float), rows["number"].to_numpy()
+        wanted = wanted.sort_values(["size", "draw"])
+        size, draw, number = (wanted[c].to_numpy() for c in ("size", "draw", "number"))
+        starts = np.flatnonzero(np.r_[True, (np.diff(size) != 0) | (np.diff(draw) != 0)])
+        out = []
+        for start, stop in zip(starts, np.r_[starts[1:], len(size)], strict=True):
+            own, often = np.unique(np.searchsorted(at, number[start:stop]), return_counts=True)
+            out.append(pd.DataFrame({"size": [size[start]], "draw": [draw[start]]} | _packed_moments(*_moments(x[own], often.astype(float)))))
+        return pd.concat(out)
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        _, r = _correlation(group)
+        if r is None:
+            return pd.DataFrame({"size": [], "draw": [], "loadings": [], "weights": [], "features": []}, dtype=object)
+        p, lam = fit_correlation(r, share)
+        return pd.DataFrame({"size": [group["size"].iloc[0]], "draw": [group["draw"].iloc[0]], "loadings": [[c.tolist() for c in p.T]], "weights": [lam.tolist()], "features": [len(r)]})
+
+    left, right = numbered.select("number", "v", part("number")), places(tall).select("size", "draw", "number", part("number"))
+    parts = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(count, f"size int, draw int, {_PARTIAL}")
+    done = cut(parts.groupBy("size", "draw").applyInPandas(summed, _BANK))
+    if done.count() < len(tall) * draws:
+        return done.unionByName(from_rows(places(sizes).join(done.select("size", "draw"), ["size", "draw"], "left_anti")))
+    short = [x for x in sizes if x not in tall]
+    return done.unionByName(from_rows(places(short))) if short else done
 
 
 def packed_bank(bank: DataFrame, per_block: int = 16) -> DataFrame:

@@ -493,3 +493,42 @@ def test_alignment_passes_over_cells_without_a_value(spark):
     cells = spark.createDataFrame([(1, 1, 5, 1, None), (1, 1, 5, 2, 4.0)], "dataset int, sample int, feature long, row int, value double")
     out = matrix.align(cells, spark.createDataFrame([(5,), (6,)], "feature long")).collect()
     assert {r["feature"]: r["value"] for r in out} == {5: 4.0, 6: None}
+
+
+def test_signatures_of_many_samples_by_moments(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = {d: rng.normal(size=(n, 6)) @ rng.normal(size=(6, 6)) + 1000 * rng.normal(size=6) for d, n in ((1, 300), (2, 40), (3, 4))}
+    x[4] = np.concatenate([x[1][:50], np.full((50, 1), 3.0)], axis=1)[:, 1:]  # a flat feature
+    x[5] = x[1][:60].copy()
+    x[5][3, 2] = np.nan
+    rows = spark.createDataFrame([(d, r.tolist()) for d, m in x.items() for r in m], "d int, v array<double>").repartition(5)
+    got = {r["dataset"]: r for r in signature.signatures(rows, "d", "v").collect()}
+    assert sorted(got) == sorted(x)
+    for d, m in x.items():
+        axes, weights = signature.fit(np.asarray(sorted(map(tuple, m))), 0.5, signature.seed_of(d))
+        assert got[d]["samples"] == len(m) and np.allclose(got[d]["weights"], weights, atol=1e-6)
+        assert d == 4 or np.allclose(np.abs(np.asarray(got[d]["loadings"]) @ axes), np.eye(len(weights)), atol=1e-6)
+    sizes, solve = [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda m: sizes.append(len(m)) or solve(m))
+    signature.fit(x[1])
+    assert sizes == [6]
+
+
+def test_null_bank_of_large_draws_equals_their_rows(spark):
+    from pyspark.sql import Window
+
+    rng = np.random.default_rng(12)
+    pool = (rng.normal(size=(90, 5)) + [0, 1, 100, 1e4, 0]).tolist()
+    table = spark.createDataFrame([(v,) for v in pool], "v array<double>")
+    bank = {(r["size"], r["draw"]): r for r in signature.null_bank(table, "v", [3, 40, 130], draws=4).collect()}
+    assert len(bank) == 12
+    hashed = table.withColumn("h", F.xxhash64("v").cast("double")).withColumn("n", F.row_number().over(Window.orderBy("h", "v")))
+    own = {r["n"]: r["v"] for r in hashed.collect()}
+    places = spark.range(130).select(F.explode(F.array(*[F.lit(x) for x in (3, 40, 130)])).alias("size"), F.col("id").cast("int").alias("place")).filter("place < size")
+    places = places.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("n", F.pmod(F.xxhash64("size", "draw", "place", F.lit(7)), F.lit(90)) + 1)
+    drawn = {}
+    for r in places.orderBy("place").collect():
+        drawn.setdefault((r["size"], r["draw"]), []).append(own[r["n"]])
+    for key, rows in drawn.items():
+        axes, weights = signature.fit(np.asarray(rows), 0.5, 7)
+        assert np.allclose(bank[key]["weights"], weights) and np.allclose(np.abs(np.asarray(bank[key]["loadings"]) @ axes), np.eye(len(weights)), atol=1e-6)
