@@ -532,3 +532,49 @@ def test_null_bank_of_large_draws_equals_their_rows(spark):
     for key, rows in drawn.items():
         axes, weights = signature.fit(np.asarray(rows), 0.5, 7)
         assert np.allclose(bank[key]["weights"], weights) and np.allclose(np.abs(np.asarray(bank[key]["loadings"]) @ axes), np.eye(len(weights)), atol=1e-6)
+
+
+def test_pairs_are_dealt_by_few_blocks_and_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.normal(size=4).tolist() for i in range(60)}
+    df = spark.createDataFrame(list(vectors.items()), "id long, v array<double>")
+    monkeypatch.setattr(pairs, "TILE", 3)
+    monkeypatch.setattr(pairs, "BLOCK", 20)
+    monkeypatch.setattr(pairs, "FEW", 2)
+    assert pairs.blocks(df, "id", "v").count() <= 3  # not one for each tile
+    got = {(r["a"], r["b"]): r["value"] for r in pairs.all_pairs(df, "id", "v").collect()}
+    assert sorted(got) == sorted(itertools.combinations(range(60), 2))
+    counts = {r["units"]: r["n"] for r in pairs.counted(df, "id", "v", 2).collect()}
+    rounded = spark.createDataFrame([(v,) for v in got.values()], "v double").groupBy(F.round(F.round("v", 2) * 100).cast("long").alias("u")).count()
+    assert counts == {r["u"]: r["count"] for r in rounded.collect()}
+
+
+@given(st.lists(st.one_of(st.floats(-2, 2), st.integers(-2_000_000, 2_000_000).map(lambda k: (k + 0.5) / 1e6)), min_size=1, max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_units_are_sql_rounding(values):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    want = [int(Decimal(repr(v)).quantize(Decimal("0.000001"), ROUND_HALF_UP).scaleb(6)) for v in values]
+    assert pairs.units(np.asarray(values), 6).tolist() == want
+
+
+def test_upper_median_writes_no_pairs(spark, sf, monkeypatch):
+    from kinmap.plans import frames, graph_queries
+
+    def never(*_):
+        raise AssertionError("the median of scores needs no calibrated release")
+
+    for where in (frames, graph_queries):
+        monkeypatch.setattr(where, "calibrated", never)
+    got = graph_queries.Q["a16_upper_median"](spark, sf).collect()
+    scores = sorted(r["score"] for r in frames.text_pairs(spark, sf).select("score").collect())
+    assert [r["upper_median"] for r in got] == [scores[len(scores) // 2]]
+
+
+def test_upper_median_of_counts(spark):
+    rng = random.Random(3)
+    counts = {rng.randrange(-3000, 3000): rng.randrange(1, 9) for _ in range(200)}
+    every = sorted(v for v, n in counts.items() for _ in range(n))
+    df = spark.createDataFrame(list(counts.items()), "v long, n long")
+    assert [r["v"] for r in stats.upper_median_of_counts(df, "v", "n", width=50).collect()] == [every[len(every) // 2]]
+    assert [r["v"] for r in stats.upper_median_of_counts(df.filter("false"), "v", "n").collect()] == [None]
