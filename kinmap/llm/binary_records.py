@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -66,19 +67,34 @@ def _byte_level() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(others)}
 
 
+def _kind(c: str) -> int:
+    if c in " \t\n\v\f\r\x85\xa0":
+        return SPACE
+    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER)
+
+
+SPACE, LETTER, NUMBER, OTHER = range(4)
+LATIN = [chr(i) for i in range(256)]
+#: For bytes.translate() of Latin-1 text: what the vocabulary's pattern takes each character for, and its lower case.
+KINDS, LOWER = bytes(map(_kind, LATIN)), "".join(LATIN).lower().encode("latin-1")
+
+
 class WordIds(Memo):
-    """Space-free stretch of text to its ids, packed.
-
-    The vocabulary's normaliser works on characters and drops white space, and no pre-token crosses a space, so a
-    text's ids are the ids of its space-separated stretches one after another. A Latin-1 text is in composed form and
-    its lower case is one character for one, so it is lowered and split on all white space at once; it must hold none
-    of the four separators that Python, but not the vocabulary, takes for white space, nor the start of a special
-    token. A stretch of Latin letters followed by ASCII punctuation is those two pre-tokens, looked up apart; Latin
-    letters alone are one pre-token, which goes straight to the vocabulary's merges. Any other stretch goes through
-    the library as it stands.
+    """Pieces of text to their ids, packed: pieces of Latin-1 text are bytes, stretches of other text are str.
+
+    The vocabulary's normaliser works on characters and drops white space. A Latin-1 text is in composed form and its
+    lower case is one character for one, so it is lowered and cut into pre-tokens by tables, many texts at a time:
+    runs of letters, single numbers, runs of anything else. A lone apostrophe stays with the letters after it, as the two
+    may be a contraction. Each different piece of the texts is looked up once. Letters alone are one pre-token, which
+    goes straight to the vocabulary's merges; any other piece goes through the library as it stands.
+
+    A text with other characters or the start of a special token is taken by its space-separated stretches, which no
+    pre-token crosses; a stretch of Latin letters followed by ASCII punctuation is those two pieces.
     """
 
     most = 200_000
+    #: Bytes of text that are cut into pieces at a time.
+    block = 4_000_000
     LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 
     def __init__(self, path: str) -> None:
@@ -87,26 +103,74 @@ class WordIds(Memo):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.split = re.compile(f"([{self.LETTERS}]+)([!-/:-@\\[-`{{-~]*)").fullmatch
-        self.odd = re.compile("[^\x00-\x1b\x20-\u00ff]|<\\|").search
         self.characters = _byte_level()
 
-    def compute(self, word: str) -> bytes:
-        if (m := self.split(word)) and len(word) < 1_000:
-            if m[2]:
-                return self[m[1]] + self[m[2]]
-            shown = m[1].lower()
-            if not shown.isascii():
-                shown = shown.encode().decode("latin-1").translate(self.characters)
-            ids = [t.id for t in self.merges(shown)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.asarray(ids, dtype=self.dtype).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        parts = text.split(" ") if self.odd(text) else text.lower().split()
-        return b"".join(map(self.__getitem__, parts))
+    def compute(self, piece: bytes | str) -> bytes:
+        if isinstance(piece, str):
+            if m := self.split(piece):
+                return self[m[1].lower().encode("latin-1")] + (self[m[2].encode()] if m[2] else b"")
+            text = piece
+        elif (text := piece.decode("latin-1")).isalpha() and len(text) < 1_000:
+            shown = text if piece.isascii() else text.encode().decode("latin-1").translate(self.characters)
+            return np.asarray([t.id for t in self.merges(shown)], dtype=self.dtype).tobytes()
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        at, parts, size = [], [], 0
+        for k, text in enumerate(texts):
+            try:
+                latin = None if "<|" in text else text.encode("latin-1")
+            except UnicodeEncodeError:
+                latin = None
+            if latin is None:
+                out[k] = list(map(self.__getitem__, text.split(" ")))
+                continue
+            for part in self._stretches(latin):
+                at.append(k)
+                parts.append(part)
+                size += len(part)
+                if size >= self.block:
+                    self._add(out, at, parts)
+                    at, parts, size = [], [], 0
+        self._add(out, at, parts)
+        return [b"".join(x) for x in out]
+
+    def _stretches(self, text: bytes) -> Iterator[bytes]:
+        """A text that is longer than a block in parts, cut at spaces."""
+        at = 0
+        while len(text) - at > self.block and (cut := text.find(b" ", at + self.block)) >= 0:
+            yield text[at:cut]
+            at = cut + 1
+        yield text[at:]
+
+    def _add(self, out: list[list[bytes]], at: list[int], parts: list[bytes]) -> None:
+        for k, ids in zip(at, self._encode_latin(parts), strict=True):
+            out[k].append(ids)
+
+    def _encode_latin(self, texts: list[bytes]) -> Iterator[bytes]:
+        data = b"\n".join(texts)
+        kind, low = (np.frombuffer(data.translate(table), np.uint8) for table in (KINDS, LOWER))
+        begins = kind != SPACE
+        inside = begins.copy()
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        begins[1:][begins[:-1] & (low[:-1] == ord("'")) & (kind[1:] == LETTER)] = False
+        # the pieces, without the space between them
+        offsets = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(low[inside])]).dictionary_encode()
+        found = list(map(self.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        numbers = pieces.indices.to_numpy()
+
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        first, long = (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(long)])
+        ids = np.frombuffer(b"".join(found), self.dtype)[np.repeat(first - ends[:-1], long) + np.arange(ends[-1])]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = ends[np.searchsorted(np.flatnonzero(begins), starts)].tolist()
+        return (ids[a:b].tobytes() for a, b in pairwise(cuts))
 
 
 @lru_cache(maxsize=2)
@@ -130,11 +194,11 @@ def _write(folder: str, vocabulary: str, end_id: int):
         index, at, total, out = [], 0, 0, None
         store.create_dir(root, recursive=True)
         name = f"{root}/shard-{shard:06d}"
-        for batch in small(batches):
+        for batch in small(batches, most=code.block):
             ids_of, texts = column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()
             out = out or store.open_output_stream(f"{name}.{attempt}.tmp")
-            for doc, text in zip(ids_of, texts, strict=True):
-                ids = code.encode(text or "") + end
+            for doc, packed in zip(ids_of, code.encode([t or "" for t in texts]), strict=True):
+                ids = packed + end
                 record = frame(struct.pack("<qBB", doc or 0, doc is None, size) + ids)
                 out.write(record)
                 index.append((doc or 0, at, len(ids) // size, total))

@@ -69,6 +69,38 @@ def test_records_match_library(spark, sf):
     assert binary_records.write_and_read(frame(spark, []), WORDS, 2).count() == 0
 
 
+def library_ids(texts):
+    tok = Tokenizer.from_file(WORDS)
+    return [np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("block", [4_000_000, 50, 3])
+def test_word_ids_match_library_for_any_blocks(block):
+    code = binary_records.WordIds(WORDS)
+    code.block = block
+    latin = [chr(i) for i in range(256)]
+    texts = [a + b for a in latin for b in latin] if block > 50 else []
+    rng = np.random.default_rng(7)
+    for letters in ("aAsStTdDrReEvVlL'éÉß12²½ .,!\n\x1c\x1f\x85\xa0ªµº×­\x00-<|", "aSt's 1,éé語’İ　 "):
+        texts += ["".join(rng.choice(list(letters), size=n)) for n in rng.integers(0, 40, 5_000)]
+    texts += ["", " ", "x" * 1_500 + "'s", "<|endoftext|>it's", "It's 'S 's''t !'re they'LL"]
+    assert code.encode(texts) == library_ids(texts)
+    assert code.encode([]) == []
+
+
+def test_word_ids_ask_the_library_once_a_piece():
+    asked = []
+
+    class Counted(binary_records.WordIds):
+        def compute(self, piece):
+            asked.append(piece)
+            return super().compute(piece)
+
+    texts = [f"{n} word{n}, ({n:04d}-word) theé;word!" for n in range(2_000)]
+    assert Counted(WORDS).encode(texts) == library_ids(texts)
+    assert len(asked) == len(set(asked)) < 30  # a stretch between spaces each: over 6,000
+
+
 def test_records_detect_damage_and_index(spark, tmp_path):
     folder = f"file://{tmp_path}/shards"
     shards = binary_records.write_records(frame(spark), folder, WORDS, 2, shards=1)
